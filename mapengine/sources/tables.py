@@ -62,23 +62,30 @@ def read_all_csv(spark: SparkSession, source: str, typed: bool = False) -> dict[
     return {name: read_csv(spark, source, name, typed) for name in TABLES}
 
 
+def _store(rows: DataFrame, name: str, path: str) -> None:
+    (
+        rows.select(*TABLE_KINDS[name]).sortWithinPartitions(*_LAYOUT[name])
+        .write.mode("overwrite").parquet(path)
+    )
+
+
 def load_tables(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
     location: str,
     database: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Replaces the named catalog tables by ``tables``, stored as Parquet below ``location``."""
+    """Replaces the named catalog tables by ``tables``, stored as Parquet below ``location``.
+
+    Take a new location for a new load: the rows may then come from the tables they replace.
+    """
     loaded = {}
     for name, rows in tables.items():
         full = name if database is None else f"{database}.{name}"
+        path = f"{location}/{name}"
+        _store(rows, name, path)
         spark.sql(f"DROP TABLE IF EXISTS {full}")
-        (
-            rows.select(*TABLE_KINDS[name]).sortWithinPartitions(*_LAYOUT[name])
-            .write.mode("overwrite").format("parquet")
-            .option("path", f"{location}/{name}")
-            .saveAsTable(full)
-        )
+        spark.catalog.createTable(full, path, "parquet")
         loaded[name] = spark.table(full)
     return loaded
 
@@ -88,8 +95,5 @@ def store_tables(
 ) -> dict[str, DataFrame]:
     """``load_tables`` without a catalog: Parquet directories below ``location``."""
     for name, rows in tables.items():
-        (
-            rows.select(*TABLE_KINDS[name]).sortWithinPartitions(*_LAYOUT[name])
-            .write.mode("overwrite").parquet(f"{location}/{name}")
-        )
+        _store(rows, name, f"{location}/{name}")
     return {name: spark.read.parquet(f"{location}/{name}") for name in tables}
