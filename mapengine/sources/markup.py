@@ -31,13 +31,6 @@ _OTHER = r"(?s)^(?:[\s﻿]*$|\?.*?\?>|!--.*?-->|!\[CDATA\[.*?\]\]>|![A-Z])"
 _XML = {"mode": "FAILFAST", "attributePrefix": "", "ignoreSurroundingSpaces": "false"}
 
 
-def _checked_tag(text: Column) -> Column:
-    """The tag at the start of ``text``, or NULL for other legal content."""
-    tag = F.regexp_extract(text, _TAG, 0)
-    problem = F.concat(F.lit("not plain markup: <"), F.left(text, F.lit(80)))
-    return F.when(tag != "", tag).when(~text.rlike(_OTHER), F.raise_error(problem))
-
-
 def scan_tags(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per opening or closing tag: position and the tag's text without ``<``.
 
@@ -45,15 +38,22 @@ def scan_tags(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     keeps every later filter above it; numbers do not depend on what is kept.
     """
     paths = [path] if isinstance(path, str) else list(path)
+    text, tag = F.col("text"), F.col("tag")
+    problem = F.concat(F.lit("not plain markup: <"), F.left(text, F.lit(80)))
+    # A tag, or NULL for other legal content. The pattern runs once per row, in its own
+    # projection.
+    checked = F.when(tag != "", tag).when(~text.rlike(_OTHER), F.raise_error(problem))
     return (
         spark.read.option("lineSep", "<").text(paths)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("seq"),
-            _checked_tag(F.col("value")).alias("tag"),
+            F.col("value").alias("text"),
+            F.regexp_extract("value", _TAG, 0).alias("tag"),
         )
-        .where(F.col("tag").isNotNull())
+        .select(*POSITION, checked.alias("tag"))
+        .where(tag.isNotNull())
     )
 
 
