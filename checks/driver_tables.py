@@ -1,12 +1,12 @@
 """The given tables seen as a map extract.
 
 Parts are points, orders are paths with one ref per line item, customers are relations.
-``oracle`` states the same expressions in SQL.
+``oracle`` states the same expressions in SQL. What is cached here are plans, not data.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from mapengine.sources import markup
 STAMP = "2024-01-01T00:00:00Z"
 
 
+@cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,6 +89,7 @@ def way_tag_values() -> dict[str, Column]:
     }
 
 
+@cache
 def raw_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``elem, id, k, v``; one branch per key, so a filter on the key drops whole branches."""
     part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
@@ -102,10 +104,12 @@ def raw_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
+@cache
 def node_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.shape_node_tags(raw_tags(spark, sf_dir))
 
 
+@cache
 def way_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.shape_way_tags(raw_tags(spark, sf_dir))
 

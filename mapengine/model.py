@@ -19,6 +19,8 @@ WAY_TAG_FIELDS = ("id", "key", "value", "type")
 # Elements that own children, in the sense of the document model.
 TOP_LEVEL = ("node", "way", "relation")
 SHAPED = ("node", "way")
+# Elements that belong to one of these.
+CHILDREN = ("tag", "nd", "member")
 
 # A key with any of these characters is a problem key.
 PROBLEM_CHARS = r"""[=\+/&<>;'"\?%#$@\,\. \t\r\n]"""

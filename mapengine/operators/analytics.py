@@ -51,11 +51,11 @@ def value_counts_for(
     """Values of ``key`` on the ids that have ``having_value`` under any key.
 
     Tags are summed up per id and value before the join, so an id with very many equal tags
-    is one row when it is shuffled. A semi join needs no distinct ids on its right side, but
-    taking them distinct first lets each task drop repeats before the shuffle.
+    is one row when it is shuffled. The ids are distinct, so an inner join multiplies nothing;
+    Catalyst would move a semi join below that sum and shuffle the single tags again.
     """
     per_id = tags.where(key_is(key)).groupBy("id", "value").agg(F.count("*").alias("n"))
-    kept = tags_of(per_id, distinct_tagged_ids(tags, having_value))
+    kept = per_id.join(distinct_tagged_ids(tags, having_value), "id")
     return _ranked(kept.groupBy("value").agg(F.sum("n").alias("n")), "value", limit)
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapengine.model import SAMPLE_STEP, TOP_LEVEL
+from mapengine.model import CHILDREN, SAMPLE_STEP, TOP_LEVEL
 from mapengine.sources.markup import POSITION
 
 # 4096 rows, which a window holds in memory by default.
@@ -28,7 +28,6 @@ SEGMENT_BITS = 12
 
 _SPLIT = ("file", "block")
 _SEGMENT = (*_SPLIT, "segment")
-_CHILDREN = ("tag", "nd", "member")
 _MOVED = "splits moved between two scans of one query; stage the extract first"
 
 
@@ -156,11 +155,11 @@ def children(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     Parents are told apart by ``parent.seq``, not by id: a history extract repeats ids.
     """
     slim = rows.where(
-        _starts(*_CHILDREN) | _is("open", *TOP_LEVEL) | _is("close", *TOP_LEVEL)
+        _starts(*CHILDREN) | _is("open", *TOP_LEVEL) | _is("close", *TOP_LEVEL)
     ).select(*POSITION, "event", "name", "id", "k", "v", "ref", "type", "role")
     return (
         in_document_order(slim, segment_bits)
-        .where(F.col("name").isin(*_CHILDREN) & F.col("parent.name").isNotNull())
+        .where(F.col("name").isin(*CHILDREN) & F.col("parent.name").isNotNull())
         .select(*POSITION, "name", "k", "v", "ref", "type", "role", "parent", "position")
     )
 

@@ -21,11 +21,11 @@ from mapengine.model import (
 
 def shape_nodes(elements: DataFrame, fields: Sequence[str] = NODE_FIELDS) -> DataFrame:
     """Fixed fields of every point; a missing attribute is NULL, for validation to report."""
-    return elements.where(F.col("name") == "node").select(*fields)
+    return elements.where(F.col("kind") == "node").select(*fields)
 
 
 def shape_ways(elements: DataFrame, fields: Sequence[str] = WAY_FIELDS) -> DataFrame:
-    return elements.where(F.col("name") == "way").select(*fields)
+    return elements.where(F.col("kind") == "way").select(*fields)
 
 
 def raw_tags(children: DataFrame) -> DataFrame:

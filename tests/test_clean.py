@@ -1,10 +1,9 @@
-import pytest
 from pyspark.sql import functions as F
 
 from mapengine.functions import clean
 
 
-@pytest.mark.parametrize("raw, expected", [
+PHONES = [
     ("(404) 555-1234", "404-555-1234"),
     ("17705551234", "1-770-555-1234"),
     ("678-555-1234 ext 5", "6-785-551-2345"),
@@ -17,9 +16,12 @@ from mapengine.functions import clean
     ("(", None),
     ("", None),
     ("9" * 40, "-".join(["999"] * 13) + "9"),
-])
-def test_phone_format(column, raw, expected):
-    assert column(clean.phone_format, raw) == [expected]
+]
+
+
+def test_phone_format(column):
+    raw, expected = zip(*PHONES, strict=True)
+    assert column(clean.phone_format, *raw) == list(expected)
 
 
 def test_phone_format_agrees_with_the_rule_on_numbers(column):
@@ -28,7 +30,7 @@ def test_phone_format_agrees_with_the_rule_on_numbers(column):
     assert column(clean.phone_format, *numbers) == rule
 
 
-@pytest.mark.parametrize("key, split", [
+SPLITS = [
     ("addr:street", ("addr", "street")),
     ("addr:street:name", ("addr", "street:name")),
     ("a:b:c", ("a", "b:c")),
@@ -39,37 +41,47 @@ def test_phone_format_agrees_with_the_rule_on_numbers(column):
     ("Upper", ("regular", "Upper")),
     ("a1", ("regular", "a1")),
     ("a1:b", ("regular", "a1:b")),
-])
-def test_split_key(column, key, split):
-    assert (column(clean.split_key_type, key)[0], column(clean.split_key_name, key)[0]) == split
+]
+
+
+def test_split_key(column):
+    keys, expected = zip(*SPLITS, strict=True)
+    types, names = column(clean.split_key_type, *keys), column(clean.split_key_name, *keys)
+    assert list(zip(types, names, strict=True)) == list(expected)
 
 
-@pytest.mark.parametrize("key, cls", [
+CLASSES = [
     ("a:b:c", "other"), ("name:en1", "other"), ("x:County", "other"), (":foo", "lower_colon"),
     (":", "lower_colon"), ("", "lower"), ("a.b", "problemchars"), ("a b", "problemchars"),
     ("Upper", "other"), ("a1", "other"), ("amenity", "lower"), ("addr:street", "lower_colon"),
     ("a\n", "lower"), ("a\r", "problemchars"), ("a:b\n", "lower_colon"), ("a\n\n", "problemchars"),
-])
-def test_key_type(column, key, cls):
-    assert column(clean.key_type, key) == [cls]
+]
 
 
-@pytest.mark.parametrize("char", list("=+/&<>;'\"?%#$@,. \t\r\n"))
-def test_problem_chars(column, char):
-    assert column(clean.has_problem_chars, f"a{char}b") == [True]
+def test_key_type(column):
+    keys, expected = zip(*CLASSES, strict=True)
+    assert column(clean.key_type, *keys) == list(expected)
+
+
+def test_problem_chars(column):
+    keys = [f"a{c}b" for c in "=+/&<>;'\"?%#$@,. \t\r\n"]
+    assert column(clean.has_problem_chars, *keys) == [True] * len(keys)
 
 
 def test_harmless_chars(column):
     assert column(clean.has_problem_chars, "a:b_c-d(e)é!*") == [False]
 
 
-@pytest.mark.parametrize("name, expected", [
+STREETS = [
     ("West Lexington St.", "St."), ("Baldwin Rd.", "Rd."), ("Main Street", "Street"),
     ("Peachtree Ste.", "Ste."), ("Main St (rear)", "rear)"), ("Main ", None), ("No #", None),
     ("", None), ("Rue-Neuve", "Rue-Neuve"), ("Main St.\n", "St."), ("Way é-b", "b"),
-])
-def test_street_type(column, name, expected):
-    assert column(clean.street_type, name) == [expected.rstrip("\n") if expected else None]
+]
+
+
+def test_street_type(column):
+    names, expected = zip(*STREETS, strict=True)
+    assert column(clean.street_type, *names) == list(expected)
 
 
 def test_unexpected_street_type(column):

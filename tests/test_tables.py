@@ -151,13 +151,14 @@ def test_shaping_honours_its_arguments(spark):
     tags = spark.createDataFrame([("node", "1", "a.b", "x"), ("node", "1", "c!", "x")], "elem STRING, id STRING, k STRING, v STRING")
     found = shape.shape_node_tags(tags, problem_chars="!", default_type="plain")
     assert rows_of(found) == [("1", "a.b", "x", "plain")]
-    nodes = spark.createDataFrame([("node", "1", "ann")], "name STRING, id STRING, user STRING")
+    nodes = spark.createDataFrame([("node", "1", "ann")], "kind STRING, id STRING, user STRING")
     assert shape.shape_nodes(nodes, ("user",)).columns == ["user"]
 
 
 def test_plans(spark, city, tmp_path):
     staged = markup.stage_events(spark, city, str(tmp_path / "staged"))
     nodes = final_plan(shape.shape_nodes(markup.elements(staged)))
+    assert "kind#" in nodes.split("PartitionFilters: [")[1].split("]")[0]
     assert "Exchange" not in nodes and "k:string" not in nodes.split("ReadSchema")[1]
     kids = final_plan(order.children(staged))
     assert "ReusedExchange" in kids and "Python" not in kids
