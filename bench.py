@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR and BENCH_CPUS choose the data and the cores. Every query runs to the end into
-a sink that discards rows; the better of two runs counts, the first one being cold.
+a sink that discards rows; the best of three runs counts, the first one being cold.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def session(cpus: int) -> SparkSession:
     return spark
 
 
-def timed(action: Callable[[], object], runs: int = 2) -> float:
+def timed(action: Callable[[], object], runs: int = 3) -> float:
     best = float("inf")
     for _ in range(runs):
         start = time.perf_counter()

@@ -247,8 +247,8 @@ def _staged_extract(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, D
         base = workspace.new_dir(spark, "extract")
         write_markup(spark, sf_dir, f"{base}/markup")
         rows = markup.stage_events(spark, f"{base}/markup", f"{base}/staged", keep_markup=True)
-        order.children(rows).write.mode("overwrite").partitionBy("name").parquet(f"{base}/children")
-        _staged[key] = (f"{base}/markup", rows, spark.read.parquet(f"{base}/children"))
+        kids = order.store_children(rows, f"{base}/children")
+        _staged[key] = (f"{base}/markup", rows, kids)
     return _staged[key]
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from mapengine.model import CHILDREN, SAMPLE_STEP, TOP_LEVEL
 from mapengine.sources.markup import POSITION
+from mapengine.workspace import store
 
 # 4096 rows, which a window holds in memory by default.
 SEGMENT_BITS = 12
@@ -164,6 +165,11 @@ def children(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     )
 
 
+def store_children(rows: DataFrame, target: str, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """``children``, computed once and stored so that each kind of child can be read alone."""
+    return store(children(rows, segment_bits), target, "name", "parent.name", "seq")
+
+
 def element_index(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """Top-level elements with ``element``, their dense index from 0 in document order."""
     starts = rows.where(_starts(*TOP_LEVEL)).select(*POSITION, "event", "name", "id")

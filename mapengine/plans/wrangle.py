@@ -53,13 +53,10 @@ def wrangle(
     """
     target = target or workspace.new_dir(spark, "wrangle")
     staged = markup.stage_events(spark, path, f"{target}/staged")
-    order.children(staged, segment_bits).write.mode("overwrite").partitionBy("name").parquet(
-        f"{target}/children"
-    )
-    children = spark.read.parquet(f"{target}/children")
+    children = order.store_children(staged, f"{target}/children", segment_bits)
     raw = shape.shape(markup.elements(staged), children)
     stored = tables.store_tables(
-        spark, {t: validate.validate(raw[t], t, mode) for t in TABLES}, f"{target}/tables"
+        {t: validate.validate(raw[t], t, mode) for t in TABLES}, f"{target}/tables"
     )
     rejects = {t: validate.quarantine(raw[t], t) for t in TABLES}
     return Wrangled(staged, shape.raw_tags(children), raw, stored, rejects)

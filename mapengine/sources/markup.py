@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapengine.model import ATTRIBUTES, CHILDREN, SHAPED, TOP_LEVEL
+from mapengine.workspace import store
 
 # Position of a row in the extract; sorts in document order.
 POSITION = ("file", "block", "seq")
@@ -143,8 +144,7 @@ def stage_events(
     rows = events(spark, path, attributes)
     if not keep_markup:
         rows = rows.drop("markup")
-    rows.write.mode("overwrite").partitionBy("kind").parquet(target)
-    return spark.read.parquet(target)
+    return store(rows, target, "kind", "seq")
 
 
 def top_level(rows: DataFrame, names: Sequence[str] = TOP_LEVEL) -> DataFrame:

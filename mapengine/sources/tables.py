@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from mapengine.model import TABLE_KINDS, TABLES, raw_schema, typed_schema
+from mapengine.workspace import store
 
 # Stands for NULL in a CSV file. XML text cannot hold this character, so no value read from
 # markup can be mistaken for it; an empty string stays an empty string.
@@ -26,8 +27,7 @@ _CSV = {
 # A CSV file whose values may hold line feeds is read by one task, so files are kept small.
 ROWS_PER_FILE = 1_000_000
 
-# Leading sort columns of the stored tables. Sorting inside each task needs no shuffle and
-# lets Parquet statistics skip row groups when a query asks for one key.
+# Sort columns of the stored tables: questions ask for one key, or one value, at a time.
 _LAYOUT = {
     "nodes": ("id",),
     "nodes_tags": ("key", "value"),
@@ -62,11 +62,8 @@ def read_all_csv(spark: SparkSession, source: str, typed: bool = False) -> dict[
     return {name: read_csv(spark, source, name, typed) for name in TABLES}
 
 
-def _store(rows: DataFrame, name: str, path: str) -> None:
-    (
-        rows.select(*TABLE_KINDS[name]).sortWithinPartitions(*_LAYOUT[name])
-        .write.mode("overwrite").parquet(path)
-    )
+def _store(rows: DataFrame, name: str, path: str) -> DataFrame:
+    return store(rows.select(*TABLE_KINDS[name]), path, *_LAYOUT[name])
 
 
 def load_tables(
@@ -90,10 +87,6 @@ def load_tables(
     return loaded
 
 
-def store_tables(
-    spark: SparkSession, tables: Mapping[str, DataFrame], location: str
-) -> dict[str, DataFrame]:
+def store_tables(tables: Mapping[str, DataFrame], location: str) -> dict[str, DataFrame]:
     """``load_tables`` without a catalog: Parquet directories below ``location``."""
-    for name, rows in tables.items():
-        _store(rows, name, f"{location}/{name}")
-    return {name: spark.read.parquet(f"{location}/{name}") for name in tables}
+    return {name: _store(rows, name, f"{location}/{name}") for name, rows in tables.items()}

@@ -203,3 +203,28 @@ def test_several_files_are_one_extract(spark, tmp_path):
     assert sorted(collected(shape.way_node_positions(order.children(rows)))) == [
         ("1", "1", 0), ("1", "2", 1), ("1", "3", 2), ("2", "4", 0),
     ]
+
+
+def test_plain_spelling_reads_like_any_other(spark, write):
+    """Refs and tags in plain form are read by a pattern, the same data spelled otherwise is parsed."""
+    values = ["", " ", "a b", "'", ">", "/", "/>", "k=", " v=", "é", "\\", "$1", "a" * 300]
+    plain = [f'<tag k="k{v}" v="{v}"/>' for v in values] + [f'<nd ref="{v}" />' for v in values]
+    other = [t.replace("<tag ", "<tag  ").replace("<nd ", "<nd\n") for t in plain]
+    read = [
+        collected(markup.elements(markup.events(spark, write(fx.document(*tags), name)))
+                  .where("kind IN ('tag', 'nd')").orderBy("seq").select("kind", *markup.ATTRIBUTES))
+        for tags, name in ((plain, "plain"), (other, "other"))
+    ]
+    assert read[0] == read[1]
+    assert [r[9:12] for r in read[0]] == [(f"k{v}", v, None) for v in values] + [(None, None, v) for v in values]
+
+
+def test_moved_splits_are_noticed(spark, write, monkeypatch):
+    """Rows whose segment is not in the summary stop the job; none is given a wrong parent."""
+    rows = markup.events(spark, write(fx.small()))
+    real = order._carried_in
+    monkeypatch.setattr(order, "_carried_in", lambda local: real(local.where("segment > 0")))
+    with pytest.raises(Exception, match="splits moved"):
+        order.children(rows, 2).collect()
+    with pytest.raises(Exception, match="splits moved"):
+        order.every_kth(rows, 10, 2).collect()
