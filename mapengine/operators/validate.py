@@ -51,23 +51,26 @@ def quarantine(rows: DataFrame, table: str) -> DataFrame:
     return with_errors(rows, table).where(F.size("errors") > 0)
 
 
-def validate(rows: DataFrame, table: str, mode: str = "quarantine") -> DataFrame:
-    """Typed rows of ``table``.
+def passing(rows: DataFrame, table: str, mode: str = "quarantine") -> DataFrame:
+    """Rows of ``table`` that may go on, still as text.
 
     ``quarantine`` keeps the good rows (``quarantine()`` gives the others), ``failfast``
-    stops the job at the first bad row with its errors in the message, ``off`` only casts.
+    stops the job at the first bad row with its errors in the message, ``off`` keeps all.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     if mode == "off":
-        return typed(rows, table)
+        return rows
     errors = row_errors(table)
-    if mode == "failfast":
-        message = F.concat(F.lit(f"bad row in {table}: "), F.array_join(errors, ", "))
-        good = F.when(F.size(errors) == 0, True).otherwise(F.raise_error(message))
-    else:
-        good = F.size(errors) == 0
-    return typed(rows.where(good), table)
+    if mode == "quarantine":
+        return rows.where(F.size(errors) == 0)
+    message = F.concat(F.lit(f"bad row in {table}: "), F.array_join(errors, ", "))
+    return rows.where(F.when(F.size(errors) == 0, True).otherwise(F.raise_error(message)))
+
+
+def validate(rows: DataFrame, table: str, mode: str = "quarantine") -> DataFrame:
+    """The typed layer of the rows that pass."""
+    return typed(passing(rows, table, mode), table)
 
 
 def error_counts(rows: DataFrame, table: str) -> DataFrame:

@@ -15,11 +15,15 @@ from mapengine.sources import markup, tables
 
 @dataclass(frozen=True)
 class Wrangled:
-    """Results of one run. Everything is a DataFrame over stored Parquet."""
+    """Results of one run. Everything is a DataFrame over stored Parquet.
+
+    ``tags`` are raw tags of points and paths, ``text`` the rows that passed validation with
+    values as in the markup, ``tables`` the same rows typed, ``rejects`` the others.
+    """
 
     staged: DataFrame
     tags: DataFrame
-    raw: dict[str, DataFrame]
+    text: dict[str, DataFrame]
     tables: dict[str, DataFrame]
     rejects: dict[str, DataFrame]
 
@@ -37,6 +41,10 @@ class Wrangled:
     def answers(self) -> dict[str, DataFrame]:
         return analytics.answers(self.tables)
 
+    def write_csv(self, target: str) -> None:
+        """The five tables as CSV, with numbers as they were spelled in the markup."""
+        tables.write_csv(self.text, target)
+
 
 def wrangle(
     spark: SparkSession,
@@ -55,8 +63,7 @@ def wrangle(
     staged = markup.stage_events(spark, path, f"{target}/staged")
     children = order.store_children(staged, f"{target}/children", segment_bits)
     raw = shape.shape(markup.elements(staged), children)
-    stored = tables.store_tables(
-        {t: validate.validate(raw[t], t, mode) for t in TABLES}, f"{target}/tables"
-    )
+    text = {t: validate.passing(raw[t], t, mode) for t in TABLES}
+    stored = tables.store_tables({t: validate.typed(text[t], t) for t in TABLES}, f"{target}/tables")
     rejects = {t: validate.quarantine(raw[t], t) for t in TABLES}
-    return Wrangled(staged, shape.raw_tags(children), raw, stored, rejects)
+    return Wrangled(staged, shape.raw_tags(children), text, stored, rejects)

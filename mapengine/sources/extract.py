@@ -28,22 +28,26 @@ def sampled_markup(rows: DataFrame, k: int = SAMPLE_STEP, segment_bits: int = SE
 def write_sample(
     rows: DataFrame,
     target: str,
-    files: int,
+    files: int | None = None,
     k: int = SAMPLE_STEP,
     root: str = "map",
     segment_bits: int = SEGMENT_BITS,
 ) -> None:
     """Writes the sample as ``files`` well-formed markup files below ``target``.
 
+    By default there are as many files as the session has shuffle partitions.
+
     An element is never cut: its tags share a file, in document order, with their original
     text. Elements are dealt out in turn, so files have even numbers of elements. ``root`` is
     the name of the enclosing element.
     """
+    spark = rows.sparkSession
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = sampled_markup(rows, k, segment_bits).select(
         F.expr(f"cast((element div {k}) % {files} as int)").alias("part"),
         F.lit(_BODY).alias("rank"), "element", "seq", "markup",
     )
-    edges = rows.sparkSession.range(files).select(
+    edges = spark.range(files).select(
         F.col("id").cast("int").alias("part"),
         F.inline(F.array(
             F.struct(

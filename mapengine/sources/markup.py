@@ -5,7 +5,8 @@ separator gives one row per tag, and Spark can split even a single file of many
 at any byte. Each row keeps where it stood: file, start of the split, and a sequence number
 that grows within the split. Files below one path are taken as one extract, in name order.
 
-Limits: UTF-8 only; compressed files that Hadoop cannot split are read by one task each.
+Limits: UTF-8 only; compressed files that Hadoop cannot split are read by one task each; the
+XML parser refuses elements with more than 1000 attributes.
 Markup inside comments or CDATA, and text that is no markup at all, stop the job with an
 error: a row is never dropped in silence.
 """

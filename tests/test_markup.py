@@ -89,6 +89,13 @@ def test_missing_attributes_are_null_and_others_dropped(spark, write):
     assert "color" not in rows.columns
 
 
+def test_many_and_long_attributes(spark, write):
+    many = " ".join(f'a{i}="{i}"' for i in range(900))
+    text = fx.document(f'<node {many} id="1"/>', f'<node id="2" user="{"x" * 300_000}"/>')
+    rows = markup.events(spark, write(text)).where("kind = 'node'").orderBy("seq").collect()
+    assert [(r.id, len(r.user or "")) for r in rows] == [("1", 0), ("2", 300_000)]
+
+
 def test_comments_and_declarations(spark, write):
     text = '<?xml version="1.0"?>\n<!DOCTYPE map>\n<!-- a > b -->\n<map>\n<!-- c --><node id="1"/>\n</map>'
     names = [r.name for r in markup.elements(markup.events(spark, write(text))).orderBy("seq").collect()]
@@ -196,6 +203,18 @@ def test_one_element_over_many_splits(spark, write):
     assert refs.where("id <> '1' AND position > 1").count() == 0
 
 
+@pytest.mark.parametrize("codec", ["gz", "bz2"])
+def test_compressed_extract(spark, tmp_path, codec):
+    import bz2
+    import gzip
+
+    text, truth = generated(5, 400)
+    target = tmp_path / f"map.xml.{codec}"
+    target.write_bytes({"gz": gzip, "bz2": bz2}[codec].compress(text.encode()))
+    kids = order.children(markup.events(spark, str(target)), 4).orderBy(*markup.POSITION)
+    assert collected(kids.select("name", "parent.name", "parent.id", "k", "ref", "position")) == truth["kids"]
+
+
 def test_several_files_are_one_extract(spark, tmp_path):
     (tmp_path / "part-0").write_text("<map>" + fx.way(1, children=[fx.nd(1), fx.nd(2)])[:-len("</way>")])
     (tmp_path / "part-1").write_text(fx.nd(3) + "</way>" + fx.way(2, children=[fx.nd(4)]) + "</map>")

@@ -99,7 +99,7 @@ def city(tmp_path):
     phone = "(404) 555-1234"
     source = tmp_path / "city.xml"
     source.write_text(fx.document(
-        fx.node(1, children=[fx.tag("phone", phone), fx.tag("telephone", phone), fx.tag("fax", phone),
+        fx.node(1, lat="1.50", children=[fx.tag("phone", phone), fx.tag("telephone", phone), fx.tag("fax", phone),
                              fx.tag("contact:Phone", "1404"), fx.tag("phone.x", phone)]),
         fx.node(2, children=[fx.tag("addr:postcode", "30043"), fx.tag("zip", "30099"),
                              fx.tag("addr:street", "Main St."), fx.tag("amenity", "restaurant"),
@@ -134,6 +134,11 @@ def test_wrangle(spark, city, tmp_path):
     assert profiles["audit_phone"] == [("(404) 555-1234", "404-555-1234")]
     assert ("relation", 1) in profiles["count_tags"]
 
+    run.write_csv(str(tmp_path / "csv"))
+    back = tables.read_all_csv(spark, str(tmp_path / "csv"))
+    assert {n: df.count() for n, df in back.items()} == {n: df.count() for n, df in run.tables.items()}
+    assert back["nodes"].where("id = '1'").first().lat == "1.50"
+
     answers = {k: [tuple(r) for r in df.collect()] for k, df in run.answers().items()}
     assert answers["top_postcodes"] == [("30043", 2), ("30301", 1), ("31401", 1)]
     assert answers["top_phones"] == [("(404) 555-1234", 1), ("404-555-1234", 1)]
@@ -164,3 +169,23 @@ def test_plans(spark, city, tmp_path):
     assert "ReusedExchange" in kids and "Python" not in kids
     # Only the summary with one row per split is sorted as a whole.
     assert kids.count("SinglePartition") == 1
+
+
+def test_order_without_broadcast(spark, city, tmp_path):
+    """Beyond the broadcast size rows are still shuffled once, and the result is the same."""
+    staged = markup.stage_events(spark, city, str(tmp_path / "staged"))
+    want = rows_of(order.children(staged, 2))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        kids = order.children(staged, 2)
+        text = final_plan(kids)
+        assert rows_of(kids) == want
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+    # Of the two sides of the outer join, the rows are shuffled once and the summary once.
+    outer = text.split("SortMergeJoin")[1]
+    assert outer.count("Exchange hashpartitioning(file") == 2
