@@ -19,6 +19,7 @@ from mapengine.model import (
     REGULAR,
 )
 
+# Fixed patterns.
 # A key that starts like this is split at its first colon. Nothing anchors the end.
 _SPLIT_KEY = r"^[a-z_]+:[a-z_]"
 _LOWER = r"(?d)^[a-z_]*$"

@@ -28,7 +28,9 @@ from mapengine.workspace import store
 SEGMENT_BITS = 12
 
 _SPLIT = ("file", "block")
-_SEGMENT = (*_SPLIT, "segment")
+# The number comes first: rows are sorted by these columns, and comparing numbers is cheap
+# while paths mostly share a long beginning.
+_SEGMENT = ("segment", "block", "file")
 _MOVED = "splits moved between two scans of one query; stage the extract first"
 
 

@@ -188,4 +188,4 @@ def test_order_without_broadcast(spark, city, tmp_path):
     assert "SortMergeJoin" in text and "Broadcast" not in text
     # Of the two sides of the outer join, the rows are shuffled once and the summary once.
     outer = text.split("SortMergeJoin")[1]
-    assert outer.count("Exchange hashpartitioning(file") == 2
+    assert outer.count("Exchange hashpartitioning(segment") == 2
