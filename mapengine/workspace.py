@@ -1,28 +1,21 @@
 """Where intermediate tables are written.
 
-The cluster names a shared folder in ``spark.checkpoint.dir``. Only a local session that
-leaves it unset (tests, a laptop) gets a temporary folder of its own.
+The session names a folder that all executors share in ``spark.checkpoint.dir``. Where that is
+unset, tables go below the session's own storage, ``spark.sql.warehouse.dir``. No setting is
+changed and nothing depends on the kind of master.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SETTING = "spark.checkpoint.dir"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    root = spark.conf.get(_SETTING, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="mapengine-")
-    spark.conf.set(_SETTING, root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
+    return root.rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -37,5 +30,14 @@ def store(rows: DataFrame, target: str, *layout: str) -> DataFrame:
     task however many values there are, and lets Parquet's page statistics skip what a filter
     on the leading columns does not need.
     """
-    rows.sortWithinPartitions(*layout).write.mode("overwrite").parquet(target)
+    if layout:
+        rows = rows.sortWithinPartitions(*layout)
+    rows.write.mode("overwrite").parquet(target)
     return rows.sparkSession.read.schema(rows.schema).parquet(target)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of this module that nothing reads any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
