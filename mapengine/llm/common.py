@@ -91,7 +91,7 @@ def running_total(
 
     if bits == 0:
         return rows.withColumn(out, earlier(value, Window.partitionBy(*keys).orderBy(*ordered)))
-    (fine,) = unused(rows, "fine")
+    (fine,) = unused(rows.withColumn(out, F.lit(0)), "fine")
     blocked = rows.withColumn(fine, F.shiftright(col(order[0]), 64 - bits))
     # Names of the sums' own columns: g0, g1, ... for the group.
     named = [col(g).alias(f"g{i}") for i, g in enumerate(group)]

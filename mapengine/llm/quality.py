@@ -25,6 +25,8 @@ from mapengine.llm.common import BLANK_RUN, col, text_of, unused, words
 
 # At most so many labelled documents are learned from.
 MAX_LABELLED = 6000
+# The base check: so many words at least, and at most so many percent in repeated windows.
+MIN_WORDS, MAX_REPEATED = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
 
 
@@ -155,10 +157,18 @@ def _covers(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _candidates(x: dict[str, np.ndarray], cuts: int) -> list[Condition]:
+def _candidates(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int) -> list[Condition]:
+    """Thresholds at quantiles, and at values next to which rows of the other kind begin."""
     out = []
     for name, values in x.items():
-        levels = np.unique(np.quantile(values, np.linspace(0, 1, cuts + 1)[1:-1])) if len(values) else []
+        if not len(values):
+            continue
+        order = np.argsort(values, kind="stable")
+        kind = bad[order]
+        edges = values[order][:-1][kind[1:] != kind[:-1]]
+        # Evenly among all of them: where classes are mixed there are very many.
+        edges = edges[np.linspace(0, len(edges) - 1, min(len(edges), 2 * cuts)).astype(int)] if len(edges) else edges
+        levels = np.unique(np.append(np.quantile(values, np.linspace(0, 1, cuts + 1)[1:-1]), edges))
         out += [Condition(name, above, float(v)) for v in levels for above in (True, False)]
     return out
 
@@ -222,7 +232,7 @@ def learn(
         if (bad & grow).sum() < least or not (~bad & grow).any():
             break
         gx, px = ({k: v[m] for k, v in x.items()} for m in (grow, prune))
-        rule = _prune(_grow(gx, bad[grow], _candidates(gx, cuts), max_conditions), px, bad[prune])
+        rule = _prune(_grow(gx, bad[grow], _candidates(gx, bad[grow], cuts), max_conditions), px, bad[prune])
         inside = _covers(rule, x, len(bad)) & left
         seen, hits = int((inside & held_out).sum()), int((inside & held_out & bad).sum())
         all_seen, all_hits = int(inside.sum()), int((inside & bad).sum())
@@ -259,9 +269,10 @@ class DecisionList:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality",
-    max_labelled: int = MAX_LABELLED, **options,
+    max_labelled: int = MAX_LABELLED, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, **options,
 ) -> DecisionList:
-    """Learns from at most ``max_labelled`` labelled documents, chosen by a hash of the id.
+    """Learns from at most ``max_labelled`` labelled documents, chosen by a hash of the id, that
+    pass the base check: rules are for what it leaves.
 
     ``labels`` has ``id`` and a ``label`` of 1 for good and 0 for bad; rows without either are
     ignored. Documents without a label, and labels without a document, play no part.
@@ -275,6 +286,7 @@ def fit(
     slim = docs.select(col(id).alias("doc_id"), text_of(text).alias("text"))
     found = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
     rows = measured(found, "text").select("doc_id", "good", *COUNTS).limit(2 * max_labelled).collect()
+    rows = [r for r in rows if r["n_words"] >= min_words and 100 * r["n_repeat_words"] <= max_repeated * r["n_words"]]
     rows.sort(key=lambda r: tuple(r))
     order = np.random.default_rng(5).permutation(len(rows))
     data = np.array([tuple(rows[i])[1:] for i in order], dtype=float).reshape(-1, 1 + len(COUNTS))
@@ -288,7 +300,7 @@ BASE = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def judged(
-    docs: DataFrame, rules: DecisionList, text: str = "text", min_words: int = 50, max_repeated: int = 50
+    docs: DataFrame, rules: DecisionList, text: str = "text", min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED
 ) -> tuple[DataFrame, dict[str, Column]]:
     """``docs`` with its counts, and columns ``base_failed``, ``rule``, ``kept`` over them.
 

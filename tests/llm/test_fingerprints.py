@@ -1,0 +1,107 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from mapengine.llm import fingerprints as fp
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def test_entropies_against_counting():
+    data = (prose(1, 60) + "a" * 70 + prose(2, 30)).encode()
+    found = fp.entropies(np.frombuffer(data, np.uint8))
+    for i, e in enumerate(found):
+        counts = Counter(data[i : i + fp.WINDOW]).values()
+        h = -sum(c / fp.WINDOW * math.log2(c / fp.WINDOW) for c in counts) / math.log2(fp.WINDOW)
+        assert abs(e - fp.LEVELS * h) <= 0.6
+    assert len(found) == len(data) - fp.WINDOW + 1
+
+
+def brute_selected(data, ranks):
+    found = fp.entropies(np.frombuffer(data, np.uint8))
+    r = [int(ranks[e]) for e in found]
+    spans = [range(i, i + fp.NEIGHBOURS) for i in range(len(r) - fp.NEIGHBOURS + 1)]
+    if 0 < len(r) < fp.NEIGHBOURS:
+        best = min(range(len(r)), key=lambda i: (r[i], i))
+        return [best] if r[best] < fp._NEVER else []
+    often = Counter(min(s, key=lambda i: (r[i], i)) for s in spans)
+    return sorted(i for i, n in often.items() if n >= fp.OFTEN and r[i] < fp._NEVER)
+
+
+@pytest.mark.parametrize("chunk", [1 << 19, 300])
+def test_selection_against_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(fp, "_CHUNK", chunk)
+    texts = [prose(i, n).encode() for i, n in enumerate([3, 5, 9, 12, 30, 100, 200, 1])] + [b"", b"a" * 500]
+    ranks = fp.ranks_of(fp.histogram(texts))
+    assert fp.histogram(texts).sum() == sum(max(0, len(t) - fp.WINDOW + 1) for t in texts)
+    for t, digest in zip(texts, fp.digests(texts, ranks), strict=True):
+        want = brute_selected(t, ranks)
+        assert len(digest) == 256 * max(1, math.ceil(len(want) / fp.PER_FILTER))
+        assert digest == fp.digests([t], ranks)[0]
+        bits = int(np.bitwise_count(np.frombuffer(digest, np.uint8)).sum())
+        assert bits <= fp.HASHES * max(1, len(want))
+        if len(t) <= chunk:
+            data = np.frombuffer(t, np.uint8)
+            owner, at = fp._selected(data, np.array([0]), np.array([len(t)]), ranks)
+        else:
+            at = fp._selected_long(np.frombuffer(t, np.uint8), ranks)
+        assert at.tolist() == want
+
+
+def test_likeness():
+    texts = [prose(i, 400).encode() for i in range(6)]
+    ranks = fp.ranks_of(fp.histogram(texts))
+    a, *others = fp.digests(texts, ranks)
+    assert fp.likeness(a, a) == 1.0
+    assert all(fp.likeness(a, b) < 0.15 for b in others)
+    t = texts[0]
+    half, inserted = t[: len(t) // 2] + texts[1][len(t) // 2 :], b"xyz " + t
+    for other, low, high in ((half, 0.3, 0.8), (inserted, 0.9, 1.0)):
+        (d,) = fp.digests([other], ranks)
+        assert low <= fp.likeness(a, d) <= high
+        assert fp.likeness(a, d) == pytest.approx(fp.likeness(d, a), abs=0.2)
+
+
+def edits(rows):
+    """Edited text of each row in order of the id, NULLs first."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    out = []
+    for k, (i, text) in enumerate(rows):
+        text, following = text or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        out.append((i, len(text), text[: len(text) - half] + following[:half]))
+    return out
+
+
+@pytest.mark.parametrize("size", [8192, 5])
+def test_next_documents(spark, documents, monkeypatch, size):
+    real = fp.with_next
+    monkeypatch.setattr(fp, "with_next", lambda *a: real(*a, rows_per_range=size))
+    rng = random.Random(4)
+    ids = rng.sample(range(-50, 10_000), 60) + [None]
+    rows = [(i, prose(k, 10 + k) if k % 9 else None) for k, i in enumerate(ids)]
+    found = fp.edited_likeness(documents(*rows).repartition(5)).collect()
+    got = sorted([(r.doc_id, r.n_chars, r.edited_text) for r in found], key=repr)
+    assert got == sorted(edits(rows), key=repr)
+    for r in found:
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+
+
+def test_awkward_rows(documents, awkward):
+    docs = documents(*awkward)
+    found = fp.edited_likeness(docs).collect()
+    assert len(found) == len(awkward)
+    by_text = {}
+    for r in fp.fingerprints(docs).collect():
+        by_text.setdefault(r.doc_id, set()).add(bytes(r.digest))
+    assert len(by_text[5]) == 1
+    assert len(by_text[1] | by_text[2]) == 1
+    assert fp.edited_likeness(docs.where("doc_id < 0")).count() == 0
+    (single,) = fp.edited_likeness(documents((7, "abcdé"))).collect()
+    assert (single.edited_text, single.n_chars, single.near_next) == ("abcab", 5, 1.0)
