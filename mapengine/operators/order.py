@@ -10,9 +10,14 @@ in document order. It is folded in three levels:
 3. each split is summed up in one row, and these are folded over the extract. Only this
    table, with one row for each split the driver has planned, is sorted as a whole.
 
-Earlier folds are carried in by joins on the segment and on the split. Rows are shuffled
-once, by segment: window, summary and join share that layout. No side is broadcast by hint;
-Spark does so only while the size it measures allows.
+Earlier folds are carried in by joins on the segment and on the split. Rows are scanned once
+and shuffled once, by segment: the summary reads the same shuffle files as the rows, which are
+folded from them twice. No side is broadcast by hint; Spark does so only while the size it
+measures allows.
+
+The three levels also check the nesting of top-level elements: one that begins inside another,
+a closing tag that is not of the open element, and one still open at the end stop the job. So
+the rows given here must hold every opening and closing tag of top-level elements.
 """
 
 from __future__ import annotations
@@ -28,8 +33,6 @@ from mapengine.workspace import store
 SEGMENT_BITS = 12
 
 _SPLIT = ("file", "block")
-# The number comes first: rows are sorted by these columns, and comparing numbers is cheap
-# while paths mostly share a long beginning.
 _SEGMENT = ("segment", "block", "file")
 _MOVED = "splits moved between two scans of one query; stage the extract first"
 
@@ -43,6 +46,7 @@ def _starts(*names: str) -> Column:
 
 
 def _mark(refs: Column, name: Column, id_: Column, seq: Column) -> Column:
+    """What is open from a row on: a top-level element, or, with a NULL name, none."""
     return F.struct(name.alias("name"), id_.alias("id"), seq.alias("seq"), refs.alias("refs"))
 
 
@@ -53,6 +57,17 @@ def _shifted(mark: Column, refs: Column) -> Column:
     )
 
 
+def _misplaced(begun: Column, ended: Column, open_: Column) -> Column:
+    """What is wrong with tags that begin and end elements where ``open_`` is open, or NULL."""
+    return F.when(
+        begun.isNotNull() & open_.isNotNull(),
+        F.concat(F.lit("bad nesting: <"), begun, F.lit("> inside <"), open_, F.lit(">")),
+    ).when(
+        ended.isNotNull() & ~ended.eqNullSafe(open_),
+        F.concat(F.lit("bad nesting: </"), ended, F.lit("> does not close <"), F.coalesce(open_, F.lit("")), F.lit(">")),
+    )
+
+
 def _carry(sums: DataFrame, before: Window) -> DataFrame:
     """Replaces counts and last mark of each summary row by those of all rows before it."""
     earlier = sums.withColumns({
@@ -69,29 +84,47 @@ def _carry(sums: DataFrame, before: Window) -> DataFrame:
 def _carried_in(local: DataFrame) -> DataFrame:
     """Per segment: what precedes it in the whole extract."""
     so_far = (Window.unboundedPreceding, -1)
-    # Keys are never NULL. Saying so here keeps Spark from inferring it differently for the
-    # two uses of the summary below, which can then share one exchange.
-    known = local.where(" AND ".join(f"{c} IS NOT NULL" for c in _SEGMENT))
-    per_segment = known.groupBy(*_SEGMENT).agg(
+    # The hash needs every column, so that this branch reads the very rows that the other
+    # one does and both share one exchange.
+    per_segment = local.groupBy(*_SEGMENT).agg(
         F.max("_elements").alias("elements"),
         F.max("_refs").alias("refs"),
         F.max_by("_mark", "seq").alias("last"),
+        F.max("_begun").alias("begun"), F.max("_ended").alias("ended"), F.max("_problem").alias("problem"),
+        F.max(F.xxhash64(*local.columns)).alias("all_columns"),
     )
     in_split = _carry(per_segment, Window.partitionBy(*_SPLIT).orderBy("segment").rowsBetween(*so_far))
+    # Without an earlier mark in the split, what is open comes from the splits before.
+    unknown = F.col("carried").isNull()
+    in_split = in_split.withColumn("problem", F.coalesce(
+        "problem", F.when(~unknown, _misplaced(F.col("begun"), F.col("ended"), F.col("carried.name")))))
     per_split = in_split.groupBy(*_SPLIT).agg(
         F.sum("elements").alias("elements"),
         F.sum("refs").alias("refs"),
         F.max_by("last", F.when(F.col("last").isNotNull(), F.col("segment"))).alias("last"),
+        F.max(F.when(unknown, F.col("begun"))).alias("begun"), F.max(F.when(unknown, F.col("ended"))).alias("ended"),
+        F.max("problem").alias("problem"), F.max("all_columns").alias("all_columns"),
+    )
+    in_extract = Window.orderBy(*_SPLIT)
+    whole = in_extract.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = _carry(per_split, in_extract.rowsBetween(*so_far)).withColumn("problem", F.coalesce(
+        "problem", _misplaced(F.col("begun"), F.col("ended"), F.col("carried.name"))))
+    left_open = F.last("last", ignorenulls=True).over(whole)["name"]
+    problem = F.coalesce(
+        F.max("problem").over(whole),
+        F.when(left_open.isNotNull(), F.concat(F.lit("bad nesting: <"), left_open, F.lit("> is open at the end"))),
     )
-    splits = _carry(per_split, Window.orderBy(*_SPLIT).rowsBetween(*so_far)).select(
+    splits = carried.withColumn("problem", problem).select(
         *_SPLIT,
-        F.col("elements_before").alias("split_elements"),
+        F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")))
+        .when(F.col("all_columns").isNotNull(), F.col("elements_before")).alias("split_elements"),
         F.col("refs_before").alias("split_refs"),
         F.col("carried").alias("split_carried"),
     )
     return in_split.join(splits, list(_SPLIT), "left").select(
         *_SEGMENT,
-        (F.col("elements_before") + F.col("split_elements")).alias("_elements_before"),
+        F.when(F.col("all_columns").isNotNull(), F.col("elements_before") + F.col("split_elements"))
+        .alias("_elements_before"),
         (F.col("refs_before") + F.col("split_refs")).alias("_refs_before"),
         F.coalesce(_shifted(F.col("carried"), F.col("split_refs")), F.col("split_carried"))
         .alias("_carried"),
@@ -99,23 +132,33 @@ def _carried_in(local: DataFrame) -> DataFrame:
 
 
 def in_document_order(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
-    """Adds three columns to ``events`` or staged rows (or to any selection of them).
+    """Adds three columns to ``events`` or staged rows, or to a selection of them that holds
+    every opening and closing tag of top-level elements.
 
     ``element``: index, from 0, of the latest top-level element begun so far;
     ``parent``: name, id and seq of the top-level element the row is inside of, or NULLs;
     ``position``: number of earlier ``nd`` children of the same parent, for ``nd`` rows.
     """
-    in_segment = Window.partitionBy(*_SEGMENT).orderBy("seq").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    ordered = Window.partitionBy(*_SEGMENT).orderBy("seq")
+    in_segment = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in POSITION)
+    top = F.col("name").isin(*TOP_LEVEL)
+    begun = F.when(top & (F.col("event") != "close"), F.col("name"))
+    ended = F.when(top & (F.col("event") == "close"), F.col("name"))
+    unknown = F.col("_before").isNull()
     local = (
-        rows.withColumn("segment", F.shiftright("seq", segment_bits))
+        rows.where(known).withColumn("segment", F.shiftright("seq", segment_bits))
+        # Both counts in one number: what the exchange carries must not depend on which of
+        # them a caller needs, or the summary could not share it.
+        .withColumn("_counts", F.sum(
+            F.when(_starts(*TOP_LEVEL), F.lit(1 << 32)).when(_starts("nd"), F.lit(1)).otherwise(0)
+        ).over(in_segment))
         .withColumns({
-            "_elements": F.count_if(_starts(*TOP_LEVEL)).over(in_segment),
-            "_refs": F.count_if(_starts("nd")).over(in_segment),
+            "_elements": F.shiftright("_counts", 32), "_refs": F.col("_counts").bitwiseAND(F.lit((1 << 32) - 1)),
         })
         .withColumn(
-            "_mark",
+            "_own",
             F.when(
                 _is("open", *TOP_LEVEL),
                 _mark(F.col("_refs"), F.col("name"), F.col("id"), F.col("seq")),
@@ -124,7 +167,15 @@ def in_document_order(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> Data
                 _mark(F.col("_refs"), *[F.lit(None).cast(t) for t in ("string", "string", "long")]),
             ),
         )
-        .withColumn("_mark", F.last("_mark", ignorenulls=True).over(in_segment))
+        .withColumns({
+            "_mark": F.last("_own", ignorenulls=True).over(in_segment),
+            "_before": F.last("_own", ignorenulls=True).over(before),
+        })
+        .withColumns({
+            "_begun": F.when(unknown, begun), "_ended": F.when(unknown, ended),
+            "_problem": F.when(~unknown, _misplaced(begun, ended, F.col("_before.name"))),
+        })
+        .drop("_own", "_before", "_counts")
     )
 
     missing = F.col("_elements_before").isNull()
@@ -147,7 +198,7 @@ def in_document_order(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> Data
             F.when(_starts("nd"), (refs_so_far - 1 - F.col("parent.refs")).cast("int")),
         )
         .withColumn("parent", F.col("parent").dropFields("refs"))
-        .drop("segment", "_elements", "_refs", "_mark", "_elements_before", "_refs_before", "_carried")
+        .select(*rows.columns, "parent", "element", "position")
     )
 
 
@@ -155,7 +206,8 @@ def children(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """``tag``, ``nd`` and ``member`` rows with their parent.
 
     Elements without children never enter the shuffle, nor do columns other than id.
-    Parents are told apart by ``parent.seq``, not by id: a history extract repeats ids.
+    An element without children inside another one takes none of its children, so it is left to
+    ``element_index`` and the sample to refuse it. Parents are told apart by ``parent.seq``, not by id: a history extract repeats ids.
     """
     slim = rows.where(
         _starts(*CHILDREN) | _is("open", *TOP_LEVEL) | _is("close", *TOP_LEVEL)
@@ -174,8 +226,11 @@ def store_children(rows: DataFrame, target: str, segment_bits: int = SEGMENT_BIT
 
 def element_index(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """Top-level elements with ``element``, their dense index from 0 in document order."""
-    starts = rows.where(_starts(*TOP_LEVEL)).select(*POSITION, "event", "name", "id")
-    return in_document_order(starts, segment_bits).select(*POSITION, "name", "id", "element")
+    tags = rows.where(F.col("name").isin(*TOP_LEVEL)).select(*POSITION, "event", "name", "id")
+    return (
+        in_document_order(tags, segment_bits).where(_starts(*TOP_LEVEL))
+        .select(*POSITION, "name", "id", "element")
+    )
 
 
 def every_kth(rows: DataFrame, k: int = SAMPLE_STEP, segment_bits: int = SEGMENT_BITS) -> DataFrame:

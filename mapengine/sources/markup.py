@@ -2,8 +2,9 @@
 
 A raw ``<`` is never legal inside an XML attribute, so a text read with ``<`` as its line
 separator gives one row per tag, and Spark can split even a single file of many terabytes
-at any byte. Each row keeps where it stood: file, start of the split, and a sequence number
-that grows within the split. Files below one path are taken as one extract, in name order.
+at any byte. Each row keeps where it stood: number of the file, start of the split, and a
+sequence number that grows within the split. Files are taken as one extract: paths in the order
+given, files below one path by name, numbers in names compared as numbers.
 
 Limits: UTF-8 only; compressed files that Hadoop cannot split are read by one task each; the
 XML parser refuses elements with more than 1000 attributes.
@@ -13,7 +14,9 @@ error: a row is never dropped in silence.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +33,50 @@ _TAG = rf"""^(?:[^\s/>!?="']++(?:{_ATTRIBUTE})*+\s*+/?>|/[^\s/>]++\s*+>)"""
 # What else may follow a `<`: nothing (start of file), comment, declaration, instruction.
 _OTHER = r"(?s)^(?:[\s﻿]*$|\?.*?\?>|!--.*?-->|!\[CDATA\[.*?\]\]>|![A-Z])"
 
-# Usual spelling of the two most frequent elements, free of anything to decode.
-_PLAIN_REF = r"""^nd ref="([^"&\t\r\n]*+)" ?/?>$"""
-_PLAIN_TAG = r"""^tag k="([^"&\t\r\n]*+)" v="([^"&\t\r\n]*+)" ?/?>$"""
+# Usual spelling of the two most frequent elements, free of anything to decode and of
+# characters that XML forbids: these are left to the parser, which refuses them.
+_PLAIN_VALUE = r"""[^"&\x00-\x1F\uFFFE\uFFFF]*+"""
+_PLAIN_REF = rf"""^nd ref="({_PLAIN_VALUE})" ?/?>$"""
+_PLAIN_TAG = rf"""^tag k="({_PLAIN_VALUE})" v="({_PLAIN_VALUE})" ?/?>$"""
+
+# Files are numbered on the driver, which has their list anyway, and the numbers are sent to
+# all tasks; so many rows of a number and a path are some hundred megabytes at most.
+MAX_FILES = 1_000_000
 
 _XML = {"mode": "FAILFAST", "attributePrefix": "", "ignoreSurroundingSpaces": "false"}
 
 
+def _natural(file: str) -> tuple:
+    """Sort key of a file: its decoded name, numbers in it compared as numbers."""
+    name = unquote(file)
+    return tuple(int(p) if i % 2 else p for i, p in enumerate(re.split(r"([0-9]+)", name))), name
+
+
+def files_in_order(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Files of the extract as Spark names them, in document order."""
+    files = [f for path in paths for f in sorted(spark.read.text(path).inputFiles(), key=_natural)]
+    if len(set(files)) < len(files):
+        raise ValueError("a file is named twice by the paths of the extract")
+    if len(files) > MAX_FILES:
+        raise ValueError(f"{len(files)} files; an extract may have {MAX_FILES}, so join small ones")
+    return files
+
+
+def _numbered(spark: SparkSession, rows: DataFrame, files: list[str]) -> DataFrame:
+    """``path`` of each row replaced by ``file``, the number of the file."""
+    if len(files) < 2:
+        return rows.withColumn("file", F.lit(0)).drop("path")
+    # File metadata leaves out the empty host that the list of files spells.
+    spelled = [(i, f.replace(":///", ":/", 1)) for i, f in enumerate(files)]
+    numbers = spark.createDataFrame(spelled, "number INT, listed STRING")
+    unknown = F.concat(F.lit("not in the list of files when the scan was planned: "), "path")
+    return (
+        rows.join(F.broadcast(numbers), F.col("path") == F.col("listed"), "left")
+        .withColumn("file", F.when(F.col("number").isNull(), F.raise_error(unknown)).otherwise(F.col("number")))
+        .drop("path", "number", "listed")
+    )
+
+
 def scan_tags(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per opening or closing tag: position and the tag's text without ``<``.
 
@@ -49,15 +89,15 @@ def scan_tags(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     # A tag, or NULL for other legal content. The pattern runs once per row, in its own
     # projection.
     checked = F.when(tag != "", tag).when(~text.rlike(_OTHER), F.raise_error(problem))
+    scanned = spark.read.option("lineSep", "<").text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        F.col("value").alias("text"),
+        F.regexp_extract("value", _TAG, 0).alias("tag"),
+    )
     return (
-        spark.read.option("lineSep", "<").text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-            F.col("value").alias("text"),
-            F.regexp_extract("value", _TAG, 0).alias("tag"),
-        )
+        _numbered(spark, scanned, files_in_order(spark, paths))
         .select(*POSITION, checked.alias("tag"))
         .where(tag.isNotNull())
     )

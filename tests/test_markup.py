@@ -224,6 +224,81 @@ def test_several_files_are_one_extract(spark, tmp_path):
     ]
 
 
+def refs_of(spark, paths):
+    rows = shape.way_node_positions(order.children(markup.events(spark, paths)))
+    return sorted((i, int(n), p) for i, n, p in collected(rows))
+
+
+def in_pieces(folder, *names):
+    """A path with five refs cut into pieces, in the order of ``names``."""
+    whole = "<map>" + fx.way(1, children=[fx.nd(i) for i in range(10)]) + "</map>"
+    tags = whole.replace("<", "\0<").split("\0")[1:]
+    per = -(-len(tags) // len(names))
+    for k, name in enumerate(names):
+        (folder / name).write_text("".join(tags[k * per : (k + 1) * per]))
+
+
+@pytest.mark.parametrize("names", [
+    ("part-99998", "part-99999", "part-100000", "part-100001"),
+    ("a b.xml", "a!c.xml"),
+    ("1.xml", "2.xml", "10.xml"),
+    ("é9.xml", "é10.xml"),
+])
+def test_files_go_by_name_and_number(spark, tmp_path, names):
+    in_pieces(tmp_path, *names)
+    assert refs_of(spark, str(tmp_path)) == [("1", i, i) for i in range(10)]
+
+
+def test_paths_go_in_the_order_given(spark, tmp_path):
+    in_pieces(tmp_path, "b.xml", "a.xml")
+    given = [str(tmp_path / n) for n in ("b.xml", "a.xml")]
+    assert refs_of(spark, given) == [("1", i, i) for i in range(10)]
+    with pytest.raises(Exception, match="bad nesting"):
+        refs_of(spark, given[::-1])
+    with pytest.raises(ValueError, match="twice"):
+        refs_of(spark, [given[0], given[0]])
+
+
+EMPTY_INSIDE = '<node id="1"><way id="2"/><tag k="c" v="d"/></node>'
+
+
+@pytest.mark.parametrize("bits", [0, 12])
+@pytest.mark.parametrize("text", [
+    '<node id="1"><tag k="a" v="b"/></way><tag k="c" v="d"/></node>',
+    '<node id="1"><way id="2"><nd ref="1"/></way><tag k="c" v="d"/></node>',
+    EMPTY_INSIDE,
+    '<node id="1"><tag k="a" v="b"/>',
+    '<node id="1"/></way>',
+    '<way id="2"><nd ref="1"/>',
+    '<node id="1"/><tag k="a" v="b"/></node>',
+])
+def test_bad_nesting_stops_the_run(spark, write, text, bits):
+    rows = markup.events(spark, write(f"<map>{text}</map>"))
+    if text == EMPTY_INSIDE:
+        assert [(r.k, r.parent.id) for r in order.children(rows, bits).collect()] == [("c", "1")]
+    results = [order.children(rows, bits)] if text != EMPTY_INSIDE else []
+    for result in [*results, order.element_index(rows, bits)]:
+        with pytest.raises(Exception, match="bad nesting"):
+            result.collect()
+
+
+def test_bad_nesting_across_splits(spark, tmp_path):
+    (tmp_path / "1.xml").write_text('<map><node id="1"><tag k="a" v="b"/>')
+    (tmp_path / "2.xml").write_text('<tag k="a" v="c"/>')
+    (tmp_path / "3.xml").write_text("</node></map>")
+    rows = markup.events(spark, str(tmp_path))
+    assert [r.v for r in order.children(rows).orderBy(*markup.POSITION).collect()] == ["b", "c"]
+    (tmp_path / "3.xml").write_text("</way></map>")
+    with pytest.raises(Exception, match="bad nesting: </way> does not close <node>"):
+        order.children(rows).collect()
+
+
+@pytest.mark.parametrize("tag", ['tag k="a" v="\x01"', 'tag k="\x02" v="b"', 'nd ref="1\x1f"', 'node id="\x01"'])
+def test_characters_that_xml_forbids_stop_the_scan(spark, write, tag):
+    with pytest.raises(Exception, match="MALFORMED"):
+        markup.events(spark, write(f"<map><{tag}/></map>")).collect()
+
+
 def test_plain_spelling_reads_like_any_other(spark, write):
     """Refs and tags in plain form are read by a pattern, the same data spelled otherwise is parsed."""
     values = ["", " ", "a b", "'", ">", "/", "/>", "k=", " v=", "é", "\\", "$1", "a" * 300]
@@ -243,7 +318,7 @@ def test_moved_splits_are_noticed(spark, write, monkeypatch):
     rows = markup.events(spark, write(fx.small()))
     real = order._carried_in
     monkeypatch.setattr(order, "_carried_in", lambda local: real(local.where("segment % 2 = 0")))
-    with pytest.raises(Exception, match="splits moved"):
+    with pytest.raises(Exception, match="splits moved|bad nesting"):
         order.children(rows, 2).collect()
-    with pytest.raises(Exception, match="splits moved"):
+    with pytest.raises(Exception, match="splits moved|bad nesting"):
         order.every_kth(rows, 10, 2).collect()

@@ -165,27 +165,31 @@ def test_plans(spark, city, tmp_path):
     nodes = final_plan(shape.shape_nodes(markup.elements(staged)))
     assert "EqualTo(kind,node)" in nodes
     assert "Exchange" not in nodes and "k:string" not in nodes.split("ReadSchema")[1]
-    kids = final_plan(order.children(staged))
-    assert "ReusedExchange" in kids and "Python" not in kids
     # Only the summary with one row per split is sorted as a whole.
-    assert kids.count("SinglePartition") == 1
+    assert final_plan(order.children(staged)).count("SinglePartition") == 1
 
 
-def test_order_without_broadcast(spark, city, tmp_path):
-    """Beyond the broadcast size rows are still shuffled once, and the result is the same."""
-    staged = markup.stage_events(spark, city, str(tmp_path / "staged"))
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_order_scans_and_shuffles_once(spark, city, tmp_path, broadcast):
+    """In the whole final plan; the result is the same beyond the broadcast size."""
+    staged = markup.stage_events(spark, city, str(tmp_path / "staged"), keep_markup=True)
     want = rows_of(order.children(staged, 2))
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    for n in names:
+    for n in names if not broadcast else ():
         spark.conf.set(n, "-1")
     try:
-        kids = order.children(staged, 2)
-        text = final_plan(kids)
-        assert rows_of(kids) == want
+        results = [order.children(staged, 2), order.every_kth(staged, 10, 2), extract.sampled_markup(staged, 10, 2)]
+        plans = [final_plan(r) for r in results]
+        assert rows_of(results[0]) == want
     finally:
-        for n in names:
+        for n in names if not broadcast else ():
             spark.conf.unset(n)
-    assert "SortMergeJoin" in text and "Broadcast" not in text
-    # Of the two sides of the outer join, the rows are shuffled once and the summary once.
-    outer = text.split("SortMergeJoin")[1]
-    assert outer.count("Exchange hashpartitioning(segment") == 2
+    for text in plans:
+        assert "Python" not in text and ("Broadcast" in text) == broadcast
+        scans = [line for line in text.splitlines() if "FileScan" in line]
+        assert len(scans) == 1 and "file:int" in scans[0]
+        by_segment = [x for x in text.splitlines() if "Exchange hashpartitioning(segment" in x and "Reused" not in x]
+        wide = [x for x in by_segment if "in_split" not in x]
+        assert text.count("ReusedExchange") >= 1
+        # With a sort-merge join the summary, a row per segment, is shuffled once as well.
+        assert len(wide) == (1 if broadcast else 2)
