@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mapengine import workspace
@@ -69,7 +69,12 @@ def _street() -> Column:
 
 def node_tag_values() -> dict[str, Column]:
     return {
-        "amenity": F.col("p_type"),
+        "amenity": F.concat("p_type", F.lit(" "), _text("p_size")),
+        "kind": F.col("p_type"),
+        "building": F.when(F.col("p_size") % 3 == 0, "place_of_worship").when(F.col("p_size") % 3 == 1, "restaurant").otherwise("other"),
+        "religion": F.col("p_brand"),
+        "cuisine": F.col("p_type"),
+        "addr:zipcode": _postcode(F.col("p_size")),
         "addr:city": F.col("p_brand"),
         "name": F.col("p_name"),
         "size.code": _text("p_size"),
@@ -89,29 +94,38 @@ def way_tag_values() -> dict[str, Column]:
     }
 
 
+_OWNERS = (("part", "node", "p_partkey", node_tag_values), ("orders", "way", "o_orderkey", way_tag_values))
+
+
 @cache
 def raw_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``elem, id, k, v``; one branch per key, so a filter on the key drops whole branches."""
-    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
-    branches = [
-        rows.select(F.lit(elem).alias("elem"), F.col(key).alias("id"), F.lit(k).alias("k"), v.alias("v"))
-        for rows, elem, key, values in (
-            (part, "node", "p_partkey", node_tag_values()),
-            (orders, "way", "o_orderkey", way_tag_values()),
+    """``elem, id, k, v``; each table is read once."""
+    return reduce(DataFrame.unionByName, [
+        table(spark, sf_dir, name).select(
+            F.lit(elem).alias("elem"), F.col(key).alias("id"),
+            F.inline(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values().items()])),
         )
-        for k, v in values.items()
-    ]
-    return reduce(DataFrame.unionByName, branches)
+        for name, elem, key, values in _OWNERS
+    ])
+
+
+@cache
+def tags_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a branch per key, of which a filter on the key drops all but one."""
+    return reduce(DataFrame.unionByName, [
+        table(spark, sf_dir, name).select(F.lit(elem).alias("elem"), F.col(key).alias("id"), F.lit(k).alias("k"), v.alias("v"))
+        for name, elem, key, values in _OWNERS for k, v in values().items()
+    ])
 
 
 @cache
-def node_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.shape_node_tags(raw_tags(spark, sf_dir))
+def node_tags(spark: SparkSession, sf_dir: str, by_key: bool = False) -> DataFrame:
+    return shape.shape_node_tags((tags_by_key if by_key else raw_tags)(spark, sf_dir))
 
 
 @cache
-def way_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.shape_way_tags(raw_tags(spark, sf_dir))
+def way_tags(spark: SparkSession, sf_dir: str, by_key: bool = False) -> DataFrame:
+    return shape.shape_way_tags((tags_by_key if by_key else raw_tags)(spark, sf_dir))
 
 
 def raw_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,14 +158,44 @@ def dirty_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dirty_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All five tables as text with their ``element``; integers, floats and required fields fail."""
+    items = table(spark, sf_dir, "lineitem")
+    node, way = F.col("id") * 2, F.col("id") * 2 + 1
+    text = lambda df: df.select(*[c if c == "element" else F.col(c).cast("string").alias(c) for c in df.columns])
+
+    def bad(df: DataFrame, column: str, when: Column, value: str | None) -> DataFrame:
+        return df.withColumn(column, F.when(when, F.lit(value)).otherwise(F.col(column)))
+
+    i = (F.col("element") - F.col("element") % 2) / 2
+    every = lambda n: i % n == 0
+    order_of = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    refs = items.select(
+        F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("node_id"), (F.row_number().over(order_of) - 1).alias("position"))
+    out = {
+        "nodes": text(nodes(spark, sf_dir).withColumn("element", node)),
+        "nodes_tags": text(node_tags(spark, sf_dir).withColumn("element", node)),
+        "ways": text(ways(spark, sf_dir).withColumn("element", way)),
+        "ways_nodes": text(refs.withColumn("element", way)),
+        "ways_tags": text(way_tags(spark, sf_dir).withColumn("element", way)),
+    }
+    out["nodes"] = bad(bad(bad(out["nodes"], "id", every(97), "x"), "user", every(89), None), "lat", every(83), "north")
+    out["nodes_tags"] = bad(out["nodes_tags"], "value", every(79) & (F.col("key") == "name"), None)
+    out["ways"] = bad(bad(out["ways"], "user", every(101), None), "changeset", every(103), "c")
+    out["ways_nodes"] = bad(out["ways_nodes"], "node_id", every(109) & (F.col("position") == "0"), "r")
+    out["ways_tags"] = bad(out["ways_tags"], "type", every(107) & (F.col("key") == "Status"), None)
+    return out
+
+
 def document_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phone numbers in running text, from the bracket on."""
-    found = F.regexp_extract_all("text", F.lit(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"), F.lit(0))
+    """Whole phone numbers in running text, country code included."""
+    found = F.regexp_extract_all("text", F.lit(r"(?:\+?[0-9]{1,3} )?\([0-9]{3}\) [0-9]{3}-[0-9]{4}"), F.lit(0))
     return table(spark, sf_dir, "documents").select(F.explode(found).alias("phone"))
 
 
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))
+    """Names of whatever looks like an opening tag, in comments and scripts as well."""
+    names = F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9:._-]*)"), F.lit(1))
     return table(spark, sf_dir, "pages").select(F.explode(names).alias("name"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from checks.queries import NAME_MAPPING, PHONE_MAPPING
 
+# Fixed values, the same as in the library: the stamp, problem characters, expected street types.
 STAMP = "2024-01-01T00:00:00Z"
 PROBLEM = r"""[=+/&<>;''"?%#$@,. \t\r\n]"""
 EXPECTED = (
@@ -33,7 +34,13 @@ ways_nodes AS (
 
 RAW_TAGS = """
 raw_tags AS (
-  SELECT 'node' AS elem, p_partkey AS id, 'amenity' AS k, p_type AS v FROM part
+  SELECT 'node' AS elem, p_partkey AS id, 'amenity' AS k, p_type || ' ' || p_size AS v FROM part
+  UNION ALL SELECT 'node', p_partkey, 'kind', p_type FROM part
+  UNION ALL SELECT 'node', p_partkey, 'building', CASE p_size % 3 WHEN 0 THEN 'place_of_worship'
+                   WHEN 1 THEN 'restaurant' ELSE 'other' END FROM part
+  UNION ALL SELECT 'node', p_partkey, 'religion', p_brand FROM part
+  UNION ALL SELECT 'node', p_partkey, 'cuisine', p_type FROM part
+  UNION ALL SELECT 'node', p_partkey, 'addr:zipcode', CAST(29980 + p_size AS VARCHAR) FROM part
   UNION ALL SELECT 'node', p_partkey, 'addr:city', p_brand FROM part
   UNION ALL SELECT 'node', p_partkey, 'name', p_name FROM part
   UNION ALL SELECT 'node', p_partkey, 'size.code', CAST(p_size AS VARCHAR) FROM part
@@ -133,6 +140,26 @@ checked AS (
          CASE WHEN "user" IS NULL THEN 'required:user' END AS bad_user FROM dirty)"""
 
 
+def validated(columns: str) -> str:
+    """Rows per table whose whole element passes, and the others."""
+    node = "p_partkey % 97 = 0 OR p_partkey % 89 = 0 OR p_partkey % 83 = 0 OR p_partkey % 79 = 0"
+    way = """o_orderkey % 101 = 0 OR o_orderkey % 103 = 0 OR o_orderkey % 107 = 0
+             OR o_orderkey % 109 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)"""
+    return f"""WITH {TAGS},
+        bad_nodes AS (SELECT p_partkey AS id FROM part WHERE {node}),
+        bad_ways AS (SELECT o_orderkey AS id FROM orders WHERE {way}),
+        rows AS (
+          SELECT 'nodes' AS table_name, p_partkey IN (SELECT id FROM bad_nodes) AS bad FROM part
+          UNION ALL SELECT 'nodes_tags', id IN (SELECT id FROM bad_nodes) FROM nodes_tags
+          UNION ALL SELECT 'ways', o_orderkey IN (SELECT id FROM bad_ways) FROM orders
+          UNION ALL SELECT 'ways_nodes', l_orderkey IN (SELECT id FROM bad_ways) FROM lineitem
+          UNION ALL SELECT 'ways_tags', id IN (SELECT id FROM bad_ways) FROM ways_tags),
+        counted AS (
+          SELECT table_name, count(*) FILTER (NOT bad) AS kept, count(*) FILTER (bad) AS rejected, 0 AS orphans
+          FROM rows GROUP BY table_name)
+        SELECT table_name, {columns} FROM counted"""
+
+
 def replaced(column: str, mapping: dict[str, str]) -> str:
     for key in sorted(mapping, key=lambda k: (-len(k), k)):
         column = f"replace({column}, '{key}', '{mapping[key]}')"
@@ -196,9 +223,17 @@ def oracle_sql() -> dict[str, str]:
                    CAST(CASE WHEN t.name = 'relation' THEN 2 ELSE 0 END AS BIGINT) AS n_member
             FROM tops t LEFT JOIN tag_counts g ON t.name = g.name AND t.id = g.id
                         LEFT JOIN nd_counts r ON t.name = 'way' AND t.id = r.id""",
-        "csv_roundtrip": f"""WITH {TAGS}
-            SELECT 'nodes_tags' AS source, * FROM nodes_tags
-            UNION ALL SELECT 'ways_tags', * FROM ways_tags""",
+        "csv_roundtrip": f"""WITH {NODES}, {WAYS}, {WAYS_NODES}, {TAGS},
+            hard AS (
+              SELECT 'nodes_tags' AS source, * FROM nodes_tags
+              UNION ALL SELECT 'ways_tags', * FROM ways_tags)
+            SELECT source, id, "key",
+                   CASE WHEN id % 5 <> 0 THEN 'a' || chr(10) || '"b", ' || chr(13) || chr(10) || "value" END AS "value",
+                   "type" FROM hard
+            UNION ALL SELECT 'nodes', id, 'user', "user", "timestamp" FROM nodes
+            UNION ALL SELECT 'ways', id, 'user', "user", "timestamp" FROM ways
+            UNION ALL SELECT 'ways_nodes', id, 'position', CAST(node_id AS VARCHAR), CAST("position" AS VARCHAR)
+            FROM ways_nodes""",
         "csv_roundtrip_nodes": f"WITH {NODES} SELECT * FROM nodes",
         "load_tables": f"""WITH {NODES}, {WAYS}, {WAYS_NODES}, {TAGS}
             SELECT 'nodes' AS table_name, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM nodes
@@ -246,9 +281,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT error, count(*) AS n FROM (
               SELECT bad_id AS error FROM checked UNION ALL SELECT bad_user FROM checked)
             WHERE error IS NOT NULL GROUP BY error""",
+        "validated_elements": validated("kept, rejected, orphans"),
+        "unvalidated_elements": validated("kept + rejected AS n"),
         "phone_format": f"""WITH {RAW_TAGS},
             phones AS (
-              SELECT unnest(regexp_extract_all(text, '\\([0-9]{{3}}\\) [0-9]{{3}}-[0-9]{{4}}')) AS phone FROM documents
+              SELECT unnest(regexp_extract_all(text, '(?:\\+?[0-9]{{1,3}} )?\\([0-9]{{3}}\\) [0-9]{{3}}-[0-9]{{4}}')) AS phone FROM documents
               UNION SELECT v FROM raw_tags WHERE lower(k) LIKE '%phone%')
             SELECT phone, {phone('phone')} AS formatted FROM phones""",
         "update_name": f"SELECT p_partkey, p_name, {replaced('p_name', NAME_MAPPING)} AS better_name FROM part",
@@ -256,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT elem, id, {replaced('v', PHONE_MAPPING)} AS phone FROM raw_tags WHERE k LIKE '%phone%'""",
         "count_tags": f"WITH {ELEMENTS} SELECT name, count(*) AS n FROM elements GROUP BY name",
         "count_tags_pages": """SELECT name, count(*) AS n FROM (
-            SELECT unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS name FROM pages)
+            SELECT unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9:._-]*)', 1)) AS name FROM pages)
             GROUP BY name""",
         "key_classes": f"""WITH {RAW_KEYS},
             classed AS (

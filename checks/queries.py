@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ NAME_MAPPING = {"ring": "Ring", "in": "IN", "widget": "Widget", "red": "Red", "t
 PHONE_MAPPING = {"(404) ": "+1 404 ", "(678) ": "+1 678 ", "555-": "555 "}
 
 
-def all_tags(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.union_tags(d.node_tags(spark, sf), d.way_tags(spark, sf))
+def all_tags(spark: SparkSession, sf: str, by_key: bool = False) -> DataFrame:
+    return analytics.union_tags(d.node_tags(spark, sf, by_key), d.way_tags(spark, sf, by_key))
 
 
 # --- A: sources and sinks -----------------------------------------------------------
@@ -37,28 +38,43 @@ def scan_elements(spark: SparkSession, sf: str) -> DataFrame:
 
 def scan_top_level(spark: SparkSession, sf: str) -> DataFrame:
     """Top-level elements in document order with the number of children of each kind."""
-    rows = order.in_document_order(
-        d.staged(spark, sf).select("file", "block", "seq", "event", "name", "id")
-    ).where("event != 'close' AND element >= 0")
-    own = F.col("name").isin("node", "way", "relation")
-    counted = rows.groupBy("element").agg(
-        F.max(F.when(own, F.col("name"))).alias("name"),
-        F.max(F.when(own, F.col("id"))).alias("id"),
-        *[F.count_if(F.col("name") == c).alias(f"n_{c}") for c in ("tag", "nd", "member")],
-    )
+    staged = d.staged(spark, sf)
+    kids = order.children(staged).groupBy("parent.seq").agg(
+        *[F.count_if(F.col("name") == c).alias(f"n_{c}") for c in ("tag", "nd", "member")])
+    index = order.element_index(staged).select("seq", "element")
+    counted = markup.top_level(staged).select("seq", "name", "id").join(index, "seq").join(kids, "seq", "left").select(
+        "element", "name", "id", *[F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}") for c in ("tag", "nd", "member")])
     return counted
 
 
+def _five(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {
+        "nodes": d.nodes(spark, sf),
+        "nodes_tags": d.node_tags(spark, sf),
+        "ways": d.ways(spark, sf),
+        "ways_nodes": shape.way_node_positions(d.children(spark, sf)),
+        "ways_tags": d.way_tags(spark, sf),
+    }
+
+
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """All five tables through CSV; texts with line feeds and quotes, some of them missing."""
+    source = _five(spark, sf)
+    hard = F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit('a\n"b", \r\n'), "value"))
+    for name in ("nodes_tags", "ways_tags"):
+        source[name] = source[name].withColumn("value", hard)
     target = workspace.new_dir(spark, "csv")
-    names = ("nodes_tags", "ways_tags")
-    raw = {"nodes_tags": d.node_tags(spark, sf), "ways_tags": d.way_tags(spark, sf)}
-    tables.write_csv(raw, target)
-    back = [
-        tables.read_csv(spark, target, n, typed=True).select(F.lit(n).alias("source"), "*")
-        for n in names
-    ]
-    return back[0].unionByName(back[1])
+    tables.write_csv(source, target)
+    back = tables.read_all_csv(spark, target, typed=True)
+    shown = {
+        "nodes": ("user", F.col("user"), F.col("timestamp")), "ways": ("user", F.col("user"), F.col("timestamp")),
+        "ways_nodes": ("position", F.col("node_id").cast("string"), F.col("position").cast("string")),
+    }
+    return reduce(DataFrame.unionByName, [
+        rows.select(F.lit(name).alias("source"), "id", F.lit(shown[name][0]).alias("key"), shown[name][1].alias("value"), shown[name][2].alias("type"))
+        if name in shown else rows.select(F.lit(name).alias("source"), "id", "key", "value", "type")
+        for name, rows in back.items()
+    ])
 
 
 def csv_roundtrip_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,16 +85,10 @@ def csv_roundtrip_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def load_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Loads all five tables twice, so the second load replaces the first, and counts them."""
-    kids = d.children(spark, sf)
-    source = {
-        "nodes": d.nodes(spark, sf),
-        "nodes_tags": d.node_tags(spark, sf),
-        "ways": d.ways(spark, sf),
-        "ways_nodes": shape.way_node_positions(kids),
-        "ways_tags": d.way_tags(spark, sf),
-    }
+    source = _five(spark, sf)
+    spark.sql("CREATE DATABASE IF NOT EXISTS loaded_extract")
     for _ in range(2):
-        loaded = tables.load_tables(spark, source, workspace.new_dir(spark, "tables"))
+        loaded = tables.load_tables(spark, source, workspace.new_dir(spark, "tables"), "loaded_extract")
     counts = [
         rows.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"),
                  F.sum(F.col("id").cast("long")).alias("id_sum"))
@@ -160,6 +170,28 @@ def quarantine_counts(spark: SparkSession, sf: str) -> DataFrame:
     return validate.error_counts(d.dirty_nodes(spark, sf), "nodes")
 
 
+def validated_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept and rejected rows of all five tables, and kept children without their element."""
+    return _counted_elements(spark, sf, "quarantine").select("table_name", "kept", "rejected", "orphans")
+
+
+def unvalidated_elements(spark: SparkSession, sf: str) -> DataFrame:
+    return _counted_elements(spark, sf, "off").select("table_name", F.col("kept").alias("n"))
+
+
+def _counted_elements(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    found = validate.check_elements(d.dirty_tables(spark, sf), workspace.new_dir(spark, "checked"), mode)
+    out = []
+    for name, rows in found.kept.items():
+        owners = found.kept["nodes" if name.startswith("nodes") else "ways"].select("element")
+        counts = [
+            rows.agg(F.count("*").alias("kept")), found.rejected[name].agg(F.count("*").alias("rejected")),
+            rows.join(owners, "element", "left_anti").agg(F.count("*").cast("int").alias("orphans")),
+        ]
+        out.append(counts[0].join(counts[1]).join(counts[2]).select(F.lit(name).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 # --- D: scalar cleaning -------------------------------------------------------------
 
 def phone_format(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,6 +275,8 @@ def queries() -> dict[str, Query]:
         "validate_rows": validate_rows,
         "quarantine_rows": quarantine_rows,
         "quarantine_counts": quarantine_counts,
+        "validated_elements": validated_elements,
+        "unvalidated_elements": unvalidated_elements,
         "phone_format": phone_format,
         "update_name": update_name,
         "clean_phone": clean_phone,
@@ -251,17 +285,17 @@ def queries() -> dict[str, Query]:
         "key_classes": lambda s, sf: profile.key_classes(d.raw_keys(s, sf)),
         "distinct_users": distinct_users,
         "count_users": count_users,
-        "audit_street_types": lambda s, sf: profile.audit_street_types(d.raw_tags(s, sf)),
-        "audit_zipcodes": lambda s, sf: profile.audit_zipcodes(d.raw_tags(s, sf)),
+        "audit_street_types": lambda s, sf: profile.audit_street_types(d.tags_by_key(s, sf)),
+        "audit_zipcodes": lambda s, sf: profile.audit_zipcodes(d.tags_by_key(s, sf)),
         "audit_phone": lambda s, sf: profile.audit_phone(d.raw_tags(s, sf)),
-        "top_postcodes": lambda s, sf: analytics.top_postcodes(all_tags(s, sf)),
-        "top_phones": lambda s, sf: analytics.top_phones(all_tags(s, sf)),
-        "top_cities": lambda s, sf: analytics.top_cities(all_tags(s, sf)),
+        "top_postcodes": lambda s, sf: analytics.top_postcodes(all_tags(s, sf, True)),
+        "top_phones": lambda s, sf: analytics.top_phones(all_tags(s, sf, True)),
+        "top_cities": lambda s, sf: analytics.top_cities(all_tags(s, sf, True)),
         "count_nodes": lambda s, sf: analytics.count_rows(d.nodes(s, sf)),
         "count_ways": lambda s, sf: analytics.count_rows(d.ways(s, sf)),
         "top_users": lambda s, sf: analytics.top_users(d.contributions(s, sf)),
         "one_time_users": lambda s, sf: analytics.one_time_users(d.contributions(s, sf)),
-        "top_amenities": lambda s, sf: analytics.top_amenities(d.node_tags(s, sf)),
+        "top_amenities": lambda s, sf: analytics.top_amenities(d.node_tags(s, sf, True)),
         "value_counts_religion":
             lambda s, sf: analytics.value_counts_for(d.node_tags(s, sf), "PROMO", "name"),
         "value_counts_cuisine":

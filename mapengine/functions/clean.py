@@ -24,7 +24,8 @@ from mapengine.model import (
 _SPLIT_KEY = r"^[a-z_]+:[a-z_]"
 _LOWER = r"(?d)^[a-z_]*$"
 _LOWER_COLON = r"(?d)^[a-z_]*:[a-z_]*$"
-# From the first word character of the last blank-delimited piece to the end.
+# From the first word character of the last blank-delimited piece to the end. Word characters
+# are spelled out: what a word boundary is to non-ASCII letters differs between Java releases.
 _STREET_TYPE = r"(?d)[A-Za-z0-9_]\S*$"
 
 

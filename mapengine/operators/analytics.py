@@ -50,13 +50,13 @@ def value_counts_for(
 ) -> DataFrame:
     """Values of ``key`` on the ids that have ``having_value`` under any key.
 
-    Tags are summed up per id and value before the join, so an id with very many equal tags
-    is one row when it is shuffled. The ids are distinct, so an inner join multiplies nothing;
-    Catalyst would move a semi join below that sum and shuffle the single tags again.
+    Each side is shuffled once by id, and the values once for the count, after being counted
+    map-side. An id with very many tags stands on the left of a semi join, whose partitions
+    adaptive execution splits.
     """
-    per_id = tags.where(key_is(key)).groupBy("id", "value").agg(F.count("*").alias("n"))
-    kept = per_id.join(distinct_tagged_ids(tags, having_value), "id")
-    return _ranked(kept.groupBy("value").agg(F.sum("n").alias("n")), "value", limit)
+    values = tags.where(key_is(key)).select("id", "value")
+    kept = tags_of(values, distinct_tagged_ids(tags, having_value))
+    return _ranked(kept.groupBy("value").agg(F.count("*").alias("n")), "value", limit)
 
 
 def top_postcodes(tags: DataFrame) -> DataFrame:

@@ -41,14 +41,12 @@ def audit_street_types(
     tags: DataFrame, expected: Sequence[str] = EXPECTED_STREET_TYPES
 ) -> DataFrame:
     """Unexpected street types with the names that end in them."""
-    return (
-        tags.where(clean.is_street_name(F.col("k")))
-        .select(
-            clean.unexpected_street_type(F.col("v"), expected).alias("street_type"),
-            F.col("v").alias("street_name"),
-        )
-        .where(F.col("street_type").isNotNull())
-        .distinct()
+    # Names are made distinct first: the pattern then runs once per name, not per tag, and no
+    # filter on its result is moved below.
+    names = tags.where(clean.is_street_name(F.col("k"))).select(F.col("v").alias("street_name")).distinct()
+    kind = clean.unexpected_street_type(F.col("street_name"), expected)
+    return names.select(F.inline(F.array(F.struct(kind.alias("street_type"), "street_name")))).where(
+        F.col("street_type").isNotNull()
     )
 
 

@@ -35,17 +35,19 @@ def raw_tags(children: DataFrame) -> DataFrame:
     ).select(F.col("parent.name").alias("elem"), F.col("parent.id").alias("id"), "k", "v")
 
 
-def _shape_tags(tags: DataFrame, elem: str, value, problem_chars: str, default_type: str) -> DataFrame:
+def _shape_tags(
+    tags: DataFrame, elem: str, value, problem_chars: str, default_type: str, *more: str
+) -> DataFrame:
     key = F.col("k")
     return (
         tags.where((F.col("elem") == elem) & ~clean.has_problem_chars(key, problem_chars))
         .select(
-            "id",
+            *more, "id",
             clean.split_key_name(key).alias("key"),
             value.alias("value"),
             clean.split_key_type(key, default_type).alias("type"),
         )
-        .select(*NODE_TAG_FIELDS)
+        .select(*more, *NODE_TAG_FIELDS)
     )
 
 
@@ -73,6 +75,22 @@ def way_node_positions(children: DataFrame) -> DataFrame:
     )
 
 
+def shape_with_elements(elements: DataFrame, children: DataFrame) -> dict[str, DataFrame]:
+    """``shape`` with ``element``, which is the same for an element and all its children."""
+    own = children.withColumn("element", F.col("parent.seq"))
+    tags = own.where((F.col("name") == "tag") & F.col("parent.name").isin(*SHAPED)).select(
+        "element", F.col("parent.name").alias("elem"), F.col("parent.id").alias("id"), "k", "v")
+    value = clean.clean_tag_value(F.col("k"), F.col("v"))
+    refs = own.where((F.col("name") == "nd") & (F.col("parent.name") == "way"))
+    return {
+        "nodes": shape_nodes(elements.withColumn("element", F.col("seq")), ("element", *NODE_FIELDS)),
+        "nodes_tags": _shape_tags(tags, "node", value, PROBLEM_CHARS, REGULAR, "element"),
+        "ways": shape_ways(elements.withColumn("element", F.col("seq")), ("element", *WAY_FIELDS)),
+        "ways_nodes": refs.select("element", F.col("parent.id").alias("id"), F.col("ref").alias("node_id"), "position"),
+        "ways_tags": _shape_tags(tags, "way", F.col("v"), PROBLEM_CHARS, REGULAR, "element"),
+    }
+
+
 def shape(elements: DataFrame, children: DataFrame) -> dict[str, DataFrame]:
     """All five raw tables by name."""
     tags = raw_tags(children)

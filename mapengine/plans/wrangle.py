@@ -18,7 +18,8 @@ class Wrangled:
     """Results of one run. Everything is a DataFrame over stored Parquet.
 
     ``tags`` are raw tags of points and paths, ``text`` the rows that passed validation with
-    values as in the markup, ``tables`` the same rows typed, ``rejects`` the others.
+    values as in the markup, ``tables`` the same rows typed, ``rejects`` the others. An element
+    is rejected as a whole, with all its children.
     """
 
     staged: DataFrame
@@ -62,8 +63,10 @@ def wrangle(
     target = target or workspace.new_dir(spark, "wrangle")
     staged = markup.stage_events(spark, path, f"{target}/staged")
     children = order.store_children(staged, f"{target}/children", segment_bits)
-    raw = shape.shape(markup.elements(staged), children)
-    text = {t: validate.passing(raw[t], t, mode) for t in TABLES}
-    stored = tables.store_tables({t: validate.typed(text[t], t) for t in TABLES}, f"{target}/tables")
-    rejects = {t: validate.quarantine(raw[t], t) for t in TABLES}
-    return Wrangled(staged, shape.raw_tags(children), text, stored, rejects)
+    raw = shape.shape_with_elements(markup.elements(staged), children)
+    found = validate.check_elements(raw, f"{target}/checked", mode)
+    stored = tables.store_tables(found.typed, f"{target}/tables")
+    return Wrangled(
+        staged, shape.raw_tags(children), {t: rows.drop("element") for t, rows in found.kept.items()}, stored,
+        {t: rows.drop("element") for t, rows in found.rejected.items()},
+    )

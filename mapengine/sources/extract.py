@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from mapengine.operators.order import SEGMENT_BITS, in_document_order
 
 _HEADER, _BODY, _FOOTER = 0, 1, 2
 
+TAGS_PER_FILE = 1_000_000
+
 
 def sampled_markup(rows: DataFrame, k: int = SAMPLE_STEP, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """Tags of the sampled elements: ``element``, ``seq`` and ``markup``.
@@ -35,14 +39,14 @@ def write_sample(
 ) -> None:
     """Writes the sample as ``files`` well-formed markup files below ``target``.
 
-    By default there are as many files as the session has shuffle partitions.
+    By default files hold about ``TAGS_PER_FILE`` tags, one k-th of all being in the sample.
 
     An element is never cut: its tags share a file, in document order, with their original
     text. Elements are dealt out in turn, so files have even numbers of elements. ``root`` is
     the name of the enclosing element.
     """
     spark = rows.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(1, math.ceil(rows.count() / k / TAGS_PER_FILE))
     body = sampled_markup(rows, k, segment_bits).select(
         F.expr(f"cast((element div {k}) % {files} as int)").alias("part"),
         F.lit(_BODY).alias("rank"), "element", "seq", "markup",

@@ -21,7 +21,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapengine.model import ATTRIBUTES, CHILDREN, SHAPED, TOP_LEVEL
+from mapengine.model import ATTRIBUTES, CHILDREN, TOP_LEVEL
 from mapengine.workspace import store
 
 # Position of a row in the extract; sorts in document order.
@@ -192,7 +192,3 @@ def top_level(rows: DataFrame, names: Sequence[str] = TOP_LEVEL) -> DataFrame:
     """Top-level elements by name; children are in ``operators.order.children``."""
     return elements(rows).where(F.col("kind").isin(*names))
 
-
-def shaped_only(rows: DataFrame) -> DataFrame:
-    """Points and paths only; relations and the rest give no table rows."""
-    return top_level(rows, SHAPED)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from mapengine.model import TABLE_KINDS, TABLES, raw_schema, typed_schema
 from mapengine.workspace import store
 
-# Stands for NULL in a CSV file. XML text cannot hold this character, so no value read from
-# markup can be mistaken for it; an empty string stays an empty string.
+# Stands for NULL in a CSV file. XML text cannot hold this character, and the scan stops on it,
+# so no value read from markup can be mistaken for it; an empty string stays an empty string.
 NULL_MARK = "\u0001"
 
 # Quotes are doubled, as spreadsheet programs do, and blanks and line ends are kept.
@@ -74,15 +74,17 @@ def load_tables(
 ) -> dict[str, DataFrame]:
     """Replaces the named catalog tables by ``tables``, stored as Parquet below ``location``.
 
-    Take a new location for a new load: the rows may then come from the tables they replace.
+    All are written before any is replaced, so a load that fails leaves every old table as it
+    was; what it has written is not in the catalog. Take a new location for a new load: the
+    rows may then come from the tables they replace.
     """
-    loaded = {}
     for name, rows in tables.items():
+        _store(rows, name, f"{location}/{name}")
+    loaded = {}
+    for name in tables:
         full = name if database is None else f"{database}.{name}"
-        path = f"{location}/{name}"
-        _store(rows, name, path)
         spark.sql(f"DROP TABLE IF EXISTS {full}")
-        spark.catalog.createTable(full, path, "parquet")
+        spark.catalog.createTable(full, f"{location}/{name}", "parquet")
         loaded[name] = spark.table(full)
     return loaded
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 _STAMP = "2020-05-01T10:00:00Z"
 # user name and id of every contributor
-_ANN, _BEN, _CAT, _DAN, _EVA, _FAY = (
-    ("ann", 11), ("ben", 12), ("cat", 13), ("dan", 14), ("eva", 15), ("fay", 16),
-)
+_ANN, _BEN, _CAT, _DAN = ("ann", 11), ("ben", 12), ("cat", 13), ("dan", 14)
 
 
 def node(id_, who=_ANN, children=(), lat=1.5, lon=2.5) -> str:
@@ -53,16 +51,19 @@ def document(*elements, bounds=True) -> str:
 
 
 def small() -> str:
-    """20 points (2 with tags), 1 path with 4 refs, 1 relation with 3 members, 6 users."""
-    bulk = [node(100 + i, _ANN) for i in range(13)] + [node(200 + i, _BEN) for i in range(5)]
+    """A harbour: 3 paths before and between 7 points, 2 relations; 4 users; keys of all classes."""
     return document(
-        *bulk[:17],
-        node(301, _CAT, [tag("highway", "crossing")]),
-        bulk[17],
-        node(302, _DAN, [tag("amenity", "cafe"), tag("cuisine", "cake"), tag("name", "Ann's Place")]),
-        way(401, _EVA, [nd(9), nd(8), nd(7), nd(6), tag("highway", "track")]),
-        relation(501, _FAY, [
-            member("node", 1, "via"), member("way", 2, "from"), member("way", 3, "to"),
-            tag("restriction", "no_turn"), tag("type", "restriction"),
-        ]),
+        way(71, _BEN, [tag("barrier", "wall"), nd(31), nd(33), tag("source:note", "survey & map".replace("&", "&amp;"))]),
+        node(31, _ANN),
+        node(32, _CAT, [tag("man_made", "crane"), tag("Height", "40 m")]),
+        relation(90, _DAN, [tag("name", "Old Quay"), member("way", 71, "outer")]),
+        node(33, _ANN, [tag("mooring", "yes")]),
+        way(72, _BEN, [nd(32), nd(34), nd(35), tag("waterway", "dock"), nd(32)]),
+        node(34, _ANN),
+        node(35, _CAT),
+        way(73, _CAT),
+        node(36, _BEN, [tag("seamark:type", "light"), tag("light.colour", "red"), tag("ref", "7")]),
+        node(37, _DAN),
+        relation(91, _DAN, [member("node", 36), member("way", 72, "edge"), member("way", 73), member("relation", 90)]),
+        bounds=False,
     )

@@ -26,14 +26,12 @@ def collected(df):
 def test_small_counts(spark, write):
     elements = markup.elements(markup.events(spark, write(fx.small())))
     assert dict(collected(profile.count_tags(elements))) == {
-        "bounds": 1, "member": 3, "nd": 4, "node": 20, "map": 1, "relation": 1, "tag": 7, "way": 1,
-    }
-    assert profile.count_users(elements).first().n == 6
-    assert {r.uid for r in profile.distinct_users(elements).collect()} == {
-        "11", "12", "13", "14", "15", "16",
+        "map": 1, "way": 3, "node": 7, "relation": 2, "nd": 6, "tag": 10, "member": 5,
     }
+    assert profile.count_users(elements).first().n == 4
+    assert {r.uid for r in profile.distinct_users(elements).collect()} == {"11", "12", "13", "14"}
     classes = profile.key_classes(elements.where("name = 'tag'"))
-    assert dict(collected(classes)) == {"lower": 7, "lower_colon": 0, "problemchars": 0, "other": 0}
+    assert dict(collected(classes)) == {"lower": 6, "lower_colon": 2, "problemchars": 1, "other": 1}
 
 
 def test_empty_extract(spark, write):
@@ -47,14 +45,20 @@ def test_empty_extract(spark, write):
 def test_top_level_elements_with_children_in_order(spark, write):
     rows = markup.events(spark, write(fx.small()))
     top = markup.top_level(rows).orderBy(*markup.POSITION)
-    assert [r.name for r in top.collect()] == ["node"] * 20 + ["way", "relation"]
-    assert markup.shaped_only(rows).count() == 21
+    assert [(r.name, r.id) for r in top.collect()] == [
+        ("way", "71"), ("node", "31"), ("node", "32"), ("relation", "90"), ("node", "33"), ("way", "72"),
+        ("node", "34"), ("node", "35"), ("way", "73"), ("node", "36"), ("node", "37"), ("relation", "91"),
+    ]
+    assert markup.top_level(rows, ("node", "way")).count() == 10
     kids = order.children(rows).orderBy(*markup.POSITION).select("name", "parent.name", "parent.id", "position")
     assert collected(kids) == [
-        ("tag", "node", "301", None),
-        *[("tag", "node", "302", None)] * 3,
-        *[("nd", "way", "401", i) for i in range(4)], ("tag", "way", "401", None),
-        *[("member", "relation", "501", None)] * 3, *[("tag", "relation", "501", None)] * 2,
+        ("tag", "way", "71", None), ("nd", "way", "71", 0), ("nd", "way", "71", 1), ("tag", "way", "71", None),
+        *[("tag", "node", "32", None)] * 2,
+        ("tag", "relation", "90", None), ("member", "relation", "90", None),
+        ("tag", "node", "33", None),
+        *[("nd", "way", "72", i) for i in range(3)], ("tag", "way", "72", None), ("nd", "way", "72", 3),
+        *[("tag", "node", "36", None)] * 3,
+        *[("member", "relation", "91", None)] * 4,
     ]
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from mapengine.model import TABLE_KINDS, raw_schema, typed_schema
 from mapengine.operators import order, shape
@@ -46,6 +47,22 @@ def test_load_replaces(spark, tmp_path):
     spark.sql("DROP TABLE ways_nodes")
 
 
+def test_a_load_that_fails_leaves_all_old_tables(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS half_loaded")
+    old = {t: spark.createDataFrame([tuple([1] * len(TABLE_KINDS[t]))], raw_int_schema(t)) for t in TABLE_KINDS}
+    tables.load_tables(spark, old, str(tmp_path / "a"), "half_loaded")
+    new = {t: df.limit(0) for t, df in old.items()}
+    new["ways_tags"] = old["ways_tags"].withColumn("value", F.raise_error(F.lit("no fifth table")).cast("int"))
+    with pytest.raises(Exception, match="no fifth table"):
+        tables.load_tables(spark, new, str(tmp_path / "b"), "half_loaded")
+    assert [spark.table(f"half_loaded.{t}").count() for t in TABLE_KINDS] == [1] * 5
+    spark.sql("DROP DATABASE half_loaded CASCADE")
+
+
+def raw_int_schema(table):
+    return ", ".join(f"`{f}` INT" for f in TABLE_KINDS[table])
+
+
 def test_load_from_the_replaced_table(spark, tmp_path):
     rows = {"ways_nodes": spark.createDataFrame([(1, 2, 0), (1, 3, 1)], typed_schema("ways_nodes"))}
     old = tables.load_tables(spark, rows, str(tmp_path / "a"))["ways_nodes"]
@@ -147,6 +164,29 @@ def test_wrangle(spark, city, tmp_path):
     assert answers["cuisines"] == [("thai", 1)]
 
 
+def test_elements_are_rejected_as_a_whole(spark, tmp_path):
+    source = tmp_path / "map.xml"
+    nameless = fx.way(4, children=[fx.nd(1), fx.tag("a", "b")]).replace(' user="ann"', "")
+    source.write_text(fx.document(
+        fx.node(1, children=[fx.tag("a", "b")]), fx.node("x2", children=[fx.tag("a", "b")]),
+        fx.way(3, children=[fx.nd(1), fx.nd("ref"), fx.tag("a", "b")]), nameless,
+        fx.way(5, children=[fx.nd(1)]), fx.way(5, children=[fx.nd("ref")]),
+    ))
+    run = wrangle(spark, str(source), str(tmp_path / "run"))
+    assert {t: [tuple(r) for r in df.select("id").collect()] for t, df in run.tables.items()} == {
+        "nodes": [(1,)], "nodes_tags": [(1,)], "ways": [(5,)], "ways_nodes": [(5,)], "ways_tags": [],
+    }
+    found = {t: sorted((r.id, r.errors[0]) for r in df.collect()) for t, df in run.rejects.items()}
+    assert found == {
+        "nodes": [("x2", "type:id")], "nodes_tags": [("x2", "type:id")],
+        "ways": [("3", "element:rejected"), ("4", "required:user"), ("5", "element:rejected")],
+        "ways_nodes": [("3", "element:rejected"), ("3", "type:node_id"), ("4", "element:rejected"), ("5", "type:node_id")],
+        "ways_tags": [("3", "element:rejected"), ("4", "element:rejected")],
+    }
+    off = wrangle(spark, str(source), str(tmp_path / "off"), mode="off")
+    assert off.tables["ways_nodes"].count() == 5 and off.rejects["ways"].count() == 0
+
+
 def test_wrangle_failfast(spark, city, tmp_path):
     with pytest.raises(Exception, match="bad row in nodes"):
         wrangle(spark, city, str(tmp_path / "run"), mode="failfast")
