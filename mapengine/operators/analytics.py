@@ -52,10 +52,11 @@ def value_counts_for(
 
     Each side is shuffled once by id, and the values once for the count, after being counted
     map-side. An id with very many tags stands on the left of a semi join, whose partitions
-    adaptive execution splits.
+    adaptive execution splits; for that the ids come straight from their shuffle, and a semi
+    join does not mind that some are repeated.
     """
     values = tags.where(key_is(key)).select("id", "value")
-    kept = tags_of(values, distinct_tagged_ids(tags, having_value))
+    kept = tags_of(values, tags.where(F.col("value") == F.lit(having_value)).select("id"))
     return _ranked(kept.groupBy("value").agg(F.count("*").alias("n")), "value", limit)
 
 
