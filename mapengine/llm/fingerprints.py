@@ -256,25 +256,43 @@ def digest(text: Column, ranks: np.ndarray) -> Column:
     return found(text_of(text))
 
 
-def digest_likeness(a: str | Column, b: str | Column) -> Column:
-    """``likeness`` of two columns of digests."""
-
-    @F.pandas_udf("double")
-    def compared(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+def compared(text: Column, own: Column, following: Column, ranks: np.ndarray) -> Column:
+    """Struct ``digest, near_own, near_following``: digest of a text, and its owner's digest's
+    likeness to it and to another digest. One function, so one Python worker per task."""
+
+    @F.pandas_udf("digest binary, near_own double, near_following double")
+    def found(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, owns, others in batches:
+            new: list[bytes] = []
+            for at in range(0, len(texts), 512):
+                new += digests([t.encode() for t in texts[at : at + 512]], ranks)
+            yield pd.DataFrame({
+                "digest": new,
+                "near_own": [likeness(a, b) for a, b in zip(owns, new, strict=True)],
+                "near_following": [likeness(a, b) for a, b in zip(owns, others, strict=True)],
+            })
 
-    return compared(a, b)
+    return found(text_of(text), own, following)
 
 
-def _range_of(id: Column, bounds: np.ndarray) -> Column:
-    """Number of bounds up to the id; NULL ids come first."""
+def _range_of(id: Column, bounds: list[int]) -> Column:
+    """Number of bounds up to the id, by binary search; NULL ids come first."""
+    if not bounds:
+        return F.lit(0)
+    table = F.lit(bounds).cast("array<long>")
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
 
-    @F.pandas_udf("int")
-    def found(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
+    def step(x: Column, _: Column) -> Column:
+        middle = F.floor((x["low"] + x["high"]) / 2).cast("int")
+        up = F.get(table, middle) <= id
+        going = x["low"] < x["high"]
+        return F.struct(
+            F.when(going & up, middle + 1).otherwise(x["low"]).alias("low"),
+            F.when(going & ~up, middle).otherwise(x["high"]).alias("high"),
+        )
 
-    lowest = int(bounds[0]) - 1 if len(bounds) else 0
-    return found(F.coalesce(id.cast("long"), F.lit(lowest)))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.when(id.isNull(), 0).otherwise(F.aggregate(steps, start, step, lambda x: x["low"]))
 
 
 def with_next(docs: DataFrame, id: str, carried: list[str], rows_per_range: int = 8192) -> DataFrame:
@@ -289,18 +307,18 @@ def with_next(docs: DataFrame, id: str, carried: list[str], rows_per_range: int
     steps = [k / ranges for k in range(1, ranges)]
     found = ids.agg(F.percentile_approx("id", F.array(*map(F.lit, steps)), max(10_000, 10 * ranges)).alias("b")).first()["b"] if steps else []
     # Bounds are ids that occur, so each is the first of its range.
-    bounds = np.array(sorted({b for b in found or [] if b > facts["least"]}), dtype=np.int64)
+    bounds = sorted({b for b in found or [] if b > facts["least"]})
     last = len(bounds)
     number = F.col("range")
     nobody = F.array().cast("array<struct<range:int,turn:int>>")
-    is_bound = _is_bound(col(id), bounds)
+    is_bound = (number > 0) & (F.get(F.lit(bounds).cast("array<long>"), number - 1) == col(id)) if bounds else F.lit(False)
     first_of_all = col(id).isNull() if facts["known"] < facts["n"] else col(id) == F.lit(facts["least"])
     places = F.concat(
         F.array(F.struct(number.alias("range"), F.lit(0).alias("turn"))),
         F.when(is_bound, F.array(F.struct((number - 1).alias("range"), F.lit(1).alias("turn")))).otherwise(nobody),
         F.when(first_of_all, F.array(F.struct(F.lit(last).alias("range"), F.lit(2).alias("turn")))).otherwise(nobody),
     )
-    spread = docs.withColumn("range", _range_of(col(id), bounds)).withColumn("place", F.explode(places))
+    spread = docs.withColumn("range", _range_of(col(id).cast("long"), bounds)).withColumn("place", F.explode(places))
     order = Window.partitionBy("place.range").orderBy(
         "place.turn", col(id).asc_nulls_first(), *[F.xxhash64(col(c)) for c in carried])
     return (
@@ -309,14 +327,6 @@ def with_next(docs: DataFrame, id: str, carried: list[str], rows_per_range: int
     )
 
 
-def _is_bound(id: Column, bounds: np.ndarray) -> Column:
-    @F.pandas_udf("boolean")
-    def found(ids: pd.Series) -> pd.Series:
-        return ids.isin(bounds)
-
-    return F.coalesce(found(F.coalesce(id.cast("long"), F.lit(0))), F.lit(False)) & id.isNotNull() if len(bounds) else F.lit(False)
-
-
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, digest`` of every row; the general form, without neighbours."""
     return docs.select(col(id).alias("doc_id"), digest(col(text), corpus_ranks(docs, text)).alias("digest"))
@@ -340,9 +350,8 @@ def edited_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
     changed = follow.select(
         "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited_text"), "digest", "next_digest"
-    ).withColumn("edited_digest", digest(F.col("edited_text"), ranks))
+    ).withColumn("c", compared(F.col("edited_text"), F.col("digest"), F.col("next_digest"), ranks))
     return changed.select(
-        "doc_id", "n_chars", "edited_text", "digest", "edited_digest",
-        digest_likeness("digest", "edited_digest").alias("near_edited"),
-        digest_likeness("digest", "next_digest").alias("near_next"),
+        "doc_id", "n_chars", "edited_text", "digest", F.col("c.digest").alias("edited_digest"),
+        F.col("c.near_own").alias("near_edited"), F.col("c.near_following").alias("near_next"),
     )
