@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -32,6 +34,8 @@ _CONTRACTED = ("'re", "'ve", "'ll")
 
 # Entries of each of a worker's tables of units, prefixes and pairs; a full one starts afresh.
 _REMEMBERED = 400_000
+# Bytes of a piece whose prefixes are remembered.
+_SHORT = 32
 
 
 def _byte_letters() -> dict[int, str]:
@@ -60,8 +64,9 @@ class PrefixCounter:
         self._lead = re.compile(f"[{_SPACE}]*")
         self._piece = regex.compile(PIECE)
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, bytes | tuple[int, ...]] = {}
-        self._prefixes: dict[str, tuple[int, int]] = {}
+        self._recent: dict[str, int] = {}
+        self._older: dict[str, int] = {}
+        self._prefixes: dict[str, tuple[int, bytes]] = {}
 
     def _merged(self, piece: str) -> list[str]:
         """Plain BPE of a short piece, in byte letters."""
@@ -84,48 +89,67 @@ class PrefixCounter:
             known = self._pairs[key] = self._merged(left + right) == ([left, right] if left else [right])
         return known
 
-    def _by_byte(self, piece: str) -> list[int]:
-        """Tokens of every prefix of a piece, byte by byte; the piece is encoded as one word.
-
-        What is known of a prefix (where its last token begins, and its count) holds for every
-        piece that begins with it, so it is remembered by prefix.
-        """
-        letters, vocabulary, prefixes = self._letters, self._vocabulary, self._prefixes
+    def _by_byte(self, piece: str) -> Sequence[int]:
+        """Tokens of every prefix of a piece, byte by byte; the piece is encoded as one word."""
+        letters = self._letters
         s = "".join([letters[b] for b in piece.encode()])
-        n = len(s)
-        count, start = [0] * (n + 1), [0] * (n + 1)
-        short = n <= 32
-        if short and len(prefixes) >= _REMEMBERED:
-            prefixes.clear()
-        for end in range(1, n + 1):
-            if short:
-                known = prefixes.get(s[:end])
-                if known is not None:
-                    start[end], count[end] = known
-                    continue
+        if len(s) <= _SHORT:
+            return self._of_short(s)
+        count, start = [0] * (len(s) + 1), [0] * (len(s) + 1)
+        for end in range(1, len(s) + 1):
             for begin in range(max(0, end - self._longest), end):
                 token = s[begin:end]
-                if token in vocabulary and self._compatible(s[start[begin] : begin], token):
-                    start[end], count[end] = begin, count[begin] + 1
+                if token in self._vocabulary and self._compatible(s[start[begin] : begin], token):
+                    count[end], start[end] = count[begin] + 1, begin
                     break
-            if short:
-                prefixes[s[:end]] = start[end], count[end]
-        return count
+        return count[1:]
+
+    def _of_short(self, s: str) -> bytes:
+        """The same for a short piece in byte letters, from its longest prefix that is known.
 
-    def _by_char(self, piece: str) -> list[int]:
+        What is known of a prefix (where its last token begins, and all counts up to it) holds
+        for every piece that begins with it. With a prefix all shorter ones are known.
+        """
+        prefixes, vocabulary = self._prefixes, self._vocabulary
+        known = prefixes.get(s)
+        if known is not None:
+            return known[1]
+        if len(prefixes) >= _REMEMBERED:
+            prefixes.clear()
+        low, high = 0, len(s) - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            if s[:middle] in prefixes:
+                low = middle
+            else:
+                high = middle - 1
+        counts = prefixes[s[:low]][1] if low and s[:low] in prefixes else b""
+        for end in range(len(counts) + 1, len(s) + 1):
+            for begin in range(end):
+                token = s[begin:end]
+                if token in vocabulary:
+                    left = s[prefixes[s[:begin]][0] : begin] if begin else ""
+                    if self._compatible(left, token):
+                        break
+            counts += bytes((counts[begin - 1] + 1 if begin else 1,))
+            prefixes[s[:end]] = begin, counts
+        return counts
+
+    def _by_char(self, piece: str) -> Sequence[int]:
         count = self._by_byte(piece)
-        if len(count) == len(piece) + 1:
-            return count[1:]
+        if len(count) == len(piece):
+            return count
         ends, at = [], 0
         for c in piece:
             at += len(c.encode())
-            ends.append(count[at])
+            ends.append(count[at - 1])
         return ends
 
     def _table(self, unit: str) -> bytes | tuple[int, ...]:
         """Tokens of every prefix of a run of blanks with the word that follows it."""
-        lead = self._lead.match(unit).end()
-        counts = self._by_char(unit[:lead]) if lead else []
+        one_space = unit[0] == " " and unit[1:2].isalpha()
+        lead = 1 if one_space else self._lead.match(unit).end()
+        counts = [1] if one_space else list(self._by_char(unit[:lead])) if lead else []
         if lead < len(unit):
             # The last blank joins the word if it is a space, else it is a piece of its own.
             base = counts[lead - 2] if lead > 1 else 0
@@ -141,18 +165,23 @@ class PrefixCounter:
 
     def tables(self, text: str) -> list[bytes | tuple[int, ...]]:
         """Tables of the units of a text without special tokens; their counts add up."""
-        known = self._known
-        out = []
-        for unit in self._unit.findall(text):
-            table = known.get(unit)
-            if table is None:
-                table = self._table(unit)
-                if len(unit) <= 64:
-                    if len(known) >= _REMEMBERED:
-                        known.clear()
-                    known[unit] = table
-            out.append(table)
-        return out
+        return [self._table(unit) for unit in self._unit.findall(text)]
+
+    def _last_counts(self, units: list[str]) -> list[int]:
+        """Tokens of each whole unit: the last entry of its table. Units repeat, so these are
+        remembered, in two generations of which the older one is forgotten."""
+        found = list(map(self._recent.get, units))
+        if None in found:
+            for i, n in enumerate(found):
+                if n is None:
+                    unit = units[i]
+                    n = self._older.get(unit) or self._table(unit)[-1]
+                    found[i] = n
+                    if len(unit) <= 64:
+                        if len(self._recent) >= _REMEMBERED:
+                            self._recent, self._older = {}, self._recent
+                        self._recent[unit] = n
+        return found
 
     def _parts(self, text: str) -> Iterator[tuple[str, str]]:
         """Ordinary text with the special token that ends it, if any."""
@@ -187,16 +216,20 @@ class PrefixCounter:
             return (counts[-1] if counts else 0), (fits[-1] if fits else 0)
         total = within = chars = 0
         for plain, special in self._parts(text):
-            for table in self.tables(plain):
-                # Later units only add tokens, so none of them can fit once this one begins above.
-                if limit is not None and total <= limit:
-                    if total + max(table) <= limit:
-                        within = chars + len(table)
-                    else:
-                        within = max([within, *(chars + i + 1 for i, c in enumerate(table) if total + c <= limit)])
-                total += table[-1]
-                chars += len(table)
-            total += bool(special)
+            units = self._unit.findall(plain)
+            counts = self._last_counts(units)
+            whole = sum(counts)
+            if limit is not None and total <= limit:
+                within = chars + len(plain)
+                if total + whole > limit:
+                    # Units only add tokens: the last one that begins within the limit decides.
+                    ends = list(accumulate(counts))
+                    k = bisect_right(ends, limit - total)
+                    before = total + (ends[k - 1] if k else 0)
+                    fits = [i + 1 for i, c in enumerate(self._table(units[k])) if before + c <= limit]
+                    within = chars + sum(map(len, units[:k])) + (fits[-1] if fits else 0)
+            total += whole + bool(special)
+            chars += len(plain)
         return total, within
 
 

@@ -40,7 +40,10 @@ def test_long_words_and_full_tables(monkeypatch):
     small = tokens.PrefixCounter(VOCABULARY)
     for text in ("a" * 3000, " " * 900 + "b", "ab" * 700 + "-" * 500):
         assert small.prefixes(text)[-1] == len(ids(text))
-    assert len(small._known) <= 5
+        assert small.count(text)[0] == len(ids(text))
+    for _ in range(2):
+        assert small.count("some words come again and some words do not")[0] == 9
+    assert len(small._recent) <= 5
 
 
 def test_counts_over_a_table(spark, documents, awkward):
