@@ -5,12 +5,14 @@ are added up, squashed, and give first the class of the word, then the word with
 so a prediction costs two small softmaxes. A document's score is the sum of the log
 probabilities of its words, each given both sides.
 
-The vocabulary comes from the counts of all words of all documents; words beyond the most
-frequent ones share hashed entries, so every word is predicted. Training is data-parallel and
-passes over every document once: in each round every task trains the common parameters on its
-own documents with plain numpy, and the results are averaged, weighted by words, in two steps so
-that no task sees more than ``FAN_IN`` of them. What is gathered grows with the corpus; the model
-does not.
+The counts of all words of all documents are a table. The most frequent words have entries of
+their own in the network, the more of them the more words were counted; all others share hashed
+entries, and the probability of such a word is that of its entry times the word's share of the
+entry's count, which is looked up in the table by a join. A word that was never counted has the
+share of half an occurrence. Training is data-parallel and passes over every document once: in
+each round every task trains the common parameters on its own documents with plain numpy, and
+the results are averaged, weighted by words, in two steps so that no task sees more than
+``FAN_IN`` small models, or fewer large ones.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapengine.llm.common import col, text_of
+from mapengine.llm.common import col, stored, text_of
 
+# The least there is: classes, words in each, and entries that are hashed, a quarter of all.
 CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
-HASHED = 256
-PAD = VOCABULARY
+HASHED = VOCABULARY // 4
+# Stands for the last row of the embeddings.
+PAD = -1
 PLACES = (-2, -1, 1, 2)
 WIDTH = 16
 BATCH = 2048
@@ -40,6 +44,8 @@ RATE = 0.3
 FAN_IN = 512
 # Different words counted before they are handed on.
 _COUNTED = 500_000
+# Occurrences added to the count of every word, and of one that was never counted.
+UNSEEN = 0.5
 
 
 def _words(text: str) -> list[bytes]:
@@ -48,8 +54,32 @@ def _words(text: str) -> list[bytes]:
 
 # --- vocabulary ---------------------------------------------------------------------
 
-def vocabulary(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
-    """Ids of the most frequent words; ties by the word itself. At most 768 rows are collected."""
+class Words(dict):
+    """Ids of the words with entries of their own. The network has ``side`` classes of ``side``."""
+
+    def __init__(self, ids: dict[bytes, int], side: int = CLASSES):
+        super().__init__(ids)
+        self.side = side
+
+    def __reduce__(self):
+        return Words, (dict(self), self.side)
+
+    @property
+    def hashed(self) -> int:
+        return self.side * self.side // 4
+
+    @property
+    def own(self) -> int:
+        return self.side * self.side - self.hashed
+
+
+def side_for(n_words: int) -> int:
+    """Grows with the sixth root of the words counted, so entries grow with their cube root."""
+    return max(CLASSES, round(2 * n_words ** (1 / 6)))
+
+
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word, n`` of every word of all documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -67,29 +97,79 @@ def vocabulary(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
         yield rows()
 
     parts = docs.select(text_of(text).alias("text")).mapInArrow(counted, "word binary, n long")
-    totals = parts.groupBy("word").agg(F.sum("n").alias("n"))
-    top = totals.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - HASHED).collect()
-    return {bytes(r["word"]): i for i, r in enumerate(top)}
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+
 
+def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> Words:
+    """Ids of the most frequent words; ties by the word itself. ``counts`` are ``word_counts``.
+
+    The rows collected are three quarters of the network's entries.
+    """
+    counts = word_counts(docs, text) if counts is None else counts
+    known = Words({}, side_for(counts.agg(F.sum("n")).first()[0] or 0))
+    top = counts.orderBy(F.col("n").desc(), "word").limit(known.own).collect()
+    known.update((bytes(r["word"]), i) for i, r in enumerate(top))
+    return known
 
-def ids_of(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Ids of words; the last ``HASHED`` ids are shared by all words that are not known."""
-    get, crc, first = known.get, zlib.crc32, VOCABULARY - HASHED
-    return np.array([i if (i := get(w)) is not None else first + crc(w) % HASHED for w in words], dtype=np.int32)
+
+def ids_of(words: list[bytes], known: Words) -> np.ndarray:
+    """Ids of words; the last ``hashed`` ids are shared by all words that are not known."""
+    get, crc, first, hashed = known.get, zlib.crc32, known.own, known.hashed
+    return np.array([i if (i := get(w)) is not None else first + crc(w) % hashed for w in words], dtype=np.int32)
+
+
+def coded(docs: DataFrame, known: Words, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``doc_id, round, ids, rare`` of every row: ids of its words as little-endian integers,
+    and its words without entries of their own, each with its number there."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = _id_type(known.side)
+        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))
+        for batch in batches:
+            # A few at a time: lists of words are large.
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                ids, words, numbers, ends = [], [], [], [0]
+                for t in some[2].to_pylist():
+                    found = _words(t)
+                    ids.append(ids_of(found, known).astype(width).tobytes())
+                    rare = Counter(w for w in found if w not in known)
+                    words += rare
+                    numbers += rare.values()
+                    ends.append(len(words))
+                pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(numbers, pa.int32())], ["word", "k"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(rare_type)
+                yield pa.RecordBatch.from_arrays(
+                    [some[0], some[1], pa.array(ids, pa.binary()), lists], ["doc_id", "round", "ids", "rare"])
+
+    slim = docs.select(
+        col(id).alias("doc_id"), F.pmod(F.xxhash64(col(id), text_of(text)), F.lit(rounds)).alias("round"),
+        text_of(text).alias("text"),
+    )
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(code, f"doc_id {kind}, round long, ids binary, rare array<struct<word:binary,k:int>>")
+
+
+def _id_type(side: int) -> str:
+    return "<u2" if side * side <= 1 << 16 else "<u4"
+
+
+def _ids(values, side: int) -> list[np.ndarray]:
+    return [np.frombuffer(v, _id_type(side)).astype(np.int32) for v in values]
 
 
 # --- network ------------------------------------------------------------------------
 
-def fresh(seed: int = 3) -> dict[str, np.ndarray]:
+def fresh(seed: int = 3, side: int = CLASSES) -> dict[str, np.ndarray]:
     draw = np.random.default_rng(seed)
 
     def normal(*shape: int) -> np.ndarray:
         return draw.normal(0, 0.1, shape).astype(np.float32)
 
     return {
-        "embed": normal(len(PLACES), VOCABULARY + 1, WIDTH), "bias": np.zeros(WIDTH, np.float32),
-        "class_w": normal(WIDTH, CLASSES), "class_b": np.zeros(CLASSES, np.float32),
-        "word_w": normal(CLASSES, WIDTH, PER_CLASS), "word_b": np.zeros((CLASSES, PER_CLASS), np.float32),
+        "embed": normal(len(PLACES), side * side + 1, WIDTH), "bias": np.zeros(WIDTH, np.float32),
+        "class_w": normal(WIDTH, side), "class_b": np.zeros(side, np.float32),
+        "word_w": normal(side, WIDTH, side), "word_b": np.zeros((side, side), np.float32),
     }
 
 
@@ -97,9 +177,9 @@ def flat(model: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([v.ravel() for v in model.values()])
 
 
-def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
+def shaped(values: np.ndarray, side: int = CLASSES) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, like in fresh().items():
+    for name, like in fresh(side=side).items():
         out[name] = values[at : at + like.size].reshape(like.shape).astype(np.float32)
         at += like.size
     return out
@@ -112,13 +192,15 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stable order by value and the value's bounds in it."""
-    order = np.argsort(values.astype(np.int16), kind="stable")
-    return order, np.flatnonzero(np.diff(values[order], prepend=-1))
+    small = not len(values) or values.max() < 1 << 15
+    order = np.argsort(values.astype(np.int16) if small else values, kind="stable")
+    return order, np.flatnonzero(np.diff(values[order], prepend=PAD - 1))
 
 
 class Network:
     def __init__(self, model: dict[str, np.ndarray]):
         self.m = {k: v.copy() for k, v in model.items()}
+        self.per_class = model["word_b"].shape[1]
         self.seen = {k: np.full_like(v, 1e-3) for k, v in self.m.items()}
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
@@ -130,7 +212,7 @@ class Network:
     def score(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Log probability of each word given the words around it."""
         h = self.hidden(around)
-        cls, within = word // PER_CLASS, word % PER_CLASS
+        cls, within = word // self.per_class, word % self.per_class
         out = _log_softmax(h @ self.m["class_w"] + self.m["class_b"])[np.arange(len(word)), cls]
         order, first = _groups(cls)
         for rows in np.split(order, first[1:]):
@@ -147,7 +229,7 @@ class Network:
     def train(self, around: np.ndarray, word: np.ndarray) -> None:
         n = len(word)
         h = self.hidden(around)
-        cls, within = word // PER_CLASS, word % PER_CLASS
+        cls, within = word // self.per_class, word % self.per_class
         d_class = np.exp(_log_softmax(h @ self.m["class_w"] + self.m["class_b"]))
         d_class[np.arange(n), cls] -= 1
         d_class /= n
@@ -196,16 +278,20 @@ def _batches(docs: Iterator[np.ndarray], size: int) -> Iterator[list[np.ndarray]
 
 # --- training and scoring -----------------------------------------------------------
 
-def trained(docs: DataFrame, known: dict[bytes, int], id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+def trained(docs: DataFrame, known: Words, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after one pass over all documents, a part of them in each round."""
-    values = flat(fresh())
-    slim = docs.select(text_of(text).alias("text"), F.pmod(F.xxhash64(col(id), text_of(text)), F.lit(rounds)).alias("round"))
+    return _trained(coded(docs, known, id, text, rounds), known.side, rounds)
+
+
+def _trained(rows: DataFrame, side: int, rounds: int) -> np.ndarray:
+    values = flat(fresh(side=side))
+    fan_in = max(64, FAN_IN * VOCABULARY // (side * side))
     for number in range(rounds):
         start = values
 
         def local(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            net, words = Network(shaped(start)), 0
-            docs = (ids_of(_words(t), known) for b in batches for t in b[0].to_pylist())
+            net, words = Network(shaped(start, side)), 0
+            docs = (d for b in batches for d in _ids(b[0].to_pylist(), side))
             for some in _batches(docs, 64 * BATCH):
                 around, word = _windows(some)
                 words += len(word)
@@ -216,8 +302,8 @@ def trained(docs: DataFrame, known: dict[bytes, int], id: str = "doc_id", text:
                 row = [[part], [words], [flat(net.m).astype("<f4").tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["part", "words", "model"])
 
-        models = slim.where(F.col("round") == number).select("text").mapInArrow(local, "part long, words long, model binary")
-        merged = _averaged(_averaged(models, F.floor(F.col("part") / FAN_IN)), F.lit(0).cast("long"))
+        models = rows.where(F.col("round") == number).select("ids").mapInArrow(local, "part long, words long, model binary")
+        merged = _averaged(_averaged(models, F.floor(F.col("part") / fan_in)), F.lit(0).cast("long"))
         row = merged.select("model").first()
         values = np.frombuffer(row["model"], "<f4") if row else values
     return values
@@ -235,11 +321,26 @@ def _averaged(models: DataFrame, group) -> DataFrame:
     return models.groupBy(group.alias("g")).applyInPandas(mean, "part long, words long, model binary")
 
 
-def scored(docs: DataFrame, known: dict[bytes, int], values: np.ndarray, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, log_prob``: the sum over all words; 0 for texts without words."""
+def scored(
+    docs: DataFrame, known: Words, values: np.ndarray, id: str = "doc_id", text: str = "text",
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """``doc_id, n_words, log_prob``: the sum over all words; 0 for texts without words.
+
+    ``counts`` are ``word_counts`` of what was trained on. Without them a word that has no
+    entry of its own is scored as its shared entry, whatever the word.
+    """
+    rows = coded(docs, known, id, text)
+    if counts is None:
+        return _scored(rows, known.side, values, "doc_id")
+    return _with_shares(stored(rows.withColumn("row", F.monotonically_increasing_id()), "coded"), known, values, counts)
+
 
-    def total(texts: pd.Series, net: Network) -> pd.DataFrame:
-        docs = [ids_of(_words(t), known) for t in texts]
+def _scored(rows: DataFrame, side: int, values: np.ndarray, *kept: str) -> DataFrame:
+    """The kept columns and ``n_words, log_prob``, as the network has it."""
+
+    def total(coded: pd.Series, net: Network) -> pd.DataFrame:
+        docs = _ids(coded, side)
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         sums = np.zeros(len(docs))
         first = 0
@@ -260,12 +361,31 @@ def scored(docs: DataFrame, known: dict[bytes, int], values: np.ndarray, id: str
 
     @F.pandas_udf("n_words long, log_prob double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        net = Network(shaped(values))
-        for texts in batches:
-            yield total(texts, net)
+        net = Network(shaped(values, side))
+        for some in batches:
+            yield total(some, net)
+
+    return rows.select(*kept, scores("ids").alias("s")).select(*kept, "s.n_words", "s.log_prob")
+
 
-    found = docs.select(col(id).alias("doc_id"), scores(text_of(text)).alias("s"))
-    return found.select("doc_id", "s.n_words", "s.log_prob")
+def _with_shares(rows: DataFrame, known: Words, values: np.ndarray, counts: DataFrame) -> DataFrame:
+    """Scores of stored ``rows``: each word beyond the known ones also by its share of its entry.
+
+    The most frequent words are known, so no word is hot in the join.
+    """
+    spark = rows.sparkSession
+    entry = F.pmod(F.crc32("word"), F.lit(known.hashed))
+    own = spark.createDataFrame([(w,) for w in known], "word binary")
+    # At most one row per shared entry.
+    entries = counts.join(F.broadcast(own), "word", "left_anti").groupBy(entry.alias("entry")).agg(
+        F.sum("n").alias("of"), F.count("*").alias("different"))
+    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
+    found = rare.join(counts, "word", "left").join(F.broadcast(entries), entry == F.col("entry"), "left")
+    n, of, different = (F.coalesce(c, F.lit(0)) for c in ("n", "of", "different"))
+    share = F.log((n + UNSEEN) / (of + UNSEEN * (different + 1)))
+    shares = found.groupBy("row").agg(F.sum(F.col("k") * share).alias("share"))
+    whole = _scored(rows, known.side, values, "doc_id", "row").join(shares, "row", "left")
+    return whole.select("doc_id", "n_words", (F.col("log_prob") + F.coalesce("share", F.lit(0.0))).alias("log_prob"))
 
 
 def lm_score(docs: DataFrame, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -275,8 +395,13 @@ def lm_score(docs: DataFrame, id: str = "doc_id", text: str = "text", rounds: in
     padding word, which is never predicted. NULL, empty and blank texts have no words, a
     log probability of 0 and a NULL mean. Repeated rows get equal scores. An empty table gives
     an empty table. Other columns are not looked at. A very long text is scored in stretches.
+
+    Texts are cut into words twice, for the counts and for the stored ids. Rare words, once
+    for each document that has them, are shuffled by word and their sums by document.
     """
-    known = vocabulary(docs, text)
-    values = trained(docs, known, id, text, rounds)
+    counts = stored(word_counts(docs, text), "words")
+    known = vocabulary(docs, text, counts)
+    rows = stored(coded(docs, known, id, text, rounds).withColumn("row", F.monotonically_increasing_id()), "coded")
+    values = _trained(rows, known.side, rounds)
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
-    return scored(docs, known, values, id, text).withColumn("mean_log_prob", mean)
+    return _with_shares(rows, known, values, counts).withColumn("mean_log_prob", mean)

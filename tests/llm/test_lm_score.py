@@ -90,3 +90,35 @@ def test_awkward_rows(documents, awkward):
     for r in found:
         assert (r.n_words == 0) == (r.mean_log_prob is None) and r.log_prob <= 0
     assert lm.lm_score(docs.where("doc_id < 0")).count() == 0
+
+
+def test_rare_words_are_scored_by_their_own_counts(documents, monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 4)  # 12 words have entries of their own, 4 entries are shared
+    common = " ".join(f"w{i}" for i in range(12))
+    bucket = [w for w in (f"r{i}" for i in range(200)) if zlib.crc32(w.encode()) % 4 == 1]
+    often, once, never = bucket[:3]
+    docs = documents((1, f"{common} {common} {common} {common} " + f"{often} " * 3), (2, once), (3, None))
+    counts = lm.word_counts(docs)
+    known = lm.vocabulary(docs, counts=counts)
+    assert len(known) == 12 and known.side == 4
+    values = lm.flat(lm.fresh(side=4))
+    probe = documents((1, often), (2, once), (3, never), (4, f"{once} w0 {once}"), (4, f"{once} w0 {once}"))
+    plain = sorted((r.doc_id, r.log_prob) for r in lm.scored(probe, known, values).collect())
+    found = sorted((r.doc_id, r.log_prob) for r in lm.scored(probe, known, values, counts=counts).collect())
+    of = 3 + 1 + 0.5 * 3
+    shares = [np.log(3.5 / of), np.log(1.5 / of), np.log(0.5 / of)] + [2 * np.log(1.5 / of)] * 2
+    assert [b - a for (_, a), (_, b) in zip(plain, found, strict=True)] == pytest.approx(shares)
+    whole = {r.doc_id: r.log_prob for r in lm.lm_score(docs, rounds=1).collect()}
+    assert whole[3] == 0 and whole[2] < np.log(1.5 / of)
+
+
+def test_entries_grow_with_the_words_counted(documents, monkeypatch):
+    assert lm.side_for(0) == lm.CLASSES < lm.side_for(10**8) < lm.side_for(10**10)
+    monkeypatch.setattr(lm, "side_for", lambda n: 40)
+    docs = documents((1, " ".join(f"a{i}" for i in range(2000))), (2, "a1 a2 b"))
+    known = lm.vocabulary(docs)
+    assert len(known) == known.own == 1200 and known.hashed == 400
+    assert all(np.isfinite(r.log_prob) and r.log_prob < 0 for r in lm.lm_score(docs).collect())
+    net = lm.Network(lm.fresh(side=40))
+    around = np.zeros((4, 1600), np.int32) + np.array([[1], [2], [1500], [lm.PAD]])
+    assert np.exp(net.score(around, np.arange(1600)).astype(float)).sum() == pytest.approx(1, abs=1e-3)
