@@ -30,8 +30,15 @@ _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 _PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-]?)[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])"
 _ABROAD = r"(?<![0-9+])\+[2-9](?:[ .-]?\(?[0-9]\)?){7,13}(?![0-9])"
-_CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# Cards in usual groups, or unbroken.
+_GROUPED = r"(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{5})"
+_STRICT = rf"(?<![0-9])(?:{_GROUPED}|[0-9]{{13,19}})(?![0-9])"
+# A blank or hyphen within a card, behind which no other number begins.
+_GAP = rf"[ -](?!{'|'.join((_DATE, _SSN, _PHONE, _STRICT)).replace('(?<![0-9/.-])', '').replace('(?<![0-9-])', '')})"
+_CARD = rf"(?<![0-9])(?:{_GROUPED}(?:{_GAP}[0-9]{{1,3}})?|[0-9](?:(?:{_GAP})?[0-9]){{12,18}})(?![0-9])"
 PATTERN = "|".join((_MAIL, _DATE, _IP, _SSN, _CARD, _PHONE, _ABROAD))
+# What is looked for, one after the other, inside a card that failed its check.
+_WITHIN = ("|".join((_DATE, _SSN, _STRICT, _PHONE)), "|".join((_DATE, _SSN, _PHONE)))
 
 # Days of 400 years of the calendar, 189 * 773, and their first day.
 _FIRST_DAY, _DAY_RADIX = "1800-01-01", (189, 773)
@@ -249,35 +256,46 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, ``n_private`` (values replaced) and ``private``,
     an array of ``kind, new`` in order of their places.
 
-    ``key`` is the secret. Values that a pattern finds but that are not valid stay as they are.
+    ``key`` is the secret. Values that a pattern finds but that are not valid stay as they are,
+    but inside a card that fails its check the other patterns, and shorter cards, are tried.
     NULL texts stay NULL with nothing found; so do empty ones. Rows are neither added nor lost,
     repeated rows get the same result, an empty table an empty one. Columns ``n_private`` and
     ``private`` of ``docs`` are replaced, all others stay.
     """
     parts, hits = unused(docs, "parts", "hits")
-    none = F.array().cast("array<struct<old:string,kind:string,new:string>>")
+    kind = "struct<text:string,valid:array<struct<kind:string,new:string>>>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def found(value: Column, within: tuple[str, ...] = _WITHIN) -> Column:
+        """Struct ``text, valid``: what stands for a found value, and the valid ones in it."""
 
-    def found(value: Column) -> Column:
         def named(p: Column) -> Column:
-            return F.struct(value.alias("old"), F.when(p["new"].isNotNull(), p["kind"]).alias("kind"), p["new"].alias("new"))
+            one = F.struct(p["new"].alias("text"), F.array(p).alias("valid"))
+            out = F.struct(value.alias("text"), F.array().alias("valid")).cast(kind)
+            if within:
+                out = F.when(value.rlike(f"^(?:{_CARD})$"), again()).otherwise(out)
+            return F.when(p["new"].isNotNull(), one.cast(kind)).otherwise(out)
+
+        def again() -> Column:
+            inner = F.transform(F.regexp_extract_all(value, F.lit(within[0]), F.lit(0)), lambda v: found(v, within[1:]))
+            return _once(inner, lambda hits: F.struct(
+                joined(F.split(value, within[0], -1), hits).alias("text"),
+                F.flatten(F.transform(hits, lambda h: h["valid"])).alias("valid"),
+            ).cast(kind))
 
         return _once(pseudonym(value, key), named)
 
+    def joined(between: Column, hits: Column) -> Column:
+        return F.array_join(F.zip_with(between, hits, lambda b, h: F.concat(
+            F.coalesce(b, F.lit("")), F.coalesce(h["text"], F.lit("")))), "")
+
     # Without a digit or an at sign there is nothing to look for.
     possible = col(text).rlike("[0-9@]")
     values = F.regexp_extract_all(col(text), F.lit(PATTERN), F.lit(0))
-    marked = docs.withColumn(hits, F.when(possible, F.transform(values, found)).otherwise(none))
-    some = F.exists(col(hits), lambda h: h["new"].isNotNull())
-    between = F.split(col(text), PATTERN, -1)
-    new_text = F.when(
-        some,
-        F.array_join(F.zip_with(between, col(hits), lambda b, h: F.concat(
-            F.coalesce(b, F.lit("")), F.coalesce(h["new"], h["old"], F.lit("")))), ""),
-    ).otherwise(col(text))
-    valid = F.transform(
-        F.filter(col(hits), lambda h: h["new"].isNotNull()),
-        lambda h: F.struct(h["kind"].alias("kind"), h["new"].alias("new")),
-    )
+    marked = docs.withColumn(hits, F.when(possible, F.transform(values, lambda v: found(v))).otherwise(none))
+    valid = F.flatten(F.transform(col(hits), lambda h: h["valid"]))
+    some = F.exists(col(hits), lambda h: F.size(h["valid"]) > 0)
+    new_text = F.when(some, joined(F.split(col(text), PATTERN, -1), col(hits))).otherwise(col(text))
     others = [c for c in docs.columns if c.lower() not in ("n_private", "private")]
     return marked.select(
         *[(new_text if c == text else col(c)).alias(c) for c in others],

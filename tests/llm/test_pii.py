@@ -73,3 +73,22 @@ def test_awkward_rows(documents, awkward):
     assert pii.pseudonymised(docs.where("doc_id < 0"), "k").count() == 0
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text and "Arrow" not in text
+
+
+def test_values_beside_or_inside_a_failed_card(spark):
+    cases = {
+        "212-555-1234 646-555-9876": (2, r"\d{3}-\d{3}-\d{4} \d{3}-\d{3}-\d{4}", ("212-555-1234", "646-555-9876")),
+        "4111 1111 1111 1111 123": (1, r"4\d{3} \d{4} \d{4} \d{4} 123", ("4111 1111 1111 1111",)),
+        "4111-1111-1111-1111 12/26": (1, r"4\d{3}-\d{4}-\d{4}-\d{4} 12/26", ("4111-1111-1111-1111",)),
+        "Order 12345 2024-01-05": (1, r"Order 12345 \d{4}-\d\d-\d\d", ("2024-01-05",)),
+        "apt 101 415-555-1234": (1, r"apt 101 \d{3}-\d{3}-\d{4}", ("415-555-1234",)),
+        "id 9876 123-45-6789": (1, r"id 9876 \d{3}-\d\d-\d{4}", ("123-45-6789",)),
+        "12 34 4111 1111 1111 1111": (1, r"12 34 4\d{3} \d{4} \d{4} \d{4}", ("4111 1111 1111 1111",)),
+        "4111111111111111 123": (1, r"4\d{15} 123", ("4111111111111111",)),
+        "4111 1111 1111 1111 212-555-1234": (2, r"4\d{3} \d{4} \d{4} \d{4} \d{3}-\d{3}-\d{4}", ("1111 1111", "212-555-1234")),
+        "3056 930902 5904 x": (1, r"3\d{3} \d{6} \d{4} x", ("930902",)),
+    }
+    for (new, n), (text, (want, form, gone)) in zip(replaced(spark, *cases), cases.items(), strict=True):
+        assert n == want, text
+        assert re.fullmatch(form, new), (text, new)
+        assert not any(old in new for old in gone), (text, new)
