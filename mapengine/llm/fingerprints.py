@@ -4,7 +4,8 @@ A feature is a window of ``WINDOW`` bytes. Its entropy says how ordinary it is:
 the entropies of all windows of all documents ranks them, rare entropies first, and windows of
 next to no entropy (runs of one byte) are never chosen. A window is selected if it is the best
 ranked of its neighbourhood for at least ``OFTEN`` of the ``NEIGHBOURS`` places of a sliding
-span, so selection moves with the text and ignores what stands far away. Selected features
+span, so selection moves with the text and ignores what stands far away. Where no window is, as
+in texts of few spans, the best ranked of the whole text is selected. Selected features
 are hashed into Bloom filters of 2048 bits, ``PER_FILTER`` features each; the chain of filters is
 the digest. Two digests are compared filter by filter: the overlap of set bits beyond what
 chance gives, as a part of the most there can be, best match per filter, weighted by its bits.
@@ -148,8 +149,9 @@ def _selected(data: np.ndarray, first: np.ndarray, size: np.ndarray, ranks: np.n
         best = best[inside]
         often += np.bincount(best[best < _NEVER * _PLACE] % _PLACE, minlength=len(found))
     chosen = [np.flatnonzero(often >= OFTEN)]
-    # A text of fewer windows than a neighbourhood has them all for one.
-    few = np.flatnonzero((windows > 0) & (windows < NEIGHBOURS))
+    # A text in which none is best that often, as in one of few windows, has them all for one neighbourhood.
+    none = np.bincount(owner[chosen[0]], minlength=len(size)) == 0
+    few = np.flatnonzero((windows > 0) & none)
     if len(few):
         edges = np.stack([first[few], last[few]], axis=1).ravel()
         best = np.minimum.reduceat(np.append(key, np.iinfo(np.int64).max), edges)[::2]
@@ -171,7 +173,19 @@ def _selected_long(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         done = b - a if b < spans else len(often)
         out.append(a + np.flatnonzero(often[:done] >= OFTEN))
         carried = often[done:]
-    return np.concatenate(out)
+    at = np.concatenate(out)
+    return at if len(at) else _best(data, ranks)
+
+
+def _best(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The best ranked window of one text, the first of several; none if all are monotonous."""
+    least, place = _NEVER, np.zeros(0, dtype=np.int64)
+    for a in range(0, len(data) - WINDOW + 1, _CHUNK):
+        found = ranks[entropies(data[a : a + _CHUNK + WINDOW - 1])]
+        k = int(found.argmin())
+        if found[k] < least:
+            least, place = found[k], np.array([a + k])
+    return place
 
 
 def digests(texts: list[bytes], ranks: np.ndarray) -> list[bytes]:

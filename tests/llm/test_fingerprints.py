@@ -105,3 +105,20 @@ def test_awkward_rows(documents, awkward):
     assert fp.edited_likeness(docs.where("doc_id < 0")).count() == 0
     (single,) = fp.edited_likeness(documents((7, "abcdé"))).collect()
     assert (single.edited_text, single.n_chars, single.near_next) == ("abcab", 5, 1.0)
+
+
+@pytest.mark.parametrize("chunk", [1 << 19, 95])
+def test_texts_of_few_spans_select_a_window(monkeypatch, chunk):
+    monkeypatch.setattr(fp, "_CHUNK", chunk)
+    long = prose(5, 60).encode()
+    ranks = fp.ranks_of(fp.histogram([long]))
+    for n in range(fp.WINDOW, 140):
+        (digest,) = fp.digests([long[:n]], ranks)
+        whole = fp.xxhash.xxh3_128_digest(long[:n])
+        bits = np.frombuffer(whole, "<u2")[: fp.HASHES] % fp.FILTER_BITS
+        only = np.zeros(fp.FILTER_BITS, bool)
+        only[bits] = True
+        assert n == fp.WINDOW or digest != np.packbits(only, bitorder="little").tobytes()
+    # Most texts keep their best window when a byte is put before them.
+    kept = [fp.likeness(*fp.digests([long[n : n + 100], b"e" + long[n : n + 100]], ranks)) > 0.9 for n in range(40)]
+    assert sum(kept) > 30
