@@ -36,6 +36,8 @@ from mapengine.workspace import new_dir
 
 # Queues of their own; all further, smaller sources form one more queue together.
 MAX_QUEUES = 256
+# Documents, and pieces at most, that are placed together; a document is never divided.
+_TOGETHER, _PIECES = 512, 1 << 16
 # Quanta are multiples of this part of a token, so that positions are exact in 64 bits.
 _FRACTION = 16
 _SPECIAL = "<|"
@@ -121,10 +123,15 @@ class Schedule:
         quanta = self.quanta[queue]
         # The round that serves a token: the last one before which no more was served.
         first = _round_of(begin, quanta)
-        last = _round_of(begin + size - 1, quanta)
-        n = last - first + 1
+        n = _round_of(begin + size - 1, quanta) - first + 1
+        # Where there are fewer tokens than rounds, most rounds serve none: list those of the tokens.
+        few = size < n
+        n = np.where(few, size, n)
         doc = np.repeat(np.arange(len(queue)), n)
-        rounds = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rounds = np.where(few[doc], _round_of(begin[doc] + turn, quanta[doc]), first[doc] + turn)
+        new = (np.diff(doc, prepend=-1) != 0) | (np.diff(rounds, prepend=-1) != 0)
+        doc, rounds = doc[new], rounds[new]
         own = queue[doc]
         before, within = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
         for s in range(len(self.sizes)):
@@ -138,6 +145,18 @@ class Schedule:
         position = before + within + low - start_of_turn
         return self._cut(doc, low - begin[doc], high - low, position)
 
+    def slices(self, queue: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+        """First document and number of documents that are placed together."""
+        quanta = self.quanta[queue]
+        most = np.minimum(size, _round_of(begin + size - 1, quanta) - _round_of(begin, quanta) + 1)
+        before = np.append(0, np.cumsum(most))
+        at = 0
+        while at < len(queue):
+            end = int(np.searchsorted(before, before[at] + _PIECES, side="right")) - 1
+            end = min(max(end, at + 1), at + _TOGETHER)
+            yield at, end - at
+            at = end
+
     def _cut(self, doc, start, length, position) -> tuple[np.ndarray, ...]:
         """Cuts pieces where sequences end."""
         done: list[tuple[np.ndarray, ...]] = []
@@ -217,8 +236,8 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                yield _pieces_of(batch.slice(at, 512), schedule, width)
+            for at, n in schedule.slices(*(batch[c].to_numpy() for c in ("queue", "begin", "n"))):
+                yield _pieces_of(batch.slice(at, n), schedule, width)
 
     return placed.select("doc_id", "source", "queue", "begin", "n", "ids").mapInArrow(
         cut,

@@ -137,3 +137,15 @@ def test_packing_awkward_rows(documents, awkward):
 def test_checksum_of_a_piece(documents):
     found = packing.pack(documents((1, "some")), VOCABULARY, RANKS).select(F.crc32("ids").alias("c")).collect()
     assert [r.c for r in found] == [zlib.crc32(np.array([*ids("some"), 1], "<u4").tobytes())]
+
+
+def test_rounds_that_serve_nothing_are_not_listed(monkeypatch):
+    # A source of 30 tokens in a corpus of 10**12: its documents span all rounds.
+    schedule = packing.Schedule([10**12, 30], [10.0**12, 30.0], 2048)
+    queue, size = np.array([1, 1, 1]), np.array([10, 15, 5])
+    begin = np.array([0, 10, 25])
+    doc, start, length, _, _ = schedule.pieces(queue, begin, size)
+    assert len(doc) == 30 and length.tolist() == [1] * 30
+    assert (begin[doc] + start).tolist() == list(range(30))
+    monkeypatch.setattr(packing, "_PIECES", 12)
+    assert list(schedule.slices(queue, begin, size)) == [(0, 1), (1, 1), (2, 1)]
