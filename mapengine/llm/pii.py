@@ -29,6 +29,8 @@ _DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 _PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-]?)[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])"
+# Numbers that are spelled like a phone's, in any range.
+_OTHER = r"(?<![0-9+])(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)|\([0-9]{3}\) ?)[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
 _ABROAD = r"(?<![0-9+])\+[2-9](?:[ .-]?\(?[0-9]\)?){7,13}(?![0-9])"
 # Cards in usual groups, or unbroken.
 _GROUPED = r"(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{5})"
@@ -36,7 +38,7 @@ _STRICT = rf"(?<![0-9])(?:{_GROUPED}|[0-9]{{13,19}})(?![0-9])"
 # A blank or hyphen within a card, behind which no other number begins.
 _GAP = rf"[ -](?!{'|'.join((_DATE, _SSN, _PHONE, _STRICT)).replace('(?<![0-9/.-])', '').replace('(?<![0-9-])', '')})"
 _CARD = rf"(?<![0-9])(?:{_GROUPED}(?:{_GAP}[0-9]{{1,3}})?|[0-9](?:(?:{_GAP})?[0-9]){{12,18}})(?![0-9])"
-PATTERN = "|".join((_MAIL, _DATE, _IP, _SSN, _CARD, _PHONE, _ABROAD))
+PATTERN = "|".join((_MAIL, _DATE, _IP, _SSN, _CARD, _PHONE, _OTHER, _ABROAD))
 # What is looked for, one after the other, inside a card that failed its check.
 _WITHIN = ("|".join((_DATE, _SSN, _STRICT, _PHONE)), "|".join((_DATE, _SSN, _PHONE)))
 
@@ -158,7 +160,7 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """Area and exchange from 200 to 999, any line."""
+    """Area and exchange from 200 to 999, any line; all other numbers among themselves."""
 
     def permuted(d: Column) -> Column:
         local = F.right(d, F.lit(10))
@@ -166,7 +168,14 @@ def _phone(value: Column, key: str) -> Column:
         new = feistel(area * 8_000_000 + line, 800, 8_000_000, key, "phone")
         spelled = _once(new, lambda x: F.concat(
             (F.floor(x / 8_000_000) + 200).cast("string"), (F.pmod(x, F.lit(8_000_000)) + 2_000_000).cast("string")))
-        return F.concat(F.left(d, F.char_length(d) - 10), spelled)
+        low = F.left(local, F.lit(3)).cast("long") < 200
+        # The others: 200 areas of 10,000,000 lines, and 800 of 2,000,000; in all 60,000 * 60,000.
+        at = F.when(low, local.cast("long")).otherwise(2_000_000_000 + area * 2_000_000 + line + 2_000_000)
+        others = _once(feistel(at, 60_000, 60_000, key, "other"), lambda x: _padded(
+            F.when(x < 2_000_000_000, x).otherwise(
+                (F.floor((x - 2_000_000_000) / 2_000_000) + 200) * 10_000_000
+                + F.pmod(x - 2_000_000_000, F.lit(2_000_000))), 10))
+        return F.concat(F.left(d, F.char_length(d) - 10), F.when(low | (line < 0), others).otherwise(spelled))
 
     return _respelled(value, _once(_digits(value), permuted))
 
@@ -210,8 +219,14 @@ def _ip(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    """Days of the years 1800 to 2199, as year-month-day, month/day/year or day.month.year."""
-    iso, us = value.contains("-"), value.contains("/")
+    """Days of the years 1800 to 2199, as year-month-day, month/day/year or day.month.year.
+
+    With slashes, a first part beyond 12 is the day. Its pseudonym is written with the day first
+    too, so if that day is at most 12 the spelling alone no longer shows the order.
+    """
+    iso = value.contains("-")
+    us = value.contains("/") & (F.left(value, F.lit(2)) <= "12")
+    european = F.when(value.contains("/"), "/").otherwise(".")
 
     def part(i: int, u: int, e: int, n: int) -> Column:
         return F.when(iso, F.substring(value, i, n)).when(us, F.substring(value, u, n)).otherwise(F.substring(value, e, n))
@@ -222,7 +237,8 @@ def _date(value: Column, key: str) -> Column:
         new = F.date_add(F.lit(_FIRST_DAY).cast("date"), x.cast("int"))
         return (
             F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(us, F.date_format(new, "MM/dd/yyyy"))
-            .otherwise(F.date_format(new, "dd.MM.yyyy"))
+            .otherwise(F.concat(
+                F.date_format(new, "dd"), european, F.date_format(new, "MM"), european, F.date_format(new, "yyyy")))
         )
 
     at = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
@@ -243,7 +259,7 @@ def pseudonym(value: Column, key: str) -> Column:
 
     kinds = [
         ("mail", value.contains("@"), _mail), ("date", whole(_DATE), _date), ("ip", whole(_IP), _ip),
-        ("ssn", whole(_SSN), _ssn), ("card", whole(_CARD), _card), ("phone", whole(_PHONE), _phone),
+        ("ssn", whole(_SSN), _ssn), ("card", whole(_CARD), _card), ("phone", whole(_PHONE) | whole(_OTHER), _phone),
         ("abroad", whole(_ABROAD), _abroad),
     ]
     out = F.lit(None).cast("struct<kind:string,new:string>")

@@ -92,3 +92,15 @@ def test_values_beside_or_inside_a_failed_card(spark):
         assert n == want, text
         assert re.fullmatch(form, new), (text, new)
         assert not any(old in new for old in gone), (text, new)
+
+
+def test_phones_of_any_range_and_dates_with_the_day_first(spark):
+    texts = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(404) 155-1234", "25/12/2024", "25.12.2024"]
+    forms = [r"\+1 \(\d{3}\) \d{3}-\d{4}"] * 2 + [r"\(\d{3}\) \d{3}-\d{4}", r"\d\d/\d\d/\d{4}", r"\d\d\.\d\d\.\d{4}"]
+    found = replaced(spark, *texts)
+    for old, form, (new, n) in zip(texts, forms, found, strict=True):
+        assert n == 1 and new != old and re.fullmatch(form, new), (old, new)
+    assert found[3][0].replace("/", ".") == found[4][0]
+    for new, _ in found[:3]:  # numbers outside the ranges in use stay outside
+        d = re.sub(r"\D", "", new)[-10:]
+        assert d[0] in "01" or d[3] in "01"
