@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapengine.llm import fingerprints, line_dedup, lm_score, mixing, packing, pii, quality, simhash, tokens, url_filter
+from mapengine.llm import (
+    fingerprints,
+    hard_negatives,
+    line_dedup,
+    lm_score,
+    mixing,
+    packing,
+    pii,
+    quality,
+    simhash,
+    tokens,
+    topk,
+    url_filter,
+)
 from mapengine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +93,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, id_ = F.col("label").cast("long"), F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0, positives_each=5, negatives_each=5, low=80, high=100)
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,6 +121,8 @@ def queries() -> dict[str, Query]:
         "op8_fingerprints": op8_fingerprints,
         "op9_url_filter": op9_url_filter,
         "op10_token_counts": op10_token_counts,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op13_exact_topk": op13_exact_topk,
         "pipeline": pipeline,
     }
 
@@ -155,6 +180,47 @@ FROM ruled
 """
 
 
+_USABLE = """
+WITH usable AS (
+    SELECT vec_id, min(struct_pack(v := embedding, l := label)) AS row
+    FROM (SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 AND {relabelled} THEN (label::BIGINT + 1) % 10 ELSE label END AS label
+          FROM embeddings)
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND (label IS NOT NULL OR NOT {relabelled})
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    GROUP BY vec_id
+), vectors AS (
+    SELECT vec_id AS id, row.l AS label, list_transform(row.v, lambda x: floor(256 * x::DOUBLE)) AS v FROM usable
+)
+"""
+
+_HARD_NEGATIVES = _USABLE.format(relabelled="true") + """
+, scored AS (
+    SELECT a.id AS anchor_id, b.id, a.label = b.label AS mate, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM vectors a JOIN vectors b ON a.id % 100 = 0 AND a.id <> b.id
+), positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE mate
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.id)::INTEGER AS rank
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.mate
+ AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+_TOP_K = _USABLE.format(relabelled="false") + """
+SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score,
+       row_number() OVER (PARTITION BY q.id ORDER BY score DESC, c.id)::INTEGER AS rank
+FROM vectors q JOIN vectors c ON q.id % 50 = 0 AND q.id <> c.id
+QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express in full. The others are tested by brute force."""
-    return {"op1_line_dedup": _LINE_DEDUP, "op9_url_filter": _URL_FILTER}
+    return {
+        "op1_line_dedup": _LINE_DEDUP,
+        "op9_url_filter": _URL_FILTER,
+        "op11_hard_negatives": _HARD_NEGATIVES,
+        "op13_exact_topk": _TOP_K,
+    }
