@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapengine.llm import (
+    collocations,
     fingerprints,
     hard_negatives,
     line_dedup,
@@ -99,6 +100,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0, positives_each=5, negatives_each=5, low=80, high=100)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=5, min_count=100, first=2000)
+
+
 def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -122,6 +127,7 @@ def queries() -> dict[str, Query]:
         "op9_url_filter": op9_url_filter,
         "op10_token_counts": op10_token_counts,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_collocations": op12_collocations,
         "op13_exact_topk": op13_exact_topk,
         "pipeline": pipeline,
     }
@@ -215,6 +221,45 @@ FROM vectors q JOIN vectors c ON q.id % 50 = 0 AND q.id <> c.id
 QUALIFY rank <= 5
 """
 
+_COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT doc_id, coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), sizes AS (
+    SELECT lang, sum(len(words))::HUGEINT AS n FROM worded GROUP BY lang
+), starts AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM worded
+), phrases AS (
+    SELECT lang, list_slice(words, pos, pos + size - 1) AS phrase
+    FROM starts, (SELECT unnest(range(1, 6)) AS size) WHERE pos + size - 1 <= len(words)
+), counts AS (
+    SELECT lang, phrase, count(*)::HUGEINT AS f FROM phrases GROUP BY lang, phrase HAVING count(*) >= 100
+), cuts AS (
+    SELECT lang, phrase, f AS a, unnest(range(1, len(phrase))) AS k FROM counts WHERE len(phrase) > 1
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, s.n, (1000 * c.a * s.n) // (x.f * y.f) AS score
+    FROM cuts c JOIN sizes s ON s.lang = c.lang
+    JOIN counts x ON x.lang = c.lang AND x.phrase = list_slice(c.phrase, 1, c.k)
+    JOIN counts y ON y.lang = c.lang AND y.phrase = list_slice(c.phrase, c.k + 1, len(c.phrase))
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1
+), held AS (
+    SELECT DISTINCT c.lang, c.phrase FROM counts c JOIN counts d
+      ON d.lang = c.lang AND len(d.phrase) > len(c.phrase) AND 100 * d.f >= 100 * c.f
+     AND (list_slice(d.phrase, 1, len(c.phrase)) = c.phrase OR list_slice(d.phrase, 2, len(c.phrase) + 1) = c.phrase
+          OR list_slice(d.phrase, 3, len(c.phrase) + 2) = c.phrase OR list_slice(d.phrase, 4, len(c.phrase) + 3) = c.phrase)
+    WHERE len(c.phrase) > 1
+), kept AS (
+    SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score FROM scored ANTI JOIN held USING (lang, phrase)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express in full. The others are tested by brute force."""
@@ -222,5 +267,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": _LINE_DEDUP,
         "op9_url_filter": _URL_FILTER,
         "op11_hard_negatives": _HARD_NEGATIVES,
+        "op12_collocations": _COLLOCATIONS,
         "op13_exact_topk": _TOP_K,
     }
