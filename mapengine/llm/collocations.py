@@ -3,16 +3,18 @@
 Texts are cut into slices of at most ``SLICE_WORDS`` words (or one longer document) and coded once.
 From then on a corpus is a sequence of ids per slice, and every level does the same:
 
-1. ids are ranks by frequency, 0 the most frequent, over the whole corpus; what is too rare has none;
-2. neighbouring ids are pairs. Ranked by frequency, pairs crowd into few tiles of ``TILE`` x ``TILE`` ids: a
-   crowded tile is counted by direct address, with one dense ``bincount``; all others as sorted coordinates;
-3. counts of the slices are summed, pairs found often enough are ranked in their turn, and the sequence is
-   recoded with their ids. A pair of neighbouring (k-1)-word phrases is a k-word phrase, so level after level
-   gives longer phrases, and none is missed: both its pairs are at least as frequent.
-
-A slice needs only the ids of its own pairs, which a join gives back to it, so a task's memory follows
-its slice and no table of phrases is broadcast or collected. Shuffled are one row per slice and
-distinct pair of frequent ids, and the sequences, which lose what is rare at every level.
+1. ids are ranks by frequency, the most frequent first; what is too rare has none. Ranks are taken in each of
+   P parts of all words or pairs, dealt by a hash, and interleaved: rank r of part p is id r * P + p;
+2. neighbouring ids are pairs. Ranked by frequency, pairs crowd into few tiles of ``TILE`` x ``TILE`` ids: in a
+   slice a crowded tile is counted by direct address, with one dense ``bincount``; all others as sorted coordinates;
+3. the slices' coordinates of a part are sorted together and summed, pairs found often enough are ranked in their
+   turn, and the sequences are recoded with their ids. A pair of neighbouring (k-1)-word phrases is a k-word phrase,
+   so level after level gives longer phrases, and none is missed: both its pairs are at least as frequent.
+
+A slice gets back only the ids of its own pairs, so a task's memory follows its slice or its part, and no table
+of phrases is broadcast or collected. A part holds at most one entry of a pair for each slice, so a very frequent
+pair makes none large. Coordinates travel packed, a row for each slice and part; the sequences travel once a
+level and lose what is rare.
 
 Words are `[^\\x20\\x09]+` inside pieces between `[.,;:!?\\x0A-\\x0D]`, with A-Z lower-cased. A NULL text is empty, a
 NULL language is ``und``; a text without words, or an empty table, adds nothing. Repeated rows count each time. A
@@ -21,12 +23,15 @@ document is never cut, so the longest one bounds a task's memory. Columns other
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +39,8 @@ from pyspark.sql import functions as F
 from mapengine.llm.common import col, stored
 
 SLICE_WORDS = 2_000_000
+# Bytes of text per part: some four million words.
+PART_BYTES = 24_000_000
 TILE = 1024
 # Pairs per cell from which a tile is counted by direct address.
 CROWDED = 1 / 16
@@ -45,22 +52,46 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _CODED = bytes.maketrans(
     _ENDS + b"\t" + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * len(_ENDS) + b" " + b"abcdefghijklmnopqrstuvwxyz")
 
-_SLICES = "slice long, lang string, wide boolean, seq binary, a long, word binary, n long"
-_PAIRS = "slice long, lang string, wide boolean, seq binary, a long, b long, n long"
+_KEY = [("slice", pa.int64()), ("lang", pa.string())]
+_PACKED = [(c, pa.binary()) for c in ("a", "b", "n")]
+_SLICES = pa.schema([*_KEY, ("seq", pa.binary()), ("size", pa.int64()), ("part", pa.int32()), ("words", pa.list_(pa.binary())), *_PACKED])
+_PAIRS = pa.schema([*_KEY, ("seq", pa.binary()), ("part", pa.int32()), *_PACKED])
+_IDS = pa.schema([*_KEY, *_PACKED, ("id", pa.int64()), ("f", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("word", pa.string())])
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text in order, a line feed after every piece, some items empty."""
-    return (text.translate(_CODED) + b"\n").replace(b"\n", b" \n ").split(b" ")
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.binary()): "array<binary>"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
 
+def _batch(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
+    """A batch of the given columns; the others are NULL."""
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-def _packed(seq: np.ndarray) -> tuple[bool, bytes]:
-    wide = bool(len(seq) and seq.max() >= 2**31)
-    return wide, seq.astype(np.int64 if wide else np.int32).tobytes()
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, their bytes sorted by place and compressed."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def _unpacked(wide: bool, seq: bytes) -> np.ndarray:
-    return np.frombuffer(seq, np.int64 if wide else np.int32).astype(np.int64)
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def part_of(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    """The part a pair belongs to, in every slice."""
+    mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words of a text in order, a line feed after every piece, some items empty."""
+    return (text.translate(_CODED) + b"\n").replace(b"\n", b" \n ").split(b" ")
 
 
 def _joined(seq: np.ndarray) -> np.ndarray:
@@ -86,34 +117,29 @@ class _Slice:
         self.size += len(coded)
         return len(coded)
 
-    def rows(self, slice_: int, lang: str) -> Iterator[pa.RecordBatch]:
+    def batch(self, slice_: int, lang: str, parts: int) -> pa.RecordBatch:
+        """A row with the sequence, and one for the words of every part."""
         seq = np.concatenate(self.parts)
-        wide, packed = _packed(seq)
-        words = list(self.ids)[2:]
-        n, m = np.bincount(seq[seq >= 0], minlength=len(words)), len(words)
-        yield from _batches(_SLICES_ARROW, slice_, lang, wide, packed, [np.arange(m), words, n])
-
-
-_SLICES_ARROW = pa.schema([("slice", pa.int64()), ("lang", pa.string()), ("wide", pa.bool_()), ("seq", pa.binary()),
-                           ("a", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
-_PAIRS_ARROW = pa.schema([*list(_SLICES_ARROW)[:5], ("b", pa.int64()), ("n", pa.int64())])
+        words = np.empty(len(self.ids) - 2, object)
+        words[:] = list(self.ids)[2:]
+        n = np.bincount(seq[seq >= 0], minlength=len(words))
+        part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int32, len(words))
+        rows = [(packed(seq), int(n.sum()), None, None, None, None)]
+        for p, own in _by_part(part):
+            rows.append((None, None, p, words[own].tolist(), packed(own), packed(n[own])))
+        seqs, sizes, numbers, lists, ids, counts = map(list, zip(*rows, strict=True))
+        return _batch(_SLICES, slice=[slice_] * len(rows), lang=[lang] * len(rows), seq=seqs, size=sizes, part=numbers, words=lists, a=ids, n=counts)
 
 
-def _batches(
-    schema: pa.Schema, slice_: int, lang: str, wide: bool, packed: bytes | None, counted: list, rows: int = 65536
-) -> Iterator[pa.RecordBatch]:
-    """One row with the sequence, if there is one, then a row per counted id or pair."""
-    if packed is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((slice_, lang, wide, packed, None, None, None), schema, strict=True)], schema=schema)
-    for at in range(0, len(counted[0]), rows):
-        own = [pa.array(c[at : at + rows], f.type) for c, f in zip(counted, list(schema)[4:], strict=True)]
-        size = len(own[0])
-        key = [pa.array(np.full(size, slice_)), pa.array([lang] * size, pa.string()), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.binary())]
-        yield pa.RecordBatch.from_arrays(key + own, schema=schema)
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every part that occurs and the places of its members, in order."""
+    order = np.argsort(part, kind="stable")
+    found, start = np.unique(part[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, start[1:]), strict=True) if len(found) else ()
 
 
-def coded(documents: DataFrame, text: str = "text", lang: str = "lang", slice_words: int = SLICE_WORDS) -> DataFrame:
-    """Slices: a row with each one's sequence, and a row per distinct word with its number in the slice and its count."""
+def coded(documents: DataFrame, parts: int, text: str = "text", lang: str = "lang", slice_words: int = SLICE_WORDS) -> DataFrame:
+    """Slices: a row with each one's sequence, and one for its distinct words of every part, with their counts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, open_, size = TaskContext.get().partitionId(), count(), defaultdict(_Slice), 0
@@ -123,15 +149,15 @@ def coded(documents: DataFrame, text: str = "text", lang: str = "lang", slice_wo
                 if size >= slice_words:
                     slice_ = (task << 32) + next(number)
                     for name in list(open_):
-                        yield from open_.pop(name).rows(slice_, name)
+                        yield open_.pop(name).batch(slice_, name, parts)
                     size = 0
         slice_ = (task << 32) + next(number)
         for name in list(open_):
-            yield from open_.pop(name).rows(slice_, name)
+            yield open_.pop(name).batch(slice_, name, parts)
 
     own = documents.select(
         F.coalesce(col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(col(text), F.lit("")).cast("binary").alias("text"))
-    return stored(own.mapInArrow(cut, _SLICES), "slices")
+    return stored(own.mapInArrow(cut, _ddl(_SLICES)), "slices")
 
 
 def tiled_counts(a: np.ndarray, b: np.ndarray, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,51 +215,109 @@ def recoded(seq: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> n
     return _joined(out)
 
 
-def _next_level(seqs: DataFrame, ids: DataFrame, of_words: bool, keep: bool) -> DataFrame:
-    """Sequences recoded with ``ids`` (``a``, ``b``, ``id`` by slice) and the counts of their pairs, stored."""
+def _ranked(x: np.ndarray, y: np.ndarray, n: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums ``n`` over equal pairs. Place of a first entry and sum of every frequent pair, most frequent
+    first, and the rank of every entry's pair, -1 for a rare one."""
+    order = np.lexsort((y, x))
+    first = np.flatnonzero(np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]) if len(x) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(n[order], first) if len(x) else n
+    often = np.flatnonzero(sums >= min_count)
+    often = often[np.argsort(-sums[often], kind="stable")]
+    rank = np.full(len(first), -1, np.int64)
+    rank[often] = np.arange(len(often))
+    entries = np.empty(len(x), np.int64)
+    entries[order] = np.repeat(rank, np.diff(np.r_[first, len(x)]))
+    return order[first[often]], sums[often], entries
+
+
+def _given_back(rows: pa.Table, sizes: list[int], rank: np.ndarray, parts: int, part: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """To every slice the ids of its own frequent words or pairs."""
+    edges = np.r_[0, np.cumsum(sizes)]
+    found = []
+    for slice_, lang, start, stop in zip(rows["slice"].to_pylist(), rows["lang"].to_pylist(), edges[:-1], edges[1:], strict=True):
+        own = start + np.flatnonzero(rank[start:stop] >= 0)
+        if len(own):
+            found.append((slice_, lang, packed(np.diff(a[own], prepend=0)), packed(b[own]), packed(rank[own] * parts + part)))
+    if found:
+        yield _batch(_IDS, **dict(zip(("slice", "lang", "a", "b", "n"), map(list, zip(*found, strict=True)), strict=True)))
+
+
+def _word_ids(slices: DataFrame, parts: int, min_count: int) -> DataFrame:
+    """Frequent words with their ids, and the ids of every slice's own words, stored."""
+
+    def count_part(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        lists = rows["words"].combine_chunks()
+        words = pa.concat_arrays([c.flatten() for c in lists.chunks]) if isinstance(lists, pa.ChunkedArray) else lists.flatten()
+        coded = words.dictionary_encode()
+        own, n = (np.concatenate([unpacked(x) for x in rows[c].to_pylist()]) for c in ("a", "n"))
+        langs = rows["lang"].combine_chunks().dictionary_encode()
+        langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
+        sizes = [len(x) for x in lists]
+        lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), sizes)
+        first, sums, rank = _ranked(lang, coded.indices.to_numpy(zero_copy_only=False), n, min_count)
+        out = [_batch(_IDS, lang=langs.dictionary.take(pa.array(lang[first])).to_pylist(), f=sums, id=np.arange(len(first)) * parts + part,
+                      word=words.take(pa.array(first)).cast(pa.string()))]
+        out += _given_back(rows, sizes, rank, parts, part, own, np.full(len(own), -1))
+        return pa.Table.from_batches(out, _IDS)
+
+    return stored(slices.where(F.col("part").isNotNull()).groupBy("part").applyInArrow(count_part, _ddl(_IDS)), "ids")
+
+
+def _pair_ids(pairs: DataFrame, parts: int, min_count: int) -> DataFrame:
+    """Frequent pairs (``x``, ``y``) with their ids, and the ids of every slice's own pairs, stored."""
+
+    def count_part(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        each = [np.cumsum(unpacked(x)) for x in rows["a"].to_pylist()]
+        a = np.concatenate(each)
+        b, n = (np.concatenate([unpacked(x) for x in rows[c].to_pylist()]) for c in ("b", "n"))
+        first, sums, rank = _ranked(a, b, n, min_count)
+        out = [_batch(_IDS, f=sums, id=np.arange(len(first)) * parts + part, x=a[first], y=b[first])]
+        out += _given_back(rows, [len(x) for x in each], rank, parts, part, a, b)
+        return pa.Table.from_batches(out, _IDS)
+
+    return stored(pairs.where(F.col("part").isNotNull()).groupBy("part").applyInArrow(count_part, _ddl(_IDS)), "ids")
+
+
+def _next_level(seqs: DataFrame, ids: DataFrame, parts: int, of_words: bool, keep: bool) -> DataFrame:
+    """Sequences recoded with the slices' ids, and the counts of their pairs by part, stored."""
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
-            return _PAIRS_ARROW.empty_table()
-        slice_, lang = left["slice"][0].as_py(), left["lang"][0].as_py()
-        seq = _unpacked(left["wide"][0].as_py(), left["seq"][0].as_py())
-        a, own = right["a"].to_numpy(), right["id"].to_numpy()
+            return _PAIRS.empty_table()
+        slice_, lang, seq = left["slice"][0].as_py(), left["lang"][0].as_py(), unpacked(left["seq"][0].as_py())
+        a = np.concatenate([np.cumsum(unpacked(x)) for x in right["a"].to_pylist()])
+        b, own = (np.concatenate([unpacked(x) for x in right[c].to_pylist()]) for c in ("b", "n"))
         if of_words:
             known = np.full(max(seq.max(initial=0), a.max()) + 2, -1, np.int64)  # the last stays -1, for the ends
             known[a] = own
             seq = _joined(known[seq])
         else:
-            seq = recoded(seq, a, right["b"].to_numpy(), own)
-        wide, packed = _packed(seq)
-        return pa.Table.from_batches(
-            _batches(_PAIRS_ARROW, slice_, lang, wide, packed if keep else None, list(pairs_of(seq))), _PAIRS_ARROW)
-
-    own = seqs.where(F.col("seq").isNotNull()).select("slice", "lang", "wide", "seq")
-    asked = ids.withColumnsRenamed({"slice": "of_slice", "lang": "of_lang"})
+            seq = recoded(seq, a, b, own)
+        a, b, n = pairs_of(seq)
+        rows = [(packed(seq), None, None, None, None)] if keep else []
+        for p, at in _by_part(part_of(a, b, parts)):
+            rows.append((None, p, packed(np.diff(a[at], prepend=0)), packed(b[at]), packed(n[at])))
+        if not rows:
+            return _PAIRS.empty_table()
+        columns = dict(zip(("seq", "part", "a", "b", "n"), map(list, zip(*rows, strict=True)), strict=True))
+        return pa.Table.from_batches([_batch(_PAIRS, slice=[slice_] * len(rows), lang=[lang] * len(rows), **columns)], _PAIRS)
+
+    own = seqs.where(F.col("seq").isNotNull()).select("slice", "lang", "seq")
+    asked = ids.where(F.col("slice").isNotNull()).select(F.col("slice").alias("of_slice"), F.col("lang").alias("of_lang"), "a", "b", "n")
     grouped = own.groupBy("slice", "lang").cogroup(asked.groupBy("of_slice", "of_lang"))
-    return stored(grouped.applyInArrow(step, _PAIRS), "pairs")
-
+    return stored(grouped.applyInArrow(step, _ddl(_PAIRS)), "pairs")
 
-def ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """Adds ``id``: the place of every row, from 0, in a distributed sort. Only sizes of sorted parts meet in one task."""
-    parts = stored(
-        rows.orderBy(*order)
-        .withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}),
-        "ranked")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n")).select(
-        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    return parts.join(sizes, "part").withColumn("id", F.col("earlier") + F.col("at")).select(*rows.columns, "id")
 
-
-def _longer(pairs: DataFrame, shorter: DataFrame, min_count: int) -> DataFrame:
+def _longer(ids: DataFrame, shorter: DataFrame) -> DataFrame:
     """Frequent pairs of phrases as phrases one word longer, with the counts of all they begin and end with."""
-    counts = pairs.where(F.col("seq").isNull()).groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    pairs = ids.where(F.col("x").isNotNull()).select("id", "f", F.col("x").alias("a"), F.col("y").alias("b"))
     x = shorter.select(
         F.col("id").alias("a"), "lang", F.col("phrase").alias("start"), F.concat("begins", F.array("f")).alias("begins"))
     y = shorter.select(F.col("id").alias("b"), F.col("last"), F.concat("ends", F.array("f")).alias("ends"))
     return stored(
-        ranked(counts, F.col("f").desc(), F.col("a"), F.col("b")).join(x, "a").join(y, "b").select(
+        pairs.join(x, "a").join(y, "b").select(
             "id", "lang", "f", F.concat_ws(" ", "start", "last").alias("phrase"), "last", "begins", "ends", "a", "b"),
         "phrases")
 
@@ -262,6 +346,7 @@ def collocations(
     text: str = "text",
     lang: str = "lang",
     slice_words: int = SLICE_WORDS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the strongest phrases of 2 to ``longest`` words per language.
 
@@ -269,26 +354,24 @@ def collocations(
     the weakest cut into a first part, found l times, and a rest, found r times. A phrase inside a longer one that
     is found at least ``held_percent``% as often is left out. ``first`` per language, None for all.
     """
-    slices = coded(documents, text, lang, slice_words)
-    words = slices.where(F.col("seq").isNull()).select("slice", "lang", "a", F.col("word").cast("string").alias("word"), "n")
-    counts = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+    size = documents.agg(F.sum(F.octet_length(col(text)).cast("long"))).first()[0]
+    parts = max(1, math.ceil((size or 0) / part_bytes))
+    slices = coded(documents, parts, text, lang, slice_words)
+    sizes = slices.where(F.col("size") > 0).groupBy("lang").agg(F.sum("size").alias("n"))
+    ids = _word_ids(slices, parts, min_count)
     none = F.array().cast("array<bigint>")
-    phrases = stored(
-        ranked(counts.where(F.col("f") >= min_count), F.col("f").desc(), F.col("lang"), F.col("word")).select(
-            "id", "lang", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("begins"), none.alias("ends")),
-        "phrases")
-    ids = words.join(phrases.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("slice", "lang", "a", "id")
+    phrases = ids.where(F.col("word").isNotNull()).select(
+        "id", "lang", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("begins"), none.alias("ends"))
     seqs, out = slices, None
     for size in range(2, longest + 1):
-        seqs = _next_level(seqs, ids, of_words=size == 2, keep=size < longest)
-        shorter, phrases = phrases, _longer(seqs, phrases, min_count)
+        seqs = _next_level(seqs, ids, parts, of_words=size == 2, keep=size < longest)
+        ids = _pair_ids(seqs, parts, min_count)
+        shorter, phrases = phrases, _longer(ids, phrases)
         if size > 2:
             out = _whole(scored, shorter, phrases, out, held_percent)
         scored = _scored(phrases, size, sizes)
         if phrases.isEmpty():
             break
-        ids = seqs.where(F.col("seq").isNull()).join(phrases.select("a", "b", "id"), ["a", "b"]).select("slice", "lang", "a", "b", "id")
     out = scored if out is None else out.unionByName(scored)
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     top = out.withColumn("rank", F.row_number().over(order))

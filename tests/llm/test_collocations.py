@@ -67,8 +67,8 @@ def corpus(seed=1, n=150):
 
 def test_equals_brute_force(docs):
     rows = corpus()
-    for more in ({"min_count": 20}, {"min_count": 5, "slice_words": 40}, {"min_count": 9, "longest": 3, "first": 4}, {"min_count": 12, "held_percent": 60, "longest": 6}):
-        want = {k: v for k, v in more.items() if k != "slice_words"}
+    for more in ({"min_count": 20}, {"min_count": 5, "slice_words": 40, "part_bytes": 700}, {"min_count": 9, "longest": 3, "first": 4}, {"min_count": 12, "held_percent": 60, "longest": 6}):
+        want = {k: v for k, v in more.items() if k not in ("slice_words", "part_bytes")}
         want["held"] = want.pop("held_percent", 100)
         assert run(docs, rows, **more) == brute(rows, **want)
 
@@ -113,6 +113,11 @@ def test_recoding(seq, pairs):
     assert collocations._joined(np.array(want, np.int64)).tolist() == got.tolist()
 
 
+@given(st.lists(st.integers(-(2**63), 2**63 - 1), max_size=50))
+def test_packing_is_exact(numbers):
+    assert collocations.unpacked(collocations.packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
 def test_query_equals_its_sql(spark):
     import duckdb
 
