@@ -3,21 +3,19 @@
 Every value here is a running count, or the latest mark so far, over all rows of an extract
 in document order. It is folded in three levels:
 
-1. rows are cut into segments of at most ``2 ** SEGMENT_BITS`` consecutive rows of a split
-   and folded inside each segment. No group of rows is larger than a segment, however many
-   children one element has and however large a file is;
-2. each segment is summed up in one row, and these are folded inside each split;
+1. rows are cut into segments of at most ``2 ** SEGMENT_BITS`` consecutive rows of a split,
+   shuffled once, folded inside each segment and stored with what the fold gave. No group of rows is larger
+   than a segment, however many children one element has and however large a file is;
+2. the last row of each segment sums it up; these are folded inside each split;
 3. each split is summed up in one row, and these are folded over the extract. Only this
    table, with one row for each split the driver has planned, is sorted as a whole.
 
-Earlier folds are carried in by joins on the segment and on the split. Rows are scanned once
-and shuffled once, by segment: the summary reads the same shuffle files as the rows, which are
-folded from them twice. No side is broadcast by hint; Spark does so only while the size it
-measures allows.
+Rows and sums are both read from storage, so the windows over the rows run once. What came before a segment is
+stored in one row and joined to its rows; Spark broadcasts that table while its size on disk allows it, and
+otherwise shuffles the rows once more.
 
-The three levels also check the nesting of top-level elements: one that begins inside another,
-a closing tag that is not of the open element, and one still open at the end stop the job. So
-the rows given here must hold every opening and closing tag of top-level elements.
+Rows come from ``sources.markup``, which has checked that tags match and that no top-level element lies
+inside another. They must hold every opening and closing tag of top-level elements.
 """
 
 from __future__ import annotations
@@ -26,11 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapengine.model import CHILDREN, SAMPLE_STEP, TOP_LEVEL
-from mapengine.sources.markup import POSITION
-from mapengine.workspace import store
+from mapengine.sources.lexical import POSITION
+from mapengine.workspace import new_dir, store
 
-# 4096 rows, which a window holds in memory by default.
-SEGMENT_BITS = 12
+# 65,536 rows: a window holds some megabytes, and an extract of a terabyte has a few hundred thousand segments.
+SEGMENT_BITS = 16
 
 _SPLIT = ("file", "block")
 _SEGMENT = ("segment", "block", "file")
@@ -57,17 +55,6 @@ def _shifted(mark: Column, refs: Column) -> Column:
     )
 
 
-def _misplaced(begun: Column, ended: Column, open_: Column) -> Column:
-    """What is wrong with tags that begin and end elements where ``open_`` is open, or NULL."""
-    return F.when(
-        begun.isNotNull() & open_.isNotNull(),
-        F.concat(F.lit("bad nesting: <"), begun, F.lit("> inside <"), open_, F.lit(">")),
-    ).when(
-        ended.isNotNull() & ~ended.eqNullSafe(open_),
-        F.concat(F.lit("bad nesting: </"), ended, F.lit("> does not close <"), F.coalesce(open_, F.lit("")), F.lit(">")),
-    )
-
-
 def _carry(sums: DataFrame, before: Window) -> DataFrame:
     """Replaces counts and last mark of each summary row by those of all rows before it."""
     earlier = sums.withColumns({
@@ -84,78 +71,40 @@ def _carry(sums: DataFrame, before: Window) -> DataFrame:
 def _carried_in(local: DataFrame) -> DataFrame:
     """Per segment: what precedes it in the whole extract."""
     so_far = (Window.unboundedPreceding, -1)
-    # The hash needs every column, so that this branch reads the very rows that the other
-    # one does and both share one exchange.
-    per_segment = local.groupBy(*_SEGMENT).agg(
-        F.max("_elements").alias("elements"),
-        F.max("_refs").alias("refs"),
-        F.max_by("_mark", "seq").alias("last"),
-        F.max("_begun").alias("begun"), F.max("_ended").alias("ended"), F.max("_problem").alias("problem"),
-        F.max(F.xxhash64(*local.columns)).alias("all_columns"),
-    )
+    per_segment = local.where("_last").select(
+        *_SEGMENT, F.col("_elements").alias("elements"), F.col("_refs").alias("refs"), F.col("_mark").alias("last"))
     in_split = _carry(per_segment, Window.partitionBy(*_SPLIT).orderBy("segment").rowsBetween(*so_far))
-    # Without an earlier mark in the split, what is open comes from the splits before.
-    unknown = F.col("carried").isNull()
-    in_split = in_split.withColumn("problem", F.coalesce(
-        "problem", F.when(~unknown, _misplaced(F.col("begun"), F.col("ended"), F.col("carried.name")))))
     per_split = in_split.groupBy(*_SPLIT).agg(
         F.sum("elements").alias("elements"),
         F.sum("refs").alias("refs"),
         F.max_by("last", F.when(F.col("last").isNotNull(), F.col("segment"))).alias("last"),
-        F.max(F.when(unknown, F.col("begun"))).alias("begun"), F.max(F.when(unknown, F.col("ended"))).alias("ended"),
-        F.max("problem").alias("problem"), F.max("all_columns").alias("all_columns"),
-    )
-    in_extract = Window.orderBy(*_SPLIT)
-    whole = in_extract.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carried = _carry(per_split, in_extract.rowsBetween(*so_far)).withColumn("problem", F.coalesce(
-        "problem", _misplaced(F.col("begun"), F.col("ended"), F.col("carried.name"))))
-    left_open = F.last("last", ignorenulls=True).over(whole)["name"]
-    problem = F.coalesce(
-        F.max("problem").over(whole),
-        F.when(left_open.isNotNull(), F.concat(F.lit("bad nesting: <"), left_open, F.lit("> is open at the end"))),
     )
-    splits = carried.withColumn("problem", problem).select(
+    splits = _carry(per_split, Window.orderBy(*_SPLIT).rowsBetween(*so_far)).select(
         *_SPLIT,
-        F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")))
-        .when(F.col("all_columns").isNotNull(), F.col("elements_before")).alias("split_elements"),
+        F.col("elements_before").alias("split_elements"),
         F.col("refs_before").alias("split_refs"),
         F.col("carried").alias("split_carried"),
     )
     return in_split.join(splits, list(_SPLIT), "left").select(
         *_SEGMENT,
-        F.when(F.col("all_columns").isNotNull(), F.col("elements_before") + F.col("split_elements"))
-        .alias("_elements_before"),
+        (F.col("elements_before") + F.col("split_elements")).alias("_elements_before"),
         (F.col("refs_before") + F.col("split_refs")).alias("_refs_before"),
+        # Without an earlier mark in the split, what is open comes from the splits before.
         F.coalesce(_shifted(F.col("carried"), F.col("split_refs")), F.col("split_carried"))
         .alias("_carried"),
     )
 
 
-def in_document_order(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
-    """Adds three columns to ``events`` or staged rows, or to a selection of them that holds
-    every opening and closing tag of top-level elements.
-
-    ``element``: index, from 0, of the latest top-level element begun so far;
-    ``parent``: name, id and seq of the top-level element the row is inside of, or NULLs;
-    ``position``: number of earlier ``nd`` children of the same parent, for ``nd`` rows.
-    """
+def _folded(rows: DataFrame, segment_bits: int) -> DataFrame:
+    """The rows with what precedes each in its segment, stored in the order of the fold."""
     ordered = Window.partitionBy(*_SEGMENT).orderBy("seq")
     in_segment = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     known = " AND ".join(f"{c} IS NOT NULL" for c in POSITION)
-    top = F.col("name").isin(*TOP_LEVEL)
-    begun = F.when(top & (F.col("event") != "close"), F.col("name"))
-    ended = F.when(top & (F.col("event") == "close"), F.col("name"))
-    unknown = F.col("_before").isNull()
     local = (
         rows.where(known).withColumn("segment", F.shiftright("seq", segment_bits))
-        # Both counts in one number: what the exchange carries must not depend on which of
-        # them a caller needs, or the summary could not share it.
-        .withColumn("_counts", F.sum(
-            F.when(_starts(*TOP_LEVEL), F.lit(1 << 32)).when(_starts("nd"), F.lit(1)).otherwise(0)
-        ).over(in_segment))
         .withColumns({
-            "_elements": F.shiftright("_counts", 32), "_refs": F.col("_counts").bitwiseAND(F.lit((1 << 32) - 1)),
+            "_elements": F.count_if(_starts(*TOP_LEVEL)).over(in_segment),
+            "_refs": F.count_if(_starts("nd")).over(in_segment),
         })
         .withColumn(
             "_own",
@@ -169,19 +118,27 @@ def in_document_order(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> Data
         )
         .withColumns({
             "_mark": F.last("_own", ignorenulls=True).over(in_segment),
-            "_before": F.last("_own", ignorenulls=True).over(before),
-        })
-        .withColumns({
-            "_begun": F.when(unknown, begun), "_ended": F.when(unknown, ended),
-            "_problem": F.when(~unknown, _misplaced(begun, ended, F.col("_before.name"))),
+            "_last": F.lead("seq").over(ordered).isNull(),
         })
-        .drop("_own", "_before", "_counts")
+        .drop("_own")
     )
+    return store(local, new_dir(rows.sparkSession, "folded"))
+
+
+def in_document_order(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """Adds three columns to ``events`` or staged rows, or to a selection of them that holds
+    every opening and closing tag of top-level elements.
 
+    ``element``: index, from 0, of the latest top-level element begun so far;
+    ``parent``: name, id and seq of the top-level element the row is inside of, or NULLs;
+    ``position``: number of earlier ``nd`` children of the same parent, for ``nd`` rows.
+    """
+    local = _folded(rows, segment_bits)
+    carried = store(_carried_in(local), new_dir(rows.sparkSession, "carried"))
     missing = F.col("_elements_before").isNull()
     refs_so_far = F.col("_refs_before") + F.col("_refs")
     return (
-        local.join(_carried_in(local), list(_SEGMENT), "left")
+        local.join(carried, list(_SEGMENT), "left")
         .withColumn(
             "parent",
             F.when(missing, F.raise_error(F.lit(_MOVED))).otherwise(
@@ -205,9 +162,7 @@ def in_document_order(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> Data
 def children(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """``tag``, ``nd`` and ``member`` rows with their parent.
 
-    Elements without children never enter the shuffle, nor do columns other than id.
-    An element without children inside another one takes none of its children, so it is left to
-    ``element_index`` and the sample to refuse it. Parents are told apart by ``parent.seq``, not by id: a history extract repeats ids.
+    Elements without children never enter the shuffle, nor do columns other than id. Parents are told apart by ``parent.seq``, not by id: a history extract repeats ids.
     """
     slim = rows.where(
         _starts(*CHILDREN) | _is("open", *TOP_LEVEL) | _is("close", *TOP_LEVEL)

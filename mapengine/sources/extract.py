@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mapengine.model import SAMPLE_STEP, TOP_LEVEL
 from mapengine.operators.order import SEGMENT_BITS, in_document_order
+from mapengine.workspace import new_dir, store
 
 _HEADER, _BODY, _FOOTER = 0, 1, 2
 
@@ -16,7 +17,7 @@ TAGS_PER_FILE = 1_000_000
 
 
 def sampled_markup(rows: DataFrame, k: int = SAMPLE_STEP, segment_bits: int = SEGMENT_BITS) -> DataFrame:
-    """Tags of the sampled elements: ``element``, ``seq`` and ``markup``.
+    """Tags of the sampled elements: ``element``, their position and ``markup``.
 
     ``rows`` are ``events``, or staged rows with ``keep_markup``.
     """
@@ -25,7 +26,7 @@ def sampled_markup(rows: DataFrame, k: int = SAMPLE_STEP, segment_bits: int = SE
     return (
         in_document_order(rows.select("file", "block", "seq", "event", "name", "id", "markup"), segment_bits)
         .where((F.col("element") % k == 0) & (own | inside))
-        .select("element", "seq", "markup")
+        .select("element", "file", "block", "seq", "markup")
     )
 
 
@@ -37,38 +38,30 @@ def write_sample(
     root: str = "map",
     segment_bits: int = SEGMENT_BITS,
 ) -> None:
-    """Writes the sample as ``files`` well-formed markup files below ``target``.
+    """Writes the sample below ``target`` as ``files`` parts of one markup file, in document order.
 
-    By default files hold about ``TAGS_PER_FILE`` tags, one k-th of all being in the sample.
-
-    An element is never cut: its tags share a file, in document order, with their original
-    text. Elements are dealt out in turn, so files have even numbers of elements. ``root`` is
-    the name of the enclosing element.
+    Each part holds a range of the sampled elements; the header is in the first part alone and the footer in the
+    last, so the parts joined in order of their names are the sample. An element is never cut: its tags share a
+    part, with their original text. By default parts hold about ``TAGS_PER_FILE`` tags, counted in the
+    sample itself, which is stored once before. ``root`` is the name of the enclosing element.
     """
     spark = rows.sparkSession
-    files = files or max(1, math.ceil(rows.count() / k / TAGS_PER_FILE))
-    body = sampled_markup(rows, k, segment_bits).select(
-        F.expr(f"cast((element div {k}) % {files} as int)").alias("part"),
-        F.lit(_BODY).alias("rank"), "element", "seq", "markup",
-    )
-    edges = spark.range(files).select(
-        F.col("id").cast("int").alias("part"),
-        F.inline(F.array(
-            F.struct(
-                F.lit(_HEADER).alias("rank"), F.lit(0).cast("long").alias("element"),
-                F.lit(0).cast("long").alias("seq"),
-                F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<{root}>').alias("markup"),
-            ),
-            F.struct(
-                F.lit(_FOOTER).alias("rank"), F.lit(0).cast("long").alias("element"),
-                F.lit(0).cast("long").alias("seq"), F.lit(f"</{root}>").alias("markup"),
-            ),
-        )),
+    body = store(sampled_markup(rows, k, segment_bits), new_dir(spark, "sampled"))
+    tags, last = body.agg(F.count("*"), F.coalesce(F.max("element"), F.lit(-1))).first()
+    files = files or max(1, math.ceil(tags / TAGS_PER_FILE))
+    sampled = last // k + 1
+    placed = body.select(
+        F.expr(f"cast((element div {k}) * {files} div {max(1, sampled)} as int)").alias("part"),
+        F.lit(_BODY).alias("rank"), "element", "file", "block", "seq", "markup",
     )
+    first, end = (0, _HEADER, f'<?xml version="1.0" encoding="UTF-8"?>\n<{root}>'), (files - 1, _FOOTER, f"</{root}>")
+    edges = spark.createDataFrame([first, end], "part INT, rank INT, markup STRING").select(
+        "part", "rank", F.lit(0).cast("long").alias("element"), F.lit(0).alias("file"), F.lit(0).cast("long").alias("block"),
+        F.lit(0).cast("long").alias("seq"), "markup")
     (
-        body.unionByName(edges)
+        placed.unionByName(edges)
         .repartitionById(files, F.col("part"))
-        .sortWithinPartitions("rank", "element", "seq")
+        .sortWithinPartitions("rank", "element", "file", "block", "seq")
         .select("markup")
         .write.mode("overwrite").text(target)
     )

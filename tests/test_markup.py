@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from mapengine.model import TOP_LEVEL
 from mapengine.operators import order, profile, shape
-from mapengine.sources import markup
+from mapengine.plans.wrangle import wrangle
+from mapengine.sources import markup, nesting
 from tests import fixtures as fx
 
 
@@ -107,7 +108,6 @@ def test_comments_and_declarations(spark, write):
 
 
 @pytest.mark.parametrize("text", [
-    '<map><!-- <node id="1"/> --></map>',
     '<map><node id=1/></map>',
     '<map><node id="1</map>',
     '<map><node id="a&b"/></map>',
@@ -257,33 +257,78 @@ def test_paths_go_in_the_order_given(spark, tmp_path):
     in_pieces(tmp_path, "b.xml", "a.xml")
     given = [str(tmp_path / n) for n in ("b.xml", "a.xml")]
     assert refs_of(spark, given) == [("1", i, i) for i in range(10)]
-    with pytest.raises(Exception, match="bad nesting"):
+    with pytest.raises(ValueError, match="bad nesting"):
         refs_of(spark, given[::-1])
     with pytest.raises(ValueError, match="twice"):
         refs_of(spark, [given[0], given[0]])
 
 
-EMPTY_INSIDE = '<node id="1"><way id="2"/><tag k="c" v="d"/></node>'
-
-
-@pytest.mark.parametrize("bits", [0, 12])
-@pytest.mark.parametrize("text", [
+BROKEN = [
     '<node id="1"><tag k="a" v="b"/></way><tag k="c" v="d"/></node>',
     '<node id="1"><way id="2"><nd ref="1"/></way><tag k="c" v="d"/></node>',
-    EMPTY_INSIDE,
+    '<node id="1"><way id="2"/><tag k="c" v="d"/></node>',
     '<node id="1"><tag k="a" v="b"/>',
     '<node id="1"/></way>',
     '<way id="2"><nd ref="1"/>',
     '<node id="1"/><tag k="a" v="b"/></node>',
-])
-def test_bad_nesting_stops_the_run(spark, write, text, bits):
-    rows = markup.events(spark, write(f"<map>{text}</map>"))
-    if text == EMPTY_INSIDE:
-        assert [(r.k, r.parent.id) for r in order.children(rows, bits).collect()] == [("c", "1")]
-    results = [order.children(rows, bits)] if text != EMPTY_INSIDE else []
-    for result in [*results, order.element_index(rows, bits)]:
-        with pytest.raises(Exception, match="bad nesting"):
-            result.collect()
+    '<node id="1"><tag k="a" v="b"></nd></node>',
+    '<node id="1"><tag k="a" v="b"></node>',
+    '<way id="1"><a><b></a></b></way>',
+    '<node id="1"/></map><map>' + "<a>" * 40 + "</a>" * 41,
+]
+
+
+@pytest.mark.parametrize("text", BROKEN)
+def test_bad_nesting_stops_the_scan(spark, write, text):
+    with pytest.raises(ValueError, match="bad nesting"):
+        markup.events(spark, write(f"<map>{text}</map>"))
+
+
+@pytest.mark.parametrize("text", [BROKEN[2], "</map>", BROKEN[7], BROKEN[8]])
+def test_bad_nesting_stops_the_whole_chain(spark, write, tmp_path, text):
+    whole = "<map>" if text == "</map>" else f"<map>{text}</map>"
+    with pytest.raises(ValueError, match="bad nesting"):
+        wrangle(spark, write(whole), str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 16])
+def test_nesting_does_not_depend_on_segments(spark, bits):
+    """Random tags cut at every place give what a stack gives."""
+    rng = random.Random(bits)
+    names = ["map", "node", "way", "tag", "x"]
+
+    def verdict(tags):
+        stack = []
+        for event, name in tags:
+            if event != "close" and name in TOP_LEVEL and any(n in TOP_LEVEL for n in stack):
+                return False
+            if event == "open":
+                stack.append(name)
+            elif event == "close" and (not stack or stack.pop() != name):
+                return False
+        return not stack
+
+    for i in range(25):
+        tags, stack = [], []
+        while len(tags) < 14 or stack:
+            if len(tags) < 14 and rng.random() < 0.55:
+                stack.append(rng.choice([n for n in names if n not in TOP_LEVEL or not set(stack) & set(TOP_LEVEL)]))
+                tags.append(("open", stack[-1]))
+            elif stack:
+                tags.append(("close", stack.pop()))
+            if rng.random() < 0.2 and not set(stack) & set(TOP_LEVEL):
+                tags.append(("empty", "node"))
+        if i % 2:
+            tags[rng.randrange(len(tags))] = (rng.choice(["open", "close", "empty"]), rng.choice(names))
+        rows = spark.createDataFrame(
+            [(k % 7 // 3, k // 7, k, e, n) for k, (e, n) in enumerate(tags)], "file INT, block LONG, seq LONG, event STRING, name STRING"
+        ).withColumns({"block": F.expr("seq div 3"), "file": F.expr("cast(seq div 6 as int)")})
+        try:
+            nesting.check(rows, bits)
+            fits = True
+        except ValueError:
+            fits = False
+        assert fits == verdict(tags), tags
 
 
 def test_bad_nesting_across_splits(spark, tmp_path):
@@ -293,8 +338,84 @@ def test_bad_nesting_across_splits(spark, tmp_path):
     rows = markup.events(spark, str(tmp_path))
     assert [r.v for r in order.children(rows).orderBy(*markup.POSITION).collect()] == ["b", "c"]
     (tmp_path / "3.xml").write_text("</way></map>")
-    with pytest.raises(Exception, match="bad nesting: </way> does not close <node>"):
-        order.children(rows).collect()
+    with pytest.raises(ValueError, match="bad nesting: </way> does not close <node>"):
+        markup.events(spark, str(tmp_path))
+
+
+COMMENTED = (
+    '<?xml version="1.0"?>\n<!-- <node id="0"><tag k="a&b" v=1> <-- --><map>',
+    fx.way(1, children=[fx.nd(5), "<!-- <nd ref='6'/> <!-- </way> <![CDATA[ -->", fx.nd(7), "<![CDATA[ <nd ref='8'/> --> ]]>", fx.nd(9)]),
+    '<!----><!--><node id="3"/>--><?sort <node id="4"/> -->?>' + fx.node(2, children=[fx.tag("a --&gt;", "b --> ?> ]]>")]),
+    '<!-- a > b --></map><!-- </map> -->',
+)
+PLAIN = (
+    "<map>", fx.way(1, children=[fx.nd(5), fx.nd(7), fx.nd(9)]), fx.node(2, children=[fx.tag("a --&gt;", "b --> ?> ]]>")]), "</map>",
+)
+
+
+def seen(rows):
+    kids = order.children(rows, 2).orderBy(*markup.POSITION).select("name", "parent.name", "parent.id", "k", "v", "ref", "position")
+    return collected(rows.orderBy(*markup.POSITION).select("event", "name", *markup.ATTRIBUTES)), collected(kids)
+
+
+def test_commented_markup_is_skipped(spark, write):
+    assert seen(markup.events(spark, write("\n".join(COMMENTED)))) == seen(markup.events(spark, write("\n".join(PLAIN), "plain.xml")))
+
+
+@pytest.mark.parametrize("every", [1, 2, 5])
+def test_comments_cut_by_files(spark, tmp_path, every):
+    """Files cut between any two rows of the scan, inside comments too."""
+    pieces = "\n".join(COMMENTED).replace("<", "\0<").split("\0")[1:]
+    for i in range(0, len(pieces), every):
+        (tmp_path / f"{i}.xml").write_text("".join(pieces[i : i + every]))
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.xml").write_text("\n".join(PLAIN))
+    cut = [str(tmp_path / f"{i}.xml") for i in range(0, len(pieces), every)]
+    assert seen(markup.events(spark, cut)) == seen(markup.events(spark, str(tmp_path / "plain")))
+
+
+@pytest.mark.parametrize("text", ["<map/><!-- <node/>", "<map><![CDATA[ <a> </map>", "<map/><?p <a/>"])
+def test_what_is_open_at_the_end_stops_the_scan(spark, write, text):
+    with pytest.raises(ValueError, match="open at the end"):
+        markup.events(spark, write(text))
+
+
+@pytest.mark.parametrize("declared, codec", [
+    ("ISO-8859-1", "latin-1"), ("latin1", "latin-1"), ("UTF-16", "utf-16"), ("UTF-16", "utf-16-le-bom"), ("utf-16", "utf-16-be-bom"),
+    ("UTF-16LE", "utf-16-le"), ("UTF-16BE", "utf-16-be"), ("US-ASCII", "ascii"), ("utf-8", "utf-8-sig"), (None, "utf-16"),
+])
+def test_declared_encodings_equal_their_utf_8_twin(spark, tmp_path, declared, codec):
+    body = "<map>" + fx.node(1, ("Jürgen" if codec != "ascii" else "Jurgen", 7), [fx.tag("straße" if codec != "ascii" else "s", "a\nb &amp; ÿ" if codec != "ascii" else "x")]) + fx.way(2, children=[fx.nd(1)] * 50) + "</map>"
+    text = (f'<?xml version="1.0" encoding="{declared}"?>' if declared else '<?xml version="1.0"?>') + body
+    bom = {"utf-16-le-bom": b"\xff\xfe", "utf-16-be-bom": b"\xfe\xff"}.get(codec, b"")
+    for name, data in (("a", bom + text.encode(codec.removesuffix("-bom"))), ("b", body.encode())):
+        (tmp_path / f"{name}.xml").write_bytes(data)
+    got, twin = (seen(markup.events(spark, str(tmp_path / f"{n}.xml"))) for n in "ab")
+    assert got == twin
+
+
+def test_files_of_several_encodings_are_one_extract(spark, tmp_path):
+    (tmp_path / "1.xml").write_bytes('<?xml version="1.0" encoding="ISO-8859-1"?><map>'.encode() + fx.node(1, ("é", 1)).encode("latin-1") + b"</map>")
+    (tmp_path / "2.xml").write_bytes(('<?xml version="1.0" encoding="UTF-16"?><map>' + fx.node(2, ("€", 1)) + "</map>").encode("utf-16"))
+    (tmp_path / "3.xml").write_text("<map>" + fx.node(3, ("ß", 1)) + "</map>", encoding="utf-8")
+    index = order.element_index(markup.events(spark, str(tmp_path)))
+    assert sorted((r.element, r.id) for r in index.collect()) == [(0, "1"), (1, "2"), (2, "3")]
+    rows = markup.elements(markup.events(spark, str(tmp_path))).where("kind = 'node'").orderBy(*markup.POSITION)
+    assert [r.user for r in rows.collect()] == ["é", "€", "ß"]
+
+
+@pytest.mark.parametrize("declared, data", [
+    ("UTF-8", "é".encode("latin-1")), (None, "é".encode("latin-1")), ("US-ASCII", "é".encode()), ("UTF-16", b"a"), ("EBCDIC", b"a"),
+])
+def test_bytes_that_contradict_the_declaration_stop_the_scan(spark, tmp_path, declared, data):
+    head = f'<?xml version="1.0" encoding="{declared}"?>' if declared else ""
+    (tmp_path / "a.xml").write_bytes(head.encode() + b'<map><node id="1" user="' + data + b'"/></map>')
+    with pytest.raises(Exception, match="bytes|declares|MALFORMED"):
+        markup.events(spark, str(tmp_path)).collect()
+    wide = ('<?xml version="1.0" encoding="UTF-8"?><map/>').encode("utf-16")
+    (tmp_path / "a.xml").write_bytes(wide)
+    with pytest.raises(ValueError, match="declares"):
+        markup.events(spark, str(tmp_path))
 
 
 @pytest.mark.parametrize("tag", ['tag k="a" v="\x01"', 'tag k="\x02" v="b"', 'nd ref="1\x1f"', 'node id="\x01"'])
