@@ -75,20 +75,32 @@ def way_node_positions(children: DataFrame) -> DataFrame:
     )
 
 
-def shape_with_elements(elements: DataFrame, children: DataFrame) -> dict[str, DataFrame]:
-    """``shape`` with ``element``, which is the same for an element and all its children."""
-    own = children.withColumn("element", F.col("parent.seq"))
-    tags = own.where((F.col("name") == "tag") & F.col("parent.name").isin(*SHAPED)).select(
-        "element", F.col("parent.name").alias("elem"), F.col("parent.id").alias("id"), "k", "v")
-    value = clean.clean_tag_value(F.col("k"), F.col("v"))
-    refs = own.where((F.col("name") == "nd") & (F.col("parent.name") == "way"))
-    return {
-        "nodes": shape_nodes(elements.withColumn("element", F.col("seq")), ("element", *NODE_FIELDS)),
-        "nodes_tags": _shape_tags(tags, "node", value, PROBLEM_CHARS, REGULAR, "element"),
-        "ways": shape_ways(elements.withColumn("element", F.col("seq")), ("element", *WAY_FIELDS)),
-        "ways_nodes": refs.select("element", F.col("parent.id").alias("id"), F.col("ref").alias("node_id"), "position"),
-        "ways_tags": _shape_tags(tags, "way", F.col("v"), PROBLEM_CHARS, REGULAR, "element"),
-    }
+def routed(elements: DataFrame, children: DataFrame) -> DataFrame:
+    """Rows of all five tables as one DataFrame, elements and children read once each.
+
+    ``table_name``, ``element`` (the same for an element and all its children), the fields of all tables, NULL where
+    a table lacks one, and the position of the row.
+    """
+    key, is_tag = F.col("k"), F.col("name") == "tag"
+    owner, none = F.col("parent.name"), F.lit(None).cast("string")
+    tops = elements.where(F.col("kind").isin(*SHAPED))
+    own = children.where(
+        (is_tag & owner.isin(*SHAPED) & ~clean.has_problem_chars(key, PROBLEM_CHARS)) | ((F.col("name") == "nd") & (owner == "way")))
+    where = ("file", "block", "seq")
+    top_fields = [
+        F.when((F.col("kind") == "node") | F.lit(f in WAY_FIELDS), F.col(f)).alias(f) for f in NODE_FIELDS
+    ]
+    return tops.select(
+        F.when(F.col("kind") == "node", "nodes").otherwise("ways").alias("table_name"), F.col("seq").alias("element"), *top_fields,
+        *[none.alias(f) for f in ("key", "value", "type", "node_id", "position")], *where,
+    ).unionByName(own.select(
+        F.when(is_tag, F.when(owner == "node", "nodes_tags").otherwise("ways_tags")).otherwise("ways_nodes").alias("table_name"),
+        F.col("parent.seq").alias("element"), F.col("parent.id").alias("id"), *[none.alias(f) for f in NODE_FIELDS[1:]],
+        F.when(is_tag, clean.split_key_name(key)).alias("key"),
+        F.when(is_tag, F.when(owner == "node", clean.clean_tag_value(key, F.col("v"))).otherwise(F.col("v"))).alias("value"),
+        F.when(is_tag, clean.split_key_type(key, REGULAR)).alias("type"),
+        F.when(~is_tag, F.col("ref")).alias("node_id"), F.when(~is_tag, F.col("position").cast("string")).alias("position"), *where,
+    ))
 
 
 def shape(elements: DataFrame, children: DataFrame) -> dict[str, DataFrame]:

@@ -91,49 +91,110 @@ def error_counts(rows: DataFrame, table: str) -> DataFrame:
 # Error of a good row whose element has a bad row elsewhere.
 ELEMENT_REJECTED = "element:rejected"
 
+# Fields of all tables; one name has one kind wherever it occurs.
+FIELDS = {f: k for kinds in TABLE_KINDS.values() for f, k in kinds.items()}
+_PARSED = {f: f"typed_{f}" for f, k in FIELDS.items() if k != "string"}
+_PLACE = ("file", "block", "seq")
+
 
 @dataclass(frozen=True)
 class Checked:
     """Rows by table. ``kept`` and ``rejected`` have ``element`` and fields as text, ``typed`` the
-    typed layer of the kept rows, ``rejected`` also ``errors``."""
+    typed layer of the kept rows, ``rejected`` also ``errors``. ``report`` has a row per wrong field."""
 
     kept: dict[str, DataFrame]
     typed: dict[str, DataFrame]
     rejected: dict[str, DataFrame]
+    report: DataFrame
 
 
-def checked(rows: DataFrame, table: str) -> DataFrame:
-    """``element``, the fields as text, ``typed`` and ``errors``; each value is parsed once."""
-    fields = TABLE_KINDS[table]
-    parsed = rows.select(
-        "element", *fields, F.struct(*[_typed(f, k).alias(f) for f, k in fields.items()]).alias("typed"))
-    errors = [
-        F.when(F.col(f).isNull(), F.lit(f"required:{f}"))
-        .when(F.col(f"typed.{f}").isNull(), F.lit(f"type:{f}"))
-        for f in fields
+def routed(raw: dict[str, DataFrame]) -> DataFrame:
+    """Tables with ``element`` as one DataFrame: ``table_name``, ``element``, all fields, and where rows stood."""
+    text = [
+        rows.select(
+            F.lit(t).alias("table_name"), "element", *[F.col(f).cast("string").alias(f) for f in TABLE_KINDS[t]],
+            *[c for c in _PLACE if c in rows.columns])
+        for t, rows in raw.items()
     ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), text)
+    for name, kind in (*((f, "string") for f in FIELDS), ("file", "int"), ("block", "long"), ("seq", "long")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    return rows
+
+
+def _checks(rows: DataFrame) -> DataFrame:
+    """Adds the typed fields, each parsed once, and ``errors`` by the rules of the row's own table."""
+    parsed = rows.withColumns({name: _typed(f, FIELDS[f]) for f, name in _PARSED.items()})
+    errors = []
+    for field in FIELDS:
+        held = F.col("table_name").isin(*[t for t, kinds in TABLE_KINDS.items() if field in kinds])
+        error = F.when(held & F.col(field).isNull(), F.lit(f"required:{field}"))
+        if field in _PARSED:
+            error = error.when(held & F.col(_PARSED[field]).isNull(), F.lit(f"type:{field}"))
+        errors.append(error)
     return parsed.withColumn("errors", F.array_compact(F.array(*errors)))
 
 
-def check_elements(raw: dict[str, DataFrame], target: str, mode: str = "quarantine") -> Checked:
+def _reported(wrong: DataFrame) -> DataFrame:
+    """A row per wrong field: where it is in its element, and what is wrong. Paths name a tag by its key, a ref by
+    its position."""
+    inner = F.coalesce(F.when(F.col("table_name") == "ways_nodes", F.col("position")), F.col("key"))
+    path = F.concat(
+        "table_name", F.when(F.col("table_name").isin("nodes", "ways"), "").otherwise(F.concat(F.lit("["), F.coalesce(inner, F.lit("")), F.lit("]"))),
+        F.lit("."), F.substring_index("error", ":", -1))
+    fields = wrong.select("element", "id", "table_name", "key", "position", *_PLACE, F.explode("errors").alias("error"))
+    return fields.select("element", "id", "table_name", *_PLACE, path.alias("path"), F.substring_index("error", ":", 1).alias("error"))
+
+
+def _stop_at_first(report: DataFrame) -> None:
+    """Raises with all that is wrong with the first bad element in document order."""
+    first = report.orderBy(*[F.col(c).asc_nulls_last() for c in _PLACE], "element", "path").first()
+    if first is None:
+        return
+    own = report.where(F.col("element") == first["element"]).orderBy(*_PLACE, "path").collect()
+    ids = [r["id"] for r in own if r["id"] is not None]
+    found = ", ".join(f"{r['path']}: {r['error']}" for r in own)
+    raise ValueError(f"bad row in {first['table_name']}: element {ids[0] if ids else None} has {found}")
+
+
+def check_elements(raw: dict[str, DataFrame] | DataFrame, target: str, mode: str = "quarantine") -> Checked:
     """Checks elements as a whole: one bad row of an element or of its children rejects them all.
 
-    ``raw`` are tables with ``element``. They are parsed once and stored below ``target``. Only
-    the elements that have a bad row are then looked up, by a join whose side Spark
-    broadcasts while it is small. ``failfast`` stops at the first bad row; ``off`` rejects nothing.
+    ``raw`` are tables with ``element``, or all their rows as one DataFrame (``routed``). One pass finds the wrong
+    rows, which are stored as the report; a second writes all rows once, parsed and marked, in a
+    folder per table and verdict below ``target``. The bad elements are joined to them by a side that Spark broadcasts
+    while it is small. ``failfast`` stops with all that is wrong with the first bad element in document
+    order; ``off`` rejects nothing.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
-    if mode == "failfast":
-        raw = {t: passing(rows, t, mode) for t, rows in raw.items()}
-    all_ = {t: store(checked(rows, t), f"{target}/{t}") for t, rows in raw.items()}
-    wrong = [rows.where(F.size("errors") > 0 if mode == "quarantine" else F.lit(False)).select("element") for rows in all_.values()]
-    bad = store(reduce(DataFrame.unionByName, wrong).distinct(), f"{target}/rejected")
-    own = F.when(F.size("errors") > 0, F.col("errors")).otherwise(F.array(F.lit(ELEMENT_REJECTED)))
-    kept = {t: rows.join(bad, "element", "left_anti") for t, rows in all_.items()}
-    return Checked(
-        {t: rows.select("element", *TABLE_KINDS[t]) for t, rows in kept.items()},
-        {t: rows.select("typed.*") for t, rows in kept.items()},
-        {t: rows.join(bad, "element", "left_semi").select("element", *TABLE_KINDS[t], own.alias("errors"))
-         for t, rows in all_.items()},
+    rows = _checks(routed(raw) if isinstance(raw, dict) else raw)
+    if mode == "off":
+        marked = rows.withColumn("rejected", F.lit(False))
+        report = _reported(rows.where(F.lit(False)))
+    else:
+        report = store(_reported(rows.where(F.size("errors") > 0)), f"{target}/report")
+        if mode == "failfast":
+            _stop_at_first(report)
+        bad = store(report.select("element").distinct(), f"{target}/bad")
+        marked = rows.join(bad.withColumn("rejected", F.lit(True)), "element", "left").withColumn(
+            "rejected", F.coalesce("rejected", F.lit(False)))
+    columns = ["element", *FIELDS, *_PARSED.values(), "errors"]
+    written = f"{target}/rows"
+    (
+        marked.select(*columns, "table_name", "rejected")
+        .sortWithinPartitions("table_name", "rejected", "key", "value", "id")
+        .write.mode("overwrite").partitionBy("table_name", "rejected").parquet(written)
     )
+    schema = marked.select(*columns, "table_name", "rejected").schema
+    stored = rows.sparkSession.read.schema(schema).parquet(written)
+    own = F.when(F.size("errors") > 0, F.col("errors")).otherwise(F.array(F.lit(ELEMENT_REJECTED)))
+    kept, typed_, rejected = {}, {}, {}
+    for t, kinds in TABLE_KINDS.items():
+        mine = stored.where(F.col("table_name") == t)
+        good = mine.where(~F.col("rejected"))
+        kept[t] = good.select("element", *kinds)
+        typed_[t] = good.select(*[F.col(_PARSED.get(f, f)).alias(f) for f in kinds])
+        rejected[t] = mine.where(F.col("rejected")).select("element", *kinds, own.alias("errors"))
+    return Checked(kept, typed_, rejected, report)

@@ -19,7 +19,8 @@ class Wrangled:
 
     ``tags`` are raw tags of points and paths, ``text`` the rows that passed validation with
     values as in the markup, ``tables`` the same rows typed, ``rejects`` the others. An element
-    is rejected as a whole, with all its children.
+    is rejected as a whole, with all its children. ``report`` has a row per wrong field. All five tables are
+    read from one store, written in one pass.
     """
 
     staged: DataFrame
@@ -27,6 +28,7 @@ class Wrangled:
     text: dict[str, DataFrame]
     tables: dict[str, DataFrame]
     rejects: dict[str, DataFrame]
+    report: DataFrame
 
     def profiles(self) -> dict[str, DataFrame]:
         elements = markup.elements(self.staged)
@@ -63,10 +65,9 @@ def wrangle(
     target = target or workspace.new_dir(spark, "wrangle")
     staged = markup.stage_events(spark, path, f"{target}/staged")
     children = order.store_children(staged, f"{target}/children", segment_bits)
-    raw = shape.shape_with_elements(markup.elements(staged), children)
-    found = validate.check_elements(raw, f"{target}/checked", mode)
-    stored = tables.store_tables(found.typed, f"{target}/tables")
+    rows = shape.routed(markup.elements(staged), children)
+    found = validate.check_elements(rows, f"{target}/checked", mode)
     return Wrangled(
-        staged, shape.raw_tags(children), {t: rows.drop("element") for t, rows in found.kept.items()}, stored,
-        {t: rows.drop("element") for t, rows in found.rejected.items()},
+        staged, shape.raw_tags(children), {t: rows.drop("element") for t, rows in found.kept.items()}, found.typed,
+        {t: rows.drop("element") for t, rows in found.rejected.items()}, found.report,
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mapengine.model import TABLE_KINDS, TABLES, raw_schema, typed_schema
-from mapengine.workspace import store
+from mapengine.workspace import exists, remove, store
 
 # Stands for NULL in a CSV file. XML text cannot hold this character, and the scan stops on it,
 # so no value read from markup can be mistaken for it; an empty string stays an empty string.
@@ -62,33 +63,73 @@ def read_all_csv(spark: SparkSession, source: str, typed: bool = False) -> dict[
     return {name: read_csv(spark, source, name, typed) for name in TABLES}
 
 
+# --- tables of the catalog ----------------------------------------------------------
+#
+# A table is a view of a folder with all its versions. Which version counts is said by a log that
+# all tables below one location share, and one appended file of that log is the only step that makes a load
+# visible, for all its tables at once. What an interrupted load has written has no line in the log; the
+# next load takes the same number and writes over it.
+
+_LOG = "_loads"
+_ROOT = "load_root"
+
+
 def _store(rows: DataFrame, name: str, path: str) -> DataFrame:
     return store(rows.select(*TABLE_KINDS[name]), path, *_LAYOUT[name])
 
 
+def _version(spark: SparkSession, location: str) -> int:
+    """The number of the last load, 0 before the first. Starts the log."""
+    if not exists(spark, f"{location}/{_LOG}"):
+        _commit(spark, location, 0, [""])
+    return spark.read.parquet(f"{location}/{_LOG}").agg(F.max("version")).first()[0]
+
+
+def _commit(spark: SparkSession, location: str, version: int, names: Sequence[str]) -> None:
+    """Makes a version of the named tables the one that counts: one task, one file, renamed into the log."""
+    lines = spark.createDataFrame([(version, n) for n in names], "version INT, table_name STRING")
+    lines.coalesce(1).write.mode("append").parquet(f"{location}/{_LOG}")
+
+
+def _show(spark: SparkSession, name: str, full: str, location: str) -> None:
+    """Creates the view of a table, unless it is there. A table of that name that is no such view is dropped."""
+    if spark.catalog.tableExists(full):
+        if spark.catalog.getTable(full).tableType != "VIEW":
+            spark.sql(f"DROP TABLE {full}")
+        elif any(r[0] == _ROOT and r[1] == location for r in spark.sql(f"SHOW TBLPROPERTIES {full}").collect()):
+            return
+    fields = ", ".join(f"`{f}`" for f in TABLE_KINDS[name])
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {full} TBLPROPERTIES ('{_ROOT}' = '{location}') AS SELECT {fields} FROM parquet.`{location}/{name}` "
+        f"WHERE version = (SELECT max(version) FROM parquet.`{location}/{_LOG}` WHERE table_name = '{name}')")
+
+
 def load_tables(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
     location: str,
     database: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Replaces the named catalog tables by ``tables``, stored as Parquet below ``location``.
+    """Replaces the named tables of the catalog by ``tables``, stored as Parquet below ``location``, in one step.
 
-    All are written before any is replaced, so a load that fails leaves every old table as it
-    was; what it has written is not in the catalog. Take a new location for a new load: the
-    rows may then come from the tables they replace.
+    All are written as a new version; then one line of a log makes it the version that counts. A load that
+    fails anywhere leaves all old tables or all new ones. Rows may come from the tables they replace. Loads
+    into one location go one at a time. Only a load into another location than the last, or over tables that
+    are no views of a location, creates its views one by one, before its step. Versions stay until ``forget``.
     """
+    version = _version(spark, location) + 1
     for name, rows in tables.items():
-        _store(rows, name, f"{location}/{name}")
-    loaded = {}
+        _store(rows, name, f"{location}/{name}/version={version}")
+    full = {name: name if database is None else f"{database}.{name}" for name in tables}
     for name in tables:
-        full = name if database is None else f"{database}.{name}"
-        spark.sql(f"DROP TABLE IF EXISTS {full}")
-        spark.catalog.createTable(full, f"{location}/{name}", "parquet")
-        loaded[name] = spark.table(full)
-    return loaded
+        _show(spark, name, full[name], location)
+    _commit(spark, location, version, list(tables))
+    return {name: spark.table(full[name]) for name in tables}
 
 
-def store_tables(tables: Mapping[str, DataFrame], location: str) -> dict[str, DataFrame]:
-    """``load_tables`` without a catalog: Parquet directories below ``location``."""
-    return {name: _store(rows, name, f"{location}/{name}") for name, rows in tables.items()}
+def forget(spark: SparkSession, location: str) -> None:
+    """Deletes all versions below ``location`` that no longer count."""
+    log = spark.read.parquet(f"{location}/{_LOG}").where("version > 0")
+    last = log.groupBy("table_name").agg(F.max("version").alias("last"))
+    old = log.join(last, "table_name").where("version < last").distinct().collect()
+    remove(spark, *[f"{location}/{r['table_name']}/version={r['version']}" for r in old])

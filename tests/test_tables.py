@@ -41,38 +41,81 @@ def test_csv_files_have_a_checked_header_in_field_order(spark, tmp_path):
 def test_load_replaces(spark, tmp_path):
     first = {"ways_nodes": spark.createDataFrame([(1, 2, 0), (1, 3, 1)], typed_schema("ways_nodes"))}
     second = {"ways_nodes": spark.createDataFrame([(7, 8, 0)], typed_schema("ways_nodes"))}
-    tables.load_tables(spark, first, str(tmp_path / "a"))
-    loaded = tables.load_tables(spark, second, str(tmp_path / "b"))
+    tables.load_tables(spark, first, str(tmp_path))
+    loaded = tables.load_tables(spark, second, str(tmp_path))
     assert rows_of(spark.table("ways_nodes")) == rows_of(loaded["ways_nodes"]) == [(7, 8, 0)]
-    spark.sql("DROP TABLE ways_nodes")
+    assert "version#" in final_plan(loaded["ways_nodes"]).split("PartitionFilters")[1].split("]")[0]
+    tables.forget(spark, str(tmp_path))
+    assert rows_of(spark.table("ways_nodes")) == [(7, 8, 0)]
+    assert [p.name for p in (tmp_path / "ways_nodes").iterdir()] == ["version=2"]
+    spark.sql("DROP VIEW ways_nodes")
+
+
+def test_load_over_plain_tables(spark, tmp_path):
+    spark.createDataFrame([(5, 5, 5)], typed_schema("ways_nodes")).write.saveAsTable("ways_nodes")
+    rows = {"ways_nodes": spark.createDataFrame([(7, 8, 0)], typed_schema("ways_nodes"))}
+    assert rows_of(tables.load_tables(spark, rows, str(tmp_path))["ways_nodes"]) == [(7, 8, 0)]
+    moved = tables.load_tables(spark, rows, str(tmp_path / "moved"))["ways_nodes"]
+    assert rows_of(moved) == [(7, 8, 0)]
+    spark.sql("DROP VIEW ways_nodes")
 
 
 def test_a_load_that_fails_leaves_all_old_tables(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS half_loaded")
     old = {t: spark.createDataFrame([tuple([1] * len(TABLE_KINDS[t]))], raw_int_schema(t)) for t in TABLE_KINDS}
-    tables.load_tables(spark, old, str(tmp_path / "a"), "half_loaded")
+    tables.load_tables(spark, old, str(tmp_path), "half_loaded")
     new = {t: df.limit(0) for t, df in old.items()}
     new["ways_tags"] = old["ways_tags"].withColumn("value", F.raise_error(F.lit("no fifth table")).cast("int"))
     with pytest.raises(Exception, match="no fifth table"):
-        tables.load_tables(spark, new, str(tmp_path / "b"), "half_loaded")
+        tables.load_tables(spark, new, str(tmp_path), "half_loaded")
     assert [spark.table(f"half_loaded.{t}").count() for t in TABLE_KINDS] == [1] * 5
     spark.sql("DROP DATABASE half_loaded CASCADE")
 
 
+@pytest.mark.parametrize("step, call", [("_store", 0), ("_store", 4), ("_show", 0), ("_show", 3), ("_commit", 0)])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_load_stopped_between_any_two_steps(spark, tmp_path, monkeypatch, step, call, after):
+    """All five tables are old or all are new, and the next load succeeds."""
+    database = f"stopped_{step}_{call}_{after}".lower()
+    spark.sql(f"CREATE DATABASE {database}")
+    of = lambda n: {t: spark.createDataFrame([tuple([n] * len(TABLE_KINDS[t]))], raw_int_schema(t)) for t in TABLE_KINDS}
+    seen = lambda: [spark.table(f"{database}.{t}").first()[0] for t in TABLE_KINDS]
+    tables.load_tables(spark, of(1), str(tmp_path), database)
+    real, calls = getattr(tables, step), []
+
+    def stopped(*args):
+        calls.append(1)
+        if len(calls) == call + 1 and not after:
+            raise RuntimeError("stopped")
+        real(*args)
+        if len(calls) == call + 1:
+            raise RuntimeError("stopped")
+
+    monkeypatch.setattr(tables, step, stopped)
+    with pytest.raises(RuntimeError, match="stopped"):
+        tables.load_tables(spark, of(2), str(tmp_path), database)
+    assert seen() == ([2] * 5 if step == "_commit" and after else [1] * 5)
+    monkeypatch.setattr(tables, step, real)
+    tables.load_tables(spark, of(3), str(tmp_path), database)
+    assert seen() == [3] * 5
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
 def raw_int_schema(table):
     return ", ".join(f"`{f}` INT" for f in TABLE_KINDS[table])
 
 
 def test_load_from_the_replaced_table(spark, tmp_path):
     rows = {"ways_nodes": spark.createDataFrame([(1, 2, 0), (1, 3, 1)], typed_schema("ways_nodes"))}
-    old = tables.load_tables(spark, rows, str(tmp_path / "a"))["ways_nodes"]
-    tables.load_tables(spark, {"ways_nodes": old.where("position = 1")}, str(tmp_path / "b"))
+    old = tables.load_tables(spark, rows, str(tmp_path))["ways_nodes"]
+    tables.load_tables(spark, {"ways_nodes": old.where("position = 1")}, str(tmp_path))
     assert rows_of(spark.table("ways_nodes")) == [(1, 3, 1)]
-    spark.sql("DROP TABLE ways_nodes")
+    spark.sql("DROP VIEW ways_nodes")
 
 
 @pytest.mark.parametrize("files", [1, 3, 50])
 def test_sampled_extract(spark, tmp_path, files):
+    """Parts joined in order of their names are one document in document order."""
     source = tmp_path / "map.xml"
     source.write_text(fx.document(*[
         [fx.node, fx.way, fx.relation][i % 3](i, children=[fx.tag("k", f"a &amp; > {i}"), fx.nd(i)] if i % 2 else [])
@@ -81,20 +124,24 @@ def test_sampled_extract(spark, tmp_path, files):
     rows = markup.events(spark, str(source))
     extract.write_sample(rows, str(tmp_path / "out"), files, k=10, segment_bits=3)
     parts = sorted((tmp_path / "out").glob("part-*"))
-    assert len(parts) == files
     from xml.etree import ElementTree
-    roots = [ElementTree.parse(p).getroot() for p in parts]
-    assert {r.tag for r in roots} == {"map"}
-    ids = [e.get("id") for r in roots for e in r]
-    assert sorted(ids, key=int) == [str(i) for i in range(0, 95, 10)]
-    if files == 1:
-        assert ids == [str(i) for i in range(0, 95, 10)]
+    root = ElementTree.fromstring("".join(p.read_text() for p in parts))
+    assert root.tag == "map" and len(parts) <= files
+    assert sum("<?xml" in p.read_text() for p in parts) == sum("</map>" in p.read_text() for p in parts) == 1
+    assert [e.get("id") for e in root] == [str(i) for i in range(0, 95, 10)]
+    for e in root:
+        assert len(e) == (2 if int(e.get("id")) % 2 else 0)
+        assert all(t.get("v") == f"a & > {e.get('id')}" for t in e.iter("tag"))
+    back = markup.events(spark, str(tmp_path / "out"))
+    index = order.element_index(back).orderBy("element")
+    assert [(r.element, r.id) for r in index.collect()] == [(n, str(i)) for n, i in enumerate(range(0, 95, 10))]
+
+
+def test_sample_of_nothing(spark, tmp_path):
+    (tmp_path / "map.xml").write_text(fx.document())
+    extract.write_sample(markup.events(spark, str(tmp_path / "map.xml")), str(tmp_path / "out"), files=2)
     back = markup.events(spark, str(tmp_path / "out"))
-    assert order.element_index(back).count() == 10
-    for r in roots:
-        for e in r:
-            assert len(e) == (2 if int(e.get("id")) % 2 else 0)
-            assert all(t.get("v") == f"a & > {e.get('id')}" for t in e.iter("tag"))
+    assert [r.name for r in markup.elements(back).collect()] == ["map"]
 
 
 def test_sample_of_everything_keeps_all_children(spark, tmp_path):
@@ -188,10 +235,39 @@ def test_elements_are_rejected_as_a_whole(spark, tmp_path):
 
 
 def test_wrangle_failfast(spark, city, tmp_path):
-    with pytest.raises(Exception, match="bad row in nodes"):
+    with pytest.raises(ValueError, match="bad row in nodes: element x6 has nodes.id: type$"):
         wrangle(spark, city, str(tmp_path / "run"), mode="failfast")
 
 
+def test_failfast_reports_all_of_the_first_bad_element(spark, tmp_path):
+    source = tmp_path / "map.xml"
+    nameless = fx.way(4, children=[fx.nd("a"), fx.nd(2), fx.nd("b"), '<tag k="name"/>']).replace(' user="ann"', "")
+    source.write_text(fx.document(fx.node(1), nameless, fx.node("x2"), fx.way(9, children=[fx.nd("z")])))
+    with pytest.raises(ValueError) as found:
+        wrangle(spark, str(source), str(tmp_path / "run"), mode="failfast")
+    assert str(found.value) == (
+        "bad row in ways: element 4 has ways.user: required, ways_nodes[0].node_id: type, ways_nodes[2].node_id: type, "
+        "ways_tags[name].value: required")
+    run = wrangle(spark, str(source), str(tmp_path / "all"))
+    assert sorted((r["id"], r["path"], r["error"]) for r in run.report.collect()) == [
+        ("4", "ways.user", "required"), ("4", "ways_nodes[0].node_id", "type"), ("4", "ways_nodes[2].node_id", "type"),
+        ("4", "ways_tags[name].value", "required"), ("9", "ways_nodes[0].node_id", "type"), ("x2", "nodes.id", "type"),
+    ]
+
+
+def test_five_tables_in_one_pass(spark, city, tmp_path):
+    """Children are scanned once for three tables, elements once for two."""
+    staged = markup.stage_events(spark, city, str(tmp_path / "staged"))
+    children = order.store_children(staged, str(tmp_path / "children"))
+    rows = shape.routed(markup.elements(staged), children)
+    plan = final_plan(rows)
+    assert plan.count("FileScan") == 2 and "Exchange" not in plan
+    apart = shape.shape(markup.elements(staged), children)
+    for name, own in apart.items():
+        mine = rows.where(F.col("table_name") == name).select(*[F.col(c).cast("string") for c in TABLE_KINDS[name]])
+        assert rows_of(mine) == rows_of(own.select(*[F.col(c).cast("string") for c in TABLE_KINDS[name]]))
+
+
 def test_shaping_honours_its_arguments(spark):
     tags = spark.createDataFrame([("node", "1", "a.b", "x"), ("node", "1", "c!", "x")], "elem STRING, id STRING, k STRING, v STRING")
     found = shape.shape_node_tags(tags, problem_chars="!", default_type="plain")
@@ -205,13 +281,14 @@ def test_plans(spark, city, tmp_path):
     nodes = final_plan(shape.shape_nodes(markup.elements(staged)))
     assert "EqualTo(kind,node)" in nodes
     assert "Exchange" not in nodes and "k:string" not in nodes.split("ReadSchema")[1]
-    # Only the summary with one row per split is sorted as a whole.
-    assert final_plan(order.children(staged)).count("SinglePartition") == 1
+    # Stored rows and one row for each segment before them: nothing is folded or shuffled again.
+    children = final_plan(order.children(staged))
+    assert "Window" not in children and "Exchange hashpartitioning" not in children
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
-def test_order_scans_and_shuffles_once(spark, city, tmp_path, broadcast):
-    """In the whole final plan; the result is the same beyond the broadcast size."""
+def test_order_folds_once(spark, city, tmp_path, broadcast):
+    """The rows are folded into storage; results join what came before each segment, broadcast or not."""
     staged = markup.stage_events(spark, city, str(tmp_path / "staged"), keep_markup=True)
     want = rows_of(order.children(staged, 2))
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
@@ -225,11 +302,23 @@ def test_order_scans_and_shuffles_once(spark, city, tmp_path, broadcast):
         for n in names if not broadcast else ():
             spark.conf.unset(n)
     for text in plans:
-        assert "Python" not in text and ("Broadcast" in text) == broadcast
+        assert "Python" not in text and "Window" not in text and "xxhash64" not in text
+        assert ("BroadcastHashJoin" in text) == broadcast
         scans = [line for line in text.splitlines() if "FileScan" in line]
-        assert len(scans) == 1 and "file:int" in scans[0]
-        by_segment = [x for x in text.splitlines() if "Exchange hashpartitioning(segment" in x and "Reused" not in x]
-        wide = [x for x in by_segment if "in_split" not in x]
-        assert text.count("ReusedExchange") >= 1
-        # With a sort-merge join the summary, a row per segment, is shuffled once as well.
-        assert len(wide) == (1 if broadcast else 2)
+        assert len(scans) == 2 and sum("_elements_before" in line for line in scans) == 1
+        # With a sort-merge join the rows and the sums of their segments are shuffled once.
+        assert sum("Exchange hashpartitioning(segment" in x for x in text.splitlines()) == (0 if broadcast else 2)
+
+
+def test_fold_shuffles_the_rows_once(spark, city, tmp_path):
+    staged = markup.stage_events(spark, city, str(tmp_path / "staged"))
+    rows = staged.select("file", "block", "seq", "event", "name", "id")
+    seen = []
+    real = order.store
+    try:
+        order.store = lambda df, target, *layout: (seen.append(df), real(df, target, *layout))[1]
+        order.in_document_order(rows)
+    finally:
+        order.store = real
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(segment") == 1 and plan.count("FileScan") == 1
