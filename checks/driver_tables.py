@@ -15,6 +15,9 @@ from mapengine import workspace
 from mapengine.operators import order, shape
 from mapengine.sources import markup
 
+# Digits in front with or without a plus, an area code in brackets, digits joined by a hyphen.
+PHONES = r"(?:\+?[0-9]+ )?\([0-9]{3}\) [0-9]+-[0-9]+"
+
 STAMP = "2024-01-01T00:00:00Z"
 
 
@@ -133,7 +136,7 @@ def raw_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_type")
     doubled = F.concat_ws(":", "event_type", "event_type")
     return (
-        raw_tags(spark, sf_dir).select("k")
+        tags_by_key(spark, sf_dir).select("k")
         .unionByName(events.select(F.col("event_type").alias("k")))
         .unionByName(events.select(doubled.alias("k")))
         .unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("k")))
@@ -188,8 +191,8 @@ def dirty_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def document_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole phone numbers in running text, country code included."""
-    found = F.regexp_extract_all("text", F.lit(r"(?:\+?[0-9]{1,3} )?\([0-9]{3}\) [0-9]{3}-[0-9]{4}"), F.lit(0))
+    """Whole phone numbers in running text: every digit right before and after is a part of the number."""
+    found = F.regexp_extract_all("text", F.lit(PHONES), F.lit(0))
     return table(spark, sf_dir, "documents").select(F.explode(found).alias("phone"))
 
 
@@ -271,14 +274,37 @@ def markup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+_ORDER = ("section", "key", "rank", "sort0", "sort1", "sort2", "sort3")
+
+
+def _write_lines(lines: DataFrame, target: str) -> None:
+    """Lines as consecutive text files: ranges of lines, so no element is one task's load."""
+    lines.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select("line").write.mode("overwrite").text(target)
+
+
 def write_markup(spark: SparkSession, sf_dir: str, target: str) -> None:
-    """The extract as consecutive text files: ranges of lines, so no element is one task's load."""
-    sort = ("section", "key", "rank", "sort0", "sort1", "sort2", "sort3")
-    (
-        markup_lines(spark, sf_dir)
-        .repartitionByRange(*sort).sortWithinPartitions(*sort)
-        .select("line").write.mode("overwrite").text(target)
-    )
+    """The extract as consecutive text files."""
+    _write_lines(markup_lines(spark, sf_dir), target)
+
+
+def write_commented(spark: SparkSession, sf_dir: str, target: str) -> list[str]:
+    """The extract in two folders, with points and paths in comments and CDATA; a comment begins in the first
+    folder and ends in the second."""
+    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    some, edge = part.where("p_partkey % 11 = 0"), spark.range(1)
+    lines = reduce(DataFrame.unionByName, [
+        markup_lines(spark, sf_dir),
+        _lines(some, 1, "p_partkey", -3, F.concat(F.lit("<!-- <node id='"), F.col("p_partkey"), F.lit("'> a & b"))),
+        _lines(some, 1, "p_partkey", -2, F.lit('<tag k="a" v="b"/><tag k=c v=d> </way>')),
+        _lines(some, 1, "p_partkey", -1, F.lit("</node> -->")),
+        _lines(orders.where("o_orderkey % 13 = 0"), 2, "o_orderkey", 50, F.lit('<![CDATA[ <nd ref="1"/> --> </way> ]]><!-- <tag k="x" v="y"/> -->')),
+        _lines(edge, 1, "id", 10_000, F.lit("")).withColumn("key", F.lit(1 << 60)).withColumn("line", F.lit('<!-- <way id="1"> <nd ref="2"/>')),
+        _lines(edge, 2, "id", -1, F.lit('<nd ref="3"/> </way> -->')).withColumn("key", F.lit(-1).cast("long")),
+    ])
+    paths = [f"{target}/first", f"{target}/second"]
+    _write_lines(lines.where("section < 2"), paths[0])
+    _write_lines(lines.where("section >= 2"), paths[1])
+    return paths
 
 
 _staged: dict[tuple[str, str], tuple[str, DataFrame, DataFrame]] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from checks.driver_tables import PHONES
 from checks.queries import NAME_MAPPING, PHONE_MAPPING
 
 # Fixed values, the same as in the library: the stamp, problem characters, expected street types.
@@ -223,6 +224,15 @@ def oracle_sql() -> dict[str, str]:
                    CAST(CASE WHEN t.name = 'relation' THEN 2 ELSE 0 END AS BIGINT) AS n_member
             FROM tops t LEFT JOIN tag_counts g ON t.name = g.name AND t.id = g.id
                         LEFT JOIN nd_counts r ON t.name = 'way' AND t.id = r.id""",
+        "scan_commented": f"""WITH {RAW_TAGS}, {TOP_LEVEL},
+            tag_counts AS (SELECT elem AS name, id, count(*) AS n FROM raw_tags GROUP BY ALL),
+            nd_counts AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY ALL)
+            SELECT element, t.name, CAST(t.id AS VARCHAR) AS id,
+                   CASE WHEN t.name = 'relation' THEN 1 ELSE coalesce(g.n, 0) END AS n_tag,
+                   coalesce(r.n, 0) AS n_nd,
+                   CAST(CASE WHEN t.name = 'relation' THEN 2 ELSE 0 END AS BIGINT) AS n_member
+            FROM tops t LEFT JOIN tag_counts g ON t.name = g.name AND t.id = g.id
+                        LEFT JOIN nd_counts r ON t.name = 'way' AND t.id = r.id""",
         "csv_roundtrip": f"""WITH {NODES}, {WAYS}, {WAYS_NODES}, {TAGS},
             hard AS (
               SELECT 'nodes_tags' AS source, * FROM nodes_tags
@@ -282,10 +292,20 @@ def oracle_sql() -> dict[str, str]:
               SELECT bad_id AS error FROM checked UNION ALL SELECT bad_user FROM checked)
             WHERE error IS NOT NULL GROUP BY error""",
         "validated_elements": validated("kept, rejected, orphans"),
+        "element_report": """WITH wrong AS (
+              SELECT p_partkey * 2 AS element, unnest([
+                  CASE WHEN p_partkey % 97 = 0 THEN 'nodes.id: type' END, CASE WHEN p_partkey % 89 = 0 THEN 'nodes.user: required' END,
+                  CASE WHEN p_partkey % 83 = 0 THEN 'nodes.lat: type' END,
+                  CASE WHEN p_partkey % 79 = 0 THEN 'nodes_tags[name].value: required' END]) AS line FROM part
+              UNION ALL SELECT o_orderkey * 2 + 1, unnest([
+                  CASE WHEN o_orderkey % 101 = 0 THEN 'ways.user: required' END, CASE WHEN o_orderkey % 103 = 0 THEN 'ways.changeset: type' END,
+                  CASE WHEN o_orderkey % 109 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'ways_nodes[0].node_id: type' END,
+                  CASE WHEN o_orderkey % 107 = 0 THEN 'ways_tags[Status].type: required' END]) FROM orders)
+            SELECT element, string_agg(line, ', ' ORDER BY line) AS report FROM wrong WHERE line IS NOT NULL GROUP BY element""",
         "unvalidated_elements": validated("kept + rejected AS n"),
         "phone_format": f"""WITH {RAW_TAGS},
             phones AS (
-              SELECT unnest(regexp_extract_all(text, '(?:\\+?[0-9]{{1,3}} )?\\([0-9]{{3}}\\) [0-9]{{3}}-[0-9]{{4}}')) AS phone FROM documents
+              SELECT unnest(regexp_extract_all(text, '{PHONES}')) AS phone FROM documents
               UNION SELECT v FROM raw_tags WHERE lower(k) LIKE '%phone%')
             SELECT phone, {phone('phone')} AS formatted FROM phones""",
         "update_name": f"SELECT p_partkey, p_name, {replaced('p_name', NAME_MAPPING)} AS better_name FROM part",

@@ -36,15 +36,23 @@ def scan_elements(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def scan_top_level(spark: SparkSession, sf: str) -> DataFrame:
-    """Top-level elements in document order with the number of children of each kind."""
-    staged = d.staged(spark, sf)
-    kids = order.children(staged).groupBy("parent.seq").agg(
+def _top_level_with_counts(rows: DataFrame) -> DataFrame:
+    kids = order.children(rows).groupBy("parent.seq").agg(
         *[F.count_if(F.col("name") == c).alias(f"n_{c}") for c in ("tag", "nd", "member")])
-    index = order.element_index(staged).select("seq", "element")
-    counted = markup.top_level(staged).select("seq", "name", "id").join(index, "seq").join(kids, "seq", "left").select(
+    index = order.element_index(rows).select("seq", "element")
+    return markup.top_level(rows).select("seq", "name", "id").join(index, "seq").join(kids, "seq", "left").select(
         "element", "name", "id", *[F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}") for c in ("tag", "nd", "member")])
-    return counted
+
+
+def scan_top_level(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-level elements in document order with the number of children of each kind."""
+    return _top_level_with_counts(d.staged(spark, sf))
+
+
+def scan_commented(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of an extract with elements inside comments and CDATA, one comment reaching into a second file."""
+    paths = d.write_commented(spark, sf, workspace.new_dir(spark, "commented"))
+    return _top_level_with_counts(markup.stage_events(spark, paths, workspace.new_dir(spark, "outside")))
 
 
 def _five(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -87,8 +95,9 @@ def load_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Loads all five tables twice, so the second load replaces the first, and counts them."""
     source = _five(spark, sf)
     spark.sql("CREATE DATABASE IF NOT EXISTS loaded_extract")
+    location = workspace.new_dir(spark, "tables")
     for _ in range(2):
-        loaded = tables.load_tables(spark, source, workspace.new_dir(spark, "tables"), "loaded_extract")
+        loaded = tables.load_tables(spark, source, location, "loaded_extract")
     counts = [
         rows.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"),
                  F.sum(F.col("id").cast("long")).alias("id_sum"))
@@ -175,6 +184,13 @@ def validated_elements(spark: SparkSession, sf: str) -> DataFrame:
     return _counted_elements(spark, sf, "quarantine").select("table_name", "kept", "rejected", "orphans")
 
 
+def element_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All that is wrong with each bad element, in one line."""
+    found = validate.check_elements(d.dirty_tables(spark, sf), workspace.new_dir(spark, "checked"))
+    return found.report.groupBy("element").agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat("path", F.lit(": "), "error"))), ", ").alias("report"))
+
+
 def unvalidated_elements(spark: SparkSession, sf: str) -> DataFrame:
     return _counted_elements(spark, sf, "off").select("table_name", F.col("kept").alias("n"))
 
@@ -196,7 +212,7 @@ def _counted_elements(spark: SparkSession, sf: str, mode: str) -> DataFrame:
 
 def phone_format(spark: SparkSession, sf: str) -> DataFrame:
     """Phones in running text and in tags."""
-    tagged = d.raw_tags(spark, sf).where(clean.is_any_phone(F.col("k"))).select(F.col("v").alias("phone"))
+    tagged = d.tags_by_key(spark, sf).where(clean.is_any_phone(F.col("k"))).select(F.col("v").alias("phone"))
     phones = d.document_phones(spark, sf).unionByName(tagged).distinct()
     return phones.select("phone", clean.phone_format(F.col("phone")).alias("formatted"))
 
@@ -207,7 +223,7 @@ def update_name(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_phone(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = d.raw_tags(spark, sf).where(clean.is_phone(F.col("k")))
+    tagged = d.tags_by_key(spark, sf).where(clean.is_phone(F.col("k")))
     return tagged.select("elem", "id", clean.clean_phone(F.col("v"), PHONE_MAPPING).alias("phone"))
 
 
@@ -259,14 +275,15 @@ def queries() -> dict[str, Query]:
     return {
         "scan_elements": scan_elements,
         "scan_top_level": scan_top_level,
+        "scan_commented": scan_commented,
         "csv_roundtrip": csv_roundtrip,
         "csv_roundtrip_nodes": csv_roundtrip_nodes,
         "load_tables": load_tables,
         "sampled_extract": sampled_extract,
         "shape_nodes": shape_nodes,
         "shape_ways": shape_ways,
-        "shape_node_tags": d.node_tags,
-        "shape_way_tags": d.way_tags,
+        "shape_node_tags": lambda s, sf: d.node_tags(s, sf, True),
+        "shape_way_tags": lambda s, sf: d.way_tags(s, sf, True),
         "markup_node_tags": markup_node_tags,
         "markup_way_tags": markup_way_tags,
         "split_key": split_key,
@@ -277,6 +294,7 @@ def queries() -> dict[str, Query]:
         "quarantine_counts": quarantine_counts,
         "validated_elements": validated_elements,
         "unvalidated_elements": unvalidated_elements,
+        "element_report": element_report,
         "phone_format": phone_format,
         "update_name": update_name,
         "clean_phone": clean_phone,
@@ -287,7 +305,7 @@ def queries() -> dict[str, Query]:
         "count_users": count_users,
         "audit_street_types": lambda s, sf: profile.audit_street_types(d.tags_by_key(s, sf)),
         "audit_zipcodes": lambda s, sf: profile.audit_zipcodes(d.tags_by_key(s, sf)),
-        "audit_phone": lambda s, sf: profile.audit_phone(d.raw_tags(s, sf)),
+        "audit_phone": lambda s, sf: profile.audit_phone(d.tags_by_key(s, sf)),
         "top_postcodes": lambda s, sf: analytics.top_postcodes(all_tags(s, sf, True)),
         "top_phones": lambda s, sf: analytics.top_phones(all_tags(s, sf, True)),
         "top_cities": lambda s, sf: analytics.top_cities(all_tags(s, sf, True)),
@@ -297,9 +315,9 @@ def queries() -> dict[str, Query]:
         "one_time_users": lambda s, sf: analytics.one_time_users(d.contributions(s, sf)),
         "top_amenities": lambda s, sf: analytics.top_amenities(d.node_tags(s, sf, True)),
         "value_counts_religion":
-            lambda s, sf: analytics.value_counts_for(d.node_tags(s, sf), "PROMO", "name"),
+            lambda s, sf: analytics.value_counts_for(d.node_tags(s, sf, True), "PROMO", "name"),
         "value_counts_cuisine":
-            lambda s, sf: analytics.value_counts_for(d.node_tags(s, sf), "ECONOMY", "city"),
+            lambda s, sf: analytics.value_counts_for(d.node_tags(s, sf, True), "ECONOMY", "city"),
         "union_tags": all_tags,
         "distinct_tagged_ids":
             lambda s, sf: analytics.distinct_tagged_ids(d.node_tags(s, sf), "PROMO"),
