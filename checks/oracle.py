@@ -324,6 +324,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT c.key_class, count(classed.key_class) AS n
             FROM (VALUES ('lower'), ('lower_colon'), ('problemchars'), ('other')) c(key_class)
             LEFT JOIN classed USING (key_class) GROUP BY c.key_class""",
+        "all_profiles": f"""WITH {ELEMENTS}
+            SELECT 'count_tags' AS profile, name AS "value", NULL AS more, count(*) AS n FROM elements GROUP BY name
+            UNION ALL SELECT 'key_classes', c.key_class, NULL, count(t.k)
+              FROM (VALUES ('lower'), ('lower_colon'), ('problemchars'), ('other')) c(key_class)
+              LEFT JOIN (SELECT k, CASE WHEN regexp_matches(k, '^[a-z_]*$') THEN 'lower'
+                                        WHEN regexp_matches(k, '^[a-z_]*:[a-z_]*$') THEN 'lower_colon'
+                                        WHEN regexp_matches(k, '{PROBLEM}') THEN 'problemchars'
+                                        ELSE 'other' END AS key_class FROM elements WHERE name = 'tag') t USING (key_class)
+              GROUP BY c.key_class
+            UNION ALL SELECT DISTINCT 'distinct_users', uid, NULL, NULL::BIGINT FROM elements WHERE uid IS NOT NULL
+            UNION ALL SELECT DISTINCT 'audit_street_types', regexp_extract(v, '[A-Za-z0-9_]\\S*$'), v, NULL::BIGINT FROM raw_tags
+              WHERE k = 'addr:street' AND regexp_extract(v, '[A-Za-z0-9_]\\S*$') <> ''
+                AND regexp_extract(v, '[A-Za-z0-9_]\\S*$') NOT IN ({EXPECTED})
+            UNION ALL SELECT DISTINCT 'audit_zipcodes', v, NULL, NULL::BIGINT FROM raw_tags WHERE k = 'addr:postcode' AND v LIKE '300%'
+            UNION ALL SELECT DISTINCT 'audit_phone', v, {phone('v')}, NULL::BIGINT FROM raw_tags WHERE {LOCAL_PHONE}""",
         "distinct_users": f"WITH {MARKUP_USERS} SELECT uid FROM users",
         "count_users": f"WITH {MARKUP_USERS} SELECT count(*) AS n FROM users",
         "audit_street_types": f"""WITH {RAW_TAGS},

@@ -242,6 +242,24 @@ def count_users(spark: SparkSession, sf: str) -> DataFrame:
     return profile.count_users(markup.elements(d.staged(spark, sf)))
 
 
+def all_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The six profiles of the markup from one scan of its staged rows and one of its tags."""
+    tags = shape.raw_tags(d.children(spark, sf))
+    found = workspace.store(profile.facts(markup.elements(d.staged(spark, sf)), tags), workspace.new_dir(spark, "profiles"))
+    shown = {
+        "count_tags": ("name", None, "n"), "key_classes": ("key_class", None, "n"), "distinct_users": ("uid", None, None),
+        "audit_street_types": ("street_type", "street_name", None), "audit_zipcodes": ("postcode", None, None),
+        "audit_phone": ("phone", "formatted", None),
+    }
+    return reduce(DataFrame.unionByName, [
+        rows.select(
+            F.lit(name).alias("profile"), F.col(shown[name][0]).alias("value"),
+            (F.col(shown[name][1]) if shown[name][1] else F.lit(None).cast("string")).alias("more"),
+            (F.col("n") if shown[name][2] else F.lit(None).cast("long")).alias("n"))
+        for name, rows in profile.profiles(found).items()
+    ])
+
+
 # --- G: primitives ------------------------------------------------------------------
 
 def every_kth(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,6 +320,7 @@ def queries() -> dict[str, Query]:
         "count_tags_pages": lambda s, sf: profile.count_tags(d.page_elements(s, sf)),
         "key_classes": lambda s, sf: profile.key_classes(d.raw_keys(s, sf)),
         "distinct_users": distinct_users,
+        "all_profiles": all_profiles,
         "count_users": count_users,
         "audit_street_types": lambda s, sf: profile.audit_street_types(d.tags_by_key(s, sf)),
         "audit_zipcodes": lambda s, sf: profile.audit_zipcodes(d.tags_by_key(s, sf)),

@@ -105,6 +105,69 @@ def cuisines(node_tags: DataFrame) -> DataFrame:
     return value_counts_for(node_tags, "restaurant", "cuisine")
 
 
+# Questions about the values of one key on the ids that have a value under any key.
+_HAVING = {"religions": ("place_of_worship", "religion"), "cuisines": ("restaurant", "cuisine")}
+
+
+def facts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``question, value, id, having, n``: each row routed to the questions it serves, counted in one pass.
+
+    Every table is read once. ``id`` is set only where a question depends on other tags of the same id: such rows
+    carry a value, or, with ``having``, the id alone.
+    """
+    key, value, none = F.col("key"), F.col("value"), F.lit(None)
+
+    def fact(when: Column | None, question: str, value: Column = none, id_: Column = none, having: bool = False) -> Column:
+        row = F.struct(
+            F.lit(question).alias("question"), value.cast("string").alias("value"), id_.cast("long").alias("id"), F.lit(having).alias("having"))
+        return row if when is None else F.when(when, row)
+
+    def routed(rows: DataFrame, *found: Column) -> DataFrame:
+        return rows.select(F.inline(F.array_compact(F.array(*found))))
+
+    both = [
+        fact(key_is("postcode"), "top_postcodes", value), fact(key_is("phone"), "top_phones", value),
+        fact(key_ends_with("city"), "top_cities", value),
+    ]
+    of_nodes = [fact(key_is("amenity"), "top_amenities", value)]
+    for question, (had, asked) in _HAVING.items():
+        of_nodes += [fact(key_is(asked), question, value, F.col("id")), fact(value == had, question, id_=F.col("id"), having=True)]
+    user = fact(None, "top_users", F.col("user"))
+    return (
+        routed(tables["nodes_tags"], *both, *of_nodes)
+        .unionByName(routed(tables["ways_tags"], *both))
+        .unionByName(routed(tables["nodes"], user, fact(None, "count_nodes")))
+        .unionByName(routed(tables["ways"], user, fact(None, "count_ways")))
+        .groupBy("question", "value", "id", "having").agg(F.count("*").alias("n"))
+    )
+
+
+def answered(found: DataFrame) -> dict[str, DataFrame]:
+    """The ten standard questions from stored ``facts``; equal to ``answers``."""
+
+    def counts(question: str) -> DataFrame:
+        return found.where((F.col("question") == question) & F.col("id").isNull()).select("value", "n")
+
+    def total(question: str) -> DataFrame:
+        return counts(question).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+    def having(question: str) -> DataFrame:
+        own = found.where((F.col("question") == question) & F.col("id").isNotNull())
+        ids = own.where("having").select("id")
+        return _ranked(tags_of(own.where("not having"), ids).groupBy("value").agg(F.sum("n").alias("n")), "value", None)
+
+    users = counts("top_users").withColumnRenamed("value", "user")
+    return {
+        **{q: _ranked(counts(q), "value", None) for q in ("top_postcodes", "top_phones", "top_cities")},
+        "count_nodes": total("count_nodes"),
+        "count_ways": total("count_ways"),
+        "top_users": _ranked(users, "user", 10),
+        "one_time_users": users.where("n = 1").agg(F.count("*").alias("n")),
+        "top_amenities": _ranked(counts("top_amenities"), "value", 10),
+        **{q: having(q) for q in _HAVING},
+    }
+
+
 def answers(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The ten standard questions over the five tables."""
     tags = union_tags(tables["nodes_tags"], tables["ways_tags"])

@@ -31,18 +31,14 @@ class Wrangled:
     report: DataFrame
 
     def profiles(self) -> dict[str, DataFrame]:
-        elements = markup.elements(self.staged)
-        return {
-            "count_tags": profile.count_tags(elements),
-            "key_classes": profile.key_classes(elements.where("kind = 'tag'")),
-            "distinct_users": profile.distinct_users(elements),
-            "audit_street_types": profile.audit_street_types(self.tags),
-            "audit_zipcodes": profile.audit_zipcodes(self.tags),
-            "audit_phone": profile.audit_phone(self.tags),
-        }
+        """The six profiles, from facts that one scan of the staged rows and one of the tags have given."""
+        found = profile.facts(markup.elements(self.staged), self.tags)
+        return profile.profiles(workspace.store(found, workspace.new_dir(found.sparkSession, "profiles")))
 
     def answers(self) -> dict[str, DataFrame]:
-        return analytics.answers(self.tables)
+        """The ten standard questions, from facts that one scan of every table has given."""
+        found = analytics.facts(self.tables)
+        return analytics.answered(workspace.store(found, workspace.new_dir(found.sparkSession, "answers")))
 
     def write_csv(self, target: str) -> None:
         """The five tables as CSV, with numbers as they were spelled in the markup."""

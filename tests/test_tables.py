@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mapengine.model import TABLE_KINDS, raw_schema, typed_schema
-from mapengine.operators import order, shape
+from mapengine.operators import analytics, order, profile, shape
 from mapengine.plans.wrangle import wrangle
 from mapengine.sources import extract, markup, tables
 from tests import fixtures as fx
@@ -211,6 +211,25 @@ def test_wrangle(spark, city, tmp_path):
     assert answers["cuisines"] == [("thai", 1)]
 
 
+def test_profiles_and_answers_in_one_scan(spark, city, tmp_path):
+    """Equal to the six profiles and ten answers one by one; each table is scanned once."""
+    run = wrangle(spark, city, str(tmp_path / "run"))
+    elements = markup.elements(run.staged)
+    one_by_one = {
+        "count_tags": profile.count_tags(elements), "key_classes": profile.key_classes(elements.where("kind = 'tag'")),
+        "distinct_users": profile.distinct_users(elements), "audit_street_types": profile.audit_street_types(run.tags),
+        "audit_zipcodes": profile.audit_zipcodes(run.tags), "audit_phone": profile.audit_phone(run.tags),
+    }
+    found = run.profiles()
+    assert {k: rows_of(df) for k, df in found.items()} == {k: rows_of(df) for k, df in one_by_one.items()}
+    assert all(found[k].columns == df.columns for k, df in one_by_one.items())
+    asked, want = run.answers(), analytics.answers(run.tables)
+    assert {k: [tuple(r) for r in df.collect()] for k, df in asked.items()} == {k: [tuple(r) for r in df.collect()] for k, df in want.items()}
+    assert all(asked[k].columns == df.columns for k, df in want.items())
+    assert final_plan(profile.facts(elements, run.tags)).count("FileScan") == 2
+    assert final_plan(analytics.facts(run.tables)).count("FileScan") == 4
+
+
 def test_elements_are_rejected_as_a_whole(spark, tmp_path):
     source = tmp_path / "map.xml"
     nameless = fx.way(4, children=[fx.nd(1), fx.tag("a", "b")]).replace(' user="ann"', "")
