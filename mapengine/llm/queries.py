@@ -81,7 +81,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judged(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.thin_hosts(pages))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,12 +158,12 @@ FROM marked GROUP BY doc_id
 
 _URL_FILTER = rf"""
 WITH parts AS (
-    SELECT page_id,
+    SELECT page_id, html,
            CASE WHEN instr(coalesce(url, ''), '://') > 0
                 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
     FROM pages
 ), hosts AS (
-    SELECT page_id,
+    SELECT page_id, html,
            translate(regexp_extract(rest, '^[^/?#]*'),
                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
@@ -176,11 +177,16 @@ WITH parts AS (
         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/'
     END AS rule
     FROM hosts
+), thin AS (
+    SELECT host FROM hosts WHERE host <> '' GROUP BY host
+    HAVING sum(len(regexp_extract_all(coalesce(html, ''), '<a[ \t\r\n>]'))) > 0
+       AND 100 * sum(len(regexp_extract_all(coalesce(html, ''), '<a[ \t\r\n>]')))
+           >= {url_filter.THIN} * sum(len(regexp_extract_all(coalesce(html, ''), '<p[ \t\r\n>]')))
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.org/es/', 'com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host, '{url_filter.LISTED}') THEN 'block'
+    WHEN host IN (SELECT host FROM thin) THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """
