@@ -292,6 +292,11 @@ def oracle_sql() -> dict[str, str]:
               SELECT bad_id AS error FROM checked UNION ALL SELECT bad_user FROM checked)
             WHERE error IS NOT NULL GROUP BY error""",
         "validated_elements": validated("kept, rejected, orphans"),
+        "record_errors": """
+            SELECT 'ways.user' AS path, 'required' AS error, count(*) AS n FROM orders WHERE o_orderkey % 101 = 0 HAVING count(*) > 0
+            UNION ALL SELECT 'ways.changeset', 'type', count(*) FROM orders WHERE o_orderkey % 103 = 0 HAVING count(*) > 0
+            UNION ALL SELECT 'ways_nodes[].node_id', 'type', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 109 = 0 HAVING count(*) > 0
+            UNION ALL SELECT 'ways_tags[].type', 'required', count(*) FROM orders WHERE o_orderkey % 107 = 0 HAVING count(*) > 0""",
         "element_report": """WITH wrong AS (
               SELECT p_partkey * 2 AS element, unnest([
                   CASE WHEN p_partkey % 97 = 0 THEN 'nodes.id: type' END, CASE WHEN p_partkey % 89 = 0 THEN 'nodes.user: required' END,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from checks import driver_tables as d
 from mapengine import workspace
 from mapengine.functions import clean
+from mapengine.model import RECORDS
 from mapengine.operators import analytics, order, profile, shape, validate
 from mapengine.plans.wrangle import wrangle
 from mapengine.sources import extract, markup, tables
@@ -191,6 +192,19 @@ def element_report(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(F.sort_array(F.collect_list(F.concat("path", F.lit(": "), "error"))), ", ").alias("report"))
 
 
+def record_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of paths as nested records, lists checked in place, by path without index."""
+    dirty = d.dirty_tables(spark, sf)
+    kinds = {"ways_nodes": ("id", "node_id", "position"), "ways_tags": ("id", "key", "value", "type")}
+    rows = dirty["ways"].select("element", F.struct(*[c for c in dirty["ways"].columns if c != "element"]).alias("ways"))
+    for name, fields in kinds.items():
+        own = dirty[name].groupBy("element").agg(F.collect_list(F.struct(*fields)).alias(name))
+        rows = rows.join(own, "element", "left")
+    rows = rows.drop("element")
+    found = rows.select(F.explode(validate.record_errors(rows, {t: RECORDS[t] for t in ("ways", *kinds)})).alias("e"))
+    return found.groupBy(F.regexp_replace("e.path", r"\[[0-9]+\]", "[]").alias("path"), F.col("e.error").alias("error")).agg(F.count("*").alias("n"))
+
+
 def unvalidated_elements(spark: SparkSession, sf: str) -> DataFrame:
     return _counted_elements(spark, sf, "off").select("table_name", F.col("kept").alias("n"))
 
@@ -313,6 +327,7 @@ def queries() -> dict[str, Query]:
         "validated_elements": validated_elements,
         "unvalidated_elements": unvalidated_elements,
         "element_report": element_report,
+        "record_errors": record_errors,
         "phone_format": phone_format,
         "update_name": update_name,
         "clean_phone": clean_phone,

@@ -75,6 +75,16 @@ TABLE_KINDS: dict[str, dict[str, str]] = {
 TABLES = tuple(TABLE_KINDS)
 
 
+# The same as a declared record: an element holds one record of its own and lists of records, all fields required.
+RECORDS = {
+    name: {
+        "type": "list" if name in ("nodes_tags", "ways_nodes", "ways_tags") else "dict",
+        "schema": {field: {"type": kind, "required": True} for field, kind in kinds.items()},
+    }
+    for name, kinds in TABLE_KINDS.items()
+}
+
+
 def spark_type(kind: str) -> T.DataType:
     return _TYPES[kind]
 

@@ -6,11 +6,13 @@ parse. What happens to a bad row is the caller's choice: set aside, stop, or not
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mapengine.model import TABLE_KINDS, spark_type
 from mapengine.workspace import store
@@ -23,7 +25,10 @@ _NOT_A_FLOAT = r"(?i)0x|[0-9.][df]\s*$"
 
 
 def _typed(field: str, kind: str) -> Column:
-    value = F.col(field)
+    return _parsed(F.col(field), kind)
+
+
+def _parsed(value: Column, kind: str) -> Column:
     parsed = value.try_cast(spark_type(kind))
     if kind == "float":
         parsed = F.when(~value.cast("string").rlike(_NOT_A_FLOAT), parsed)
@@ -86,6 +91,58 @@ def error_counts(rows: DataFrame, table: str) -> DataFrame:
     )
 
 
+# --- declared records ---------------------------------------------------------------
+#
+# A schema is data: field -> rule. A rule has a ``type``: one of the model's kinds, ``dict`` or ``list``. The last two
+# have a ``schema`` of their own, a list that of its items. ``required`` fields must not be NULL, and
+# fields that the schema does not name must be, unless ``allow_unknown``.
+
+Schema = Mapping[str, Mapping]
+
+
+def _found(path: Column, error: str) -> Column:
+    return F.struct(path.alias("path"), F.lit(error).alias("error"))
+
+
+def _record_errors(schema: Schema, fields: T.StructType, get: Callable[[str], Column], path: Column, allow_unknown: bool) -> Column:
+    """Errors of one record, an ARRAY of ``path, error`` in the order of the schema."""
+    own, nested = [], []
+    here = lambda name: F.concat(path, F.lit(name))
+    for name, rule in schema.items():
+        if name not in fields.names:
+            own.append(F.when(F.lit(bool(rule.get("required"))), _found(here(name), "required")))
+            continue
+        value, kind = get(name), rule["type"]
+        missing = F.when(value.isNull() & F.lit(bool(rule.get("required"))), _found(here(name), "required"))
+        if kind in ("dict", "list"):
+            own.append(missing)
+            nested.append(_nested_errors(rule, fields[name].dataType, value, here(name)))
+        elif kind == "string":
+            own.append(missing)
+        else:
+            own.append(missing.when(value.isNotNull() & _parsed(value, kind).isNull(), _found(here(name), "type")))
+    if not allow_unknown:
+        own += [F.when(get(n).isNotNull(), _found(here(n), "unknown")) for n in fields.names if n not in schema]
+    return F.concat(F.array_compact(F.array(*own)), *nested)
+
+
+def _nested_errors(rule: Mapping, type_: T.DataType, value: Column, path: Column) -> Column:
+    inner, unknown = rule["schema"], bool(rule.get("allow_unknown"))
+    none = F.array().cast("array<struct<path:string,error:string>>")
+    if rule["type"] == "dict":
+        errors = _record_errors(inner, type_, lambda n: value[n], F.concat(path, F.lit(".")), unknown)
+        return F.when(value.isNotNull(), errors).otherwise(none)
+    each = F.transform(value, lambda item, i: _record_errors(
+        inner, type_.elementType, lambda n: item[n], F.concat(path, F.lit("["), i.cast("string"), F.lit("].")), unknown))
+    return F.coalesce(F.flatten(each), none)
+
+
+def record_errors(rows: DataFrame, schema: Schema, allow_unknown: bool = True) -> Column:
+    """Errors of every row against a declared schema: an ARRAY of ``path`` (``ways_nodes[3].node_id``) and ``error``
+    (``required``, ``type`` or ``unknown``), empty for a good row. Lists are checked where they are, without a shuffle."""
+    return _record_errors(schema, rows.schema, F.col, F.lit(""), allow_unknown)
+
+
 # --- whole elements -----------------------------------------------------------------
 
 # Error of a good row whose element has a bad row elsewhere.

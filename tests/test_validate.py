@@ -1,6 +1,6 @@
 import pytest
 
-from mapengine.model import TABLES, raw_schema, typed_schema
+from mapengine.model import RECORDS, TABLES, raw_schema, typed_schema
 from mapengine.operators import validate
 
 GOOD = ("1", "1.5", "2", "ann", "11", "2", "7", "2020")
@@ -71,3 +71,32 @@ def test_every_table_has_rules(spark, table):
     rows = spark.createDataFrame([tuple([None] * len(schema)), tuple(["1"] * len(schema))], schema)
     found = sorted(len(r.errors) for r in validate.with_errors(rows, table).collect())
     assert found == [0, len(schema)]
+
+
+def test_declared_records(spark):
+    """Nested lists, missing and unknown fields, with paths."""
+    rows = spark.createDataFrame(
+        [(1, ("5", "u", None, "x"), [("5", "1", "0"), ("5", "r", None)], None), (2, None, [], [("5", "k", None, "regular", "more")])],
+        "i int, ways struct<id string, user string, uid string, color string>, ways_nodes array<struct<id string, node_id string, position string>>,"
+        "ways_tags array<struct<id string, key string, value string, type string, extra string>>")
+    schema = {t: RECORDS[t] for t in ("ways", "ways_nodes", "ways_tags")}
+    found = rows.select("i", validate.record_errors(rows.drop("i"), schema).alias("e")).orderBy("i").collect()
+    assert [[(e.path, e.error) for e in r.e] for r in found] == [
+        [("ways.uid", "required"), ("ways.version", "required"), ("ways.changeset", "required"), ("ways.timestamp", "required"),
+         ("ways.color", "unknown"), ("ways_nodes[1].node_id", "type"), ("ways_nodes[1].position", "required")],
+        [("ways_tags[0].value", "required"), ("ways_tags[0].extra", "unknown")],
+    ]
+    loose = {"ways": {"type": "dict", "allow_unknown": True, "required": True, "schema": {"id": {"type": "float"}, "none": {"type": "string"}}}}
+    assert [[(e.path, e.error) for e in r[0]] for r in rows.orderBy("i").select(validate.record_errors(rows, loose)).collect()] == [
+        [], [("ways", "required")]]
+    strict = rows.select(validate.record_errors(rows, loose, allow_unknown=False).alias("e")).first().e
+    assert ("i", "unknown") in [(e.path, e.error) for e in strict]
+
+
+@pytest.mark.parametrize("table", TABLES)
+def test_declared_records_agree_with_rows(spark, table):
+    rows = spark.createDataFrame([tuple([None] * len(raw_schema(table))), tuple(["x"] * len(raw_schema(table)))], raw_schema(table))
+    found = rows.select(
+        validate.row_errors(table).alias("flat"), validate.record_errors(rows, RECORDS[table]["schema"]).alias("nested")).collect()
+    for r in found:
+        assert r.flat == [f"{e.error}:{e.path}" for e in r.nested]
