@@ -38,10 +38,12 @@ HASHED = VOCABULARY // 4
 PAD = -1
 PLACES = (-2, -1, 1, 2)
 WIDTH = 16
-BATCH = 2048
+BATCH = 8192
 ROUNDS = 2
 RATE = 0.3
 FAN_IN = 512
+# Parameters averaged together.
+BLOCK = 4096
 # Different words counted before they are handed on.
 _COUNTED = 500_000
 # Occurrences added to the count of every word, and of one that was never counted.
@@ -185,9 +187,16 @@ def shaped(values: np.ndarray, side: int = CLASSES) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_prob(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of every row at its wanted column."""
+    most = x.max(axis=1)
+    return x[np.arange(len(x)), wanted] - most - np.log(np.exp(x - most[:, None]).sum(axis=1))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,12 +222,11 @@ class Network:
         """Log probability of each word given the words around it."""
         h = self.hidden(around)
         cls, within = word // self.per_class, word % self.per_class
-        out = _log_softmax(h @ self.m["class_w"] + self.m["class_b"])[np.arange(len(word)), cls]
+        out = _log_prob(h @ self.m["class_w"] + self.m["class_b"], cls)
         order, first = _groups(cls)
         for rows in np.split(order, first[1:]):
             c = cls[rows[0]] if len(rows) else 0
-            logits = _log_softmax(h[rows] @ self.m["word_w"][c] + self.m["word_b"][c])
-            out[rows] += logits[np.arange(len(rows)), within[rows]]
+            out[rows] += _log_prob(h[rows] @ self.m["word_w"][c] + self.m["word_b"][c], within[rows])
         return out
 
     def _step(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
@@ -230,7 +238,7 @@ class Network:
         n = len(word)
         h = self.hidden(around)
         cls, within = word // self.per_class, word % self.per_class
-        d_class = np.exp(_log_softmax(h @ self.m["class_w"] + self.m["class_b"]))
+        d_class = _softmax(h @ self.m["class_w"] + self.m["class_b"])
         d_class[np.arange(n), cls] -= 1
         d_class /= n
         d_h = d_class @ self.m["class_w"].T
@@ -240,7 +248,7 @@ class Network:
                 continue
             c = int(cls[rows[0]])
             own = h[rows]
-            d_word = np.exp(_log_softmax(own @ self.m["word_w"][c] + self.m["word_b"][c]))
+            d_word = _softmax(own @ self.m["word_w"][c] + self.m["word_b"][c])
             d_word[np.arange(len(rows)), within[rows]] -= 1
             d_word /= n
             d_h[rows] += d_word @ self.m["word_w"][c].T
@@ -285,40 +293,43 @@ def trained(docs: DataFrame, known: Words, id: str = "doc_id", text: str = "text
 
 def _trained(rows: DataFrame, side: int, rounds: int) -> np.ndarray:
     values = flat(fresh(side=side))
-    fan_in = max(64, FAN_IN * VOCABULARY // (side * side))
     for number in range(rounds):
         start = values
 
         def local(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             net, words = Network(shaped(start, side)), 0
             docs = (d for b in batches for d in _ids(b[0].to_pylist(), side))
-            for some in _batches(docs, 64 * BATCH):
+            for some in _batches(docs, 16 * BATCH):
                 around, word = _windows(some)
                 words += len(word)
                 for at in range(0, len(word), BATCH):
                     net.train(around[:, at : at + BATCH], word[at : at + BATCH])
             if words:
-                part = TaskContext.get().partitionId()
-                row = [[part], [words], [flat(net.m).astype("<f4").tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["part", "words", "model"])
-
-        models = rows.where(F.col("round") == number).select("ids").mapInArrow(local, "part long, words long, model binary")
-        merged = _averaged(_averaged(models, F.floor(F.col("part") / fan_in)), F.lit(0).cast("long"))
-        row = merged.select("model").first()
-        values = np.frombuffer(row["model"], "<f4") if row else values
+                part, own = TaskContext.get().partitionId(), flat(net.m).astype("<f4")
+                blocks = [own[at : at + BLOCK].tobytes() for at in range(0, len(own), BLOCK)]
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in ([part] * n, range(n), [words] * n, blocks)], ["part", "block", "words", "model"])
+
+        models = rows.where(F.col("round") == number).select("ids").mapInArrow(local, "part long, block long, words long, model binary")
+        merged = _averaged(_averaged(models, F.floor(F.col("part") / FAN_IN)), F.lit(0).cast("long"))
+        # One row per block: the parameters, which the driver sends to all tasks.
+        blocks = merged.orderBy("block").select("model").collect()
+        values = np.concatenate([np.frombuffer(r["model"], "<f4") for r in blocks]) if blocks else values
     return values
 
 
 def _averaged(models: DataFrame, group) -> DataFrame:
-    """Models of each group averaged by words; ``part`` becomes the group."""
+    """Blocks of parameters averaged by words over the models of each group; ``part`` becomes the group."""
 
     def mean(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("part")
         total = sum(w * np.frombuffer(m, "<f4").astype(float) for w, m in zip(rows["words"], rows["model"], strict=True))
         words = int(rows["words"].sum())
-        return pd.DataFrame({"part": [int(key[0])], "words": [words], "model": [(total / words).astype("<f4").tobytes()]})
+        mean = (total / words).astype("<f4").tobytes()
+        return pd.DataFrame({"part": [int(key[0])], "block": [int(key[1])], "words": [words], "model": [mean]})
 
-    return models.groupBy(group.alias("g")).applyInPandas(mean, "part long, words long, model binary")
+    return models.groupBy(group.alias("g"), "block").applyInPandas(mean, "part long, block long, words long, model binary")
 
 
 def scored(
@@ -346,13 +357,13 @@ def _scored(rows: DataFrame, side: int, values: np.ndarray, *kept: str) -> DataF
         first = 0
         while first < len(docs):
             last, n = first, 0
-            while last < len(docs) and n < 32 * BATCH:
+            while last < len(docs) and n < 8 * BATCH:
                 n += sizes[last]
                 last += 1
             if n:
                 around, word = _windows(docs[first:last])
                 found = np.concatenate([
-                    net.score(around[:, at : at + 4 * BATCH], word[at : at + 4 * BATCH]) for at in range(0, len(word), 4 * BATCH)
+                    net.score(around[:, at : at + BATCH], word[at : at + BATCH]) for at in range(0, len(word), BATCH)
                 ]).astype(float)
                 owner = np.repeat(np.arange(last - first), sizes[first:last])
                 sums[first:last] = np.bincount(owner, weights=found, minlength=last - first)

@@ -75,12 +75,51 @@ def test_sums_against_one_text_at_a_time(documents, monkeypatch):
 
 
 def test_averaging_in_two_steps(spark):
-    rows = [(i, 1 + i % 3, np.full(5, i, "<f4").tobytes()) for i in range(40)]
-    models = spark.createDataFrame(rows, "part long, words long, model binary")
+    rows = [(i, b, 1 + i % 3, np.full(5, i + 100 * b, "<f4").tobytes()) for i in range(40) for b in range(3)]
+    models = spark.createDataFrame(rows, "part long, block long, words long, model binary")
     step = lm._averaged(models, lm.F.floor(lm.F.col("part") / 7))
-    row = lm._averaged(step, lm.F.lit(0).cast("long")).first()
+    assert step.count() == 6 * 3  # a group holds one block of seven models
+    found = lm._averaged(step, lm.F.lit(0).cast("long")).orderBy("block").collect()
     want = sum(i * (1 + i % 3) for i in range(40)) / sum(1 + i % 3 for i in range(40))
-    assert np.frombuffer(row.model, "<f4") == pytest.approx(np.full(5, want))
+    assert [r.block for r in found] == [0, 1, 2]
+    for r in found:
+        assert np.frombuffer(r.model, "<f4") == pytest.approx(np.full(5, want + 100 * r.block))
+
+
+def plain_step(model, around, words, rate):
+    """One step word by word in plain Python floats, from the formulas of a two-level softmax and Adagrad."""
+    per = model["word_b"].shape[1]
+    grad = {k: np.zeros(v.shape) for k, v in model.items()}
+    for j, word in enumerate(words):
+        h = np.tanh(model["bias"] + sum(model["embed"][p][around[p][j]] for p in range(len(around))))
+        c, w = divmod(int(word), per)
+        p_class = np.exp(h @ model["class_w"] + model["class_b"])
+        p_class /= p_class.sum()
+        p_word = np.exp(h @ model["word_w"][c] + model["word_b"][c])
+        p_word /= p_word.sum()
+        p_class[c] -= 1
+        p_word[w] -= 1
+        d_h = model["class_w"] @ p_class + model["word_w"][c] @ p_word
+        grad["class_w"] += np.outer(h, p_class)
+        grad["class_b"] += p_class
+        grad["word_w"][c] += np.outer(h, p_word)
+        grad["word_b"][c] += p_word
+        d_in = d_h * (1 - h * h)
+        grad["bias"] += d_in
+        for p in range(len(around)):
+            grad["embed"][p][around[p][j]] += d_in
+    n = len(words)
+    return {k: v - rate * (grad[k] / n) / np.sqrt(1e-3 + (grad[k] / n) ** 2) for k, v in model.items()}
+
+
+def test_a_training_step_against_plain_python():
+    draw = np.random.default_rng(5)
+    model = {k: v.astype(float) for k, v in lm.fresh(side=4).items()}
+    around, words = draw.integers(-1, 16, (4, 30)), draw.integers(0, 16, 30)
+    net = lm.Network(lm.fresh(side=4))
+    net.train(around.astype(np.int32), words.astype(np.int32))
+    for name, want in plain_step(model, around, words, lm.RATE).items():
+        assert net.m[name] == pytest.approx(want, abs=2e-4), name
 
 
 def test_awkward_rows(documents, awkward):
