@@ -177,11 +177,14 @@ WITH parts AS (
         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/'
     END AS rule
     FROM hosts
+), linked AS (
+    SELECT host, sum(len(regexp_extract_all(coalesce(html, ''), '<a[ \t\r\n>]'))) AS links,
+           sum(len(regexp_extract_all(coalesce(html, ''), '<p[ \t\r\n>]'))) AS paragraphs
+    FROM hosts WHERE host <> '' GROUP BY host
+), ranked AS (
+    SELECT host, least(100 * links // (paragraphs + 1), {url_filter.MOST}) AS ratio FROM linked WHERE links > 0
 ), thin AS (
-    SELECT host FROM hosts WHERE host <> '' GROUP BY host
-    HAVING sum(len(regexp_extract_all(coalesce(html, ''), '<a[ \t\r\n>]'))) > 0
-       AND 100 * sum(len(regexp_extract_all(coalesce(html, ''), '<a[ \t\r\n>]')))
-           >= {url_filter.THIN} * sum(len(regexp_extract_all(coalesce(html, ''), '<p[ \t\r\n>]')))
+    SELECT host FROM ranked WHERE ratio >= (SELECT quantile_disc(ratio, {1 - url_filter.THIN}) FROM ranked)
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.org/es/', 'com/de/') THEN 'block'
