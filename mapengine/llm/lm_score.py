@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ RATE = 0.3
 FAN_IN = 512
 # Parameters averaged together.
 BLOCK = 4096
+# No sum of exponentials of logits within this overflows in 32 bits.
+_SAFE = 75.0
 # Different words counted before they are handed on.
 _COUNTED = 500_000
 # Occurrences added to the count of every word, and of one that was never counted.
@@ -116,8 +119,17 @@ def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = N
 
 def ids_of(words: list[bytes], known: Words) -> np.ndarray:
     """Ids of words; the last ``hashed`` ids are shared by all words that are not known."""
-    get, crc, first, hashed = known.get, zlib.crc32, known.own, known.hashed
-    return np.array([i if (i := get(w)) is not None else first + crc(w) % hashed for w in words], dtype=np.int32)
+    return _ids_and_rare(words, known)[0]
+
+
+def _ids_and_rare(words: list[bytes], known: Words) -> tuple[np.ndarray, list[bytes]]:
+    """Ids of words, and those that are not known, in order."""
+    ids = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
+    at = np.flatnonzero(ids < 0)
+    rare = [words[i] for i in at.tolist()]
+    if rare:
+        ids[at] = known.own + np.fromiter(map(zlib.crc32, rare), np.int64, len(rare)) % known.hashed
+    return ids, rare
 
 
 def coded(docs: DataFrame, known: Words, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -133,9 +145,9 @@ def coded(docs: DataFrame, known: Words, id: str = "doc_id", text: str = "text",
                 some = batch.slice(at, 256)
                 ids, words, numbers, ends = [], [], [], [0]
                 for t in some[2].to_pylist():
-                    found = _words(t)
-                    ids.append(ids_of(found, known).astype(width).tobytes())
-                    rare = Counter(w for w in found if w not in known)
+                    found, unknown = _ids_and_rare(_words(t), known)
+                    ids.append(found.astype(width).tobytes())
+                    rare = Counter(unknown)
                     words += rare
                     numbers += rare.values()
                     ends.append(len(words))
@@ -187,81 +199,132 @@ def shaped(values: np.ndarray, side: int = CLASSES) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_prob(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    out = np.ones((len(h), h.shape[1] + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
+def _bounded(layers: np.ndarray) -> bool:
+    """Whether no logit of inputs within -1 and 1 overflows. Layers have their bias as last row."""
+    return np.abs(layers).sum(axis=-2).max() < _SAFE
+
+
+def _exps(layer: np.ndarray, inputs: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of logits, a row per word, up to a factor for each row; and their sums."""
+    x = inputs @ layer
+    if not bounded:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], np.float32)
+
+
+def _log_prob(layer: np.ndarray, inputs: np.ndarray, bounded: bool, wanted: np.ndarray) -> np.ndarray:
     """Logarithm of the softmax of every row at its wanted column."""
-    most = x.max(axis=1)
-    return x[np.arange(len(x)), wanted] - most - np.log(np.exp(x - most[:, None]).sum(axis=1))
+    x, total = _exps(layer, inputs, bounded)
+    return np.log(np.maximum(x[np.arange(len(x)), wanted], np.finfo(np.float32).tiny)) - np.log(total)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
+def _softmax_error(layer: np.ndarray, inputs: np.ndarray, bounded: bool, wanted: np.ndarray) -> np.ndarray:
+    """The softmax of every row, less 1 at its wanted column."""
+    x, total = _exps(layer, inputs, bounded)
+    x /= total[:, None]
+    x[np.arange(len(x)), wanted] -= 1
     return x
 
 
-def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order by value and the value's bounds in it."""
-    small = not len(values) or values.max() < 1 << 15
-    order = np.argsort(values.astype(np.int16) if small else values, kind="stable")
-    return order, np.flatnonzero(np.diff(values[order], prepend=PAD - 1))
+def _groups(values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stable order by value, the values in it and where each value begins. Values are below ``end``."""
+    values = values.astype(np.int16) if end < 1 << 15 else values
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return order, values, np.flatnonzero(new)
 
 
 class Network:
+    """Words of a batch are put in order of their classes once, so that each class is a stretch of rows."""
+
     def __init__(self, model: dict[str, np.ndarray]):
         self.m = {k: v.copy() for k, v in model.items()}
         self.per_class = model["word_b"].shape[1]
         self.seen = {k: np.full_like(v, 1e-3) for k, v in self.m.items()}
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.m["bias"] + self.m["embed"][0][around[0]]
+        # Padding, -1, wraps to the last row.
+        total = self.m["bias"] + self.m["embed"][0].take(around[0], axis=0, mode="wrap")
         for p in range(1, len(PLACES)):
-            total += self.m["embed"][p][around[p]]
-        return np.tanh(total)
+            total += self.m["embed"][p].take(around[p], axis=0, mode="wrap")
+        return np.tanh(total, out=total)
+
+    def _layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and biases of the classes and of the words in each class."""
+        m = self.m
+        return np.vstack([m["class_w"], m["class_b"]]), np.concatenate([m["word_w"], m["word_b"][:, None]], axis=1)
+
+    def _by_class(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Order of the words, their classes and numbers within, in that order, and each class's stretch."""
+        cls = word // self.per_class
+        order, found, first = _groups(cls, self.per_class)
+        word = word[order]
+        ends = [*first[1:].tolist(), len(word)]
+        return order, cls[order], word % self.per_class, list(zip(found[first].tolist(), first.tolist(), ends, strict=True))
 
     def score(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Log probability of each word given the words around it."""
-        h = self.hidden(around)
-        cls, within = word // self.per_class, word % self.per_class
-        out = _log_prob(h @ self.m["class_w"] + self.m["class_b"], cls)
-        order, first = _groups(cls)
-        for rows in np.split(order, first[1:]):
-            c = cls[rows[0]] if len(rows) else 0
-            out[rows] += _log_prob(h[rows] @ self.m["word_w"][c] + self.m["word_b"][c], within[rows])
+        order, cls, within, stretches = self._by_class(word)
+        inputs = _with_ones(self.hidden(around[:, order]))
+        classes, words = self._layers()
+        found = _log_prob(classes, inputs, _bounded(classes), cls)
+        bounded = _bounded(words)
+        for c, a, b in stretches:
+            found[a:b] += _log_prob(words[c], inputs[a:b], bounded, within[a:b])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
-    def _step(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
+    def _step(self, name: str, gradient: np.ndarray) -> None:
         """Adagrad: often-changed parameters change less and less."""
-        self.seen[name][at] += gradient * gradient
-        self.m[name][at] -= RATE * gradient / np.sqrt(self.seen[name][at])
+        seen = self.seen[name]
+        seen += gradient * gradient
+        self.m[name] -= RATE * gradient / np.sqrt(seen)
+
+    def _step_rows(self, name: str, place: int, gradient: np.ndarray, rows: np.ndarray) -> None:
+        """The same for some rows, each named once, of one place."""
+        values, seen = self.m[name][place], self.seen[name][place]
+        total = gradient * gradient
+        total += seen.take(rows, axis=0, mode="wrap")
+        seen[rows] = total
+        values[rows] = values.take(rows, axis=0, mode="wrap") - RATE * gradient / np.sqrt(total)
 
     def train(self, around: np.ndarray, word: np.ndarray) -> None:
         n = len(word)
-        h = self.hidden(around)
-        cls, within = word // self.per_class, word % self.per_class
-        d_class = _softmax(h @ self.m["class_w"] + self.m["class_b"])
-        d_class[np.arange(n), cls] -= 1
-        d_class /= n
-        d_h = d_class @ self.m["class_w"].T
-        order, first = _groups(cls)
-        for rows in np.split(order, first[1:]):
-            if not len(rows):
-                continue
-            c = int(cls[rows[0]])
-            own = h[rows]
-            d_word = _softmax(own @ self.m["word_w"][c] + self.m["word_b"][c])
-            d_word[np.arange(len(rows)), within[rows]] -= 1
-            d_word /= n
-            d_h[rows] += d_word @ self.m["word_w"][c].T
-            self._step("word_w", own.T @ d_word, c)
-            self._step("word_b", d_word.sum(axis=0), c)
-        self._step("class_w", h.T @ d_class)
-        self._step("class_b", d_class.sum(axis=0))
-        d_in = d_h * (1 - h * h)
-        self._step("bias", d_in.sum(axis=0))
+        order, cls, within, stretches = self._by_class(word)
+        around = around[:, order]
+        inputs = _with_ones(self.hidden(around))
+        classes, words = self._layers()
+        error = _softmax_error(classes, inputs, _bounded(classes), cls)
+        of_classes, of_words = inputs.T @ error, np.zeros_like(words)
+        d_h = error @ classes[:-1].T
+        bounded = _bounded(words)
+        for c, a, b in stretches:
+            error = _softmax_error(words[c], inputs[a:b], bounded, within[a:b])
+            of_words[c] = inputs[a:b].T @ error
+            d_h[a:b] += error @ words[c, :-1].T
+        of_classes /= n
+        # Classes without words have no gradient and stay as they are.
+        of_words /= n
+        self._step("class_w", of_classes[:-1])
+        self._step("class_b", of_classes[-1])
+        self._step("word_w", of_words[:, :-1])
+        self._step("word_b", of_words[:, -1])
+        h = inputs[:, :-1]
+        d_h *= (1 - h * h) / n
+        self._step("bias", d_h.sum(axis=0))
         for p in range(len(PLACES)):
-            order, first = _groups(around[p])
-            rows = around[p][order[first]]
-            self._step("embed", np.add.reduceat(d_in[order], first, axis=0), (p, rows))
+            order, ids, first = _groups(around[p], self.m["embed"].shape[1])
+            self._step_rows("embed", p, np.add.reduceat(d_h.take(order, axis=0), first, axis=0), ids[first])
 
 
 def _windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
