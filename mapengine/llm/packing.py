@@ -12,6 +12,12 @@ So deficits are carried across sequences and partitions by arithmetic, and every
 its own documents once it knows where they begin in their queues. Those beginnings are prefix
 sums that cut hot sources into ranges.
 
+The largest sources have queues of their own. All others, however many, hang in a tree of small
+groups whose root is one more queue: a group is the stream that a round-robin of its members
+gives, with their own proportions, and has the sum of their weights in the group above. A
+document's place is worked out level by level, from the streams on its path alone, which come
+to it by a join.
+
 Only the last sequence can be short; it is cut into sequences of falling powers of two, so that
 nothing is padded at all.
 """
@@ -30,12 +36,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mapengine.llm.common import col, running_total, text_of
+from mapengine.llm.common import col, running_total, stored, text_of
 from mapengine.llm.tokens import PIECE
 from mapengine.workspace import new_dir
 
-# Queues of their own; all further, smaller sources form one more queue together.
+# Queues of their own; all further, smaller sources form one more queue, a tree, together.
 MAX_QUEUES = 256
+# Members of a group in the tree: exactly so many groups at most, and about so many sources.
+FAN = 16
 # Documents, and pieces at most, that are placed together; a document is never divided.
 _TOGETHER, _PIECES = 512, 1 << 16
 # Quanta are multiples of this part of a token, so that positions are exact in 64 bits.
@@ -105,7 +113,7 @@ class Schedule:
     def __init__(self, sizes: list[int], weights: list[float], length: int):
         self.length = length
         self.sizes = np.array(sizes, dtype=np.int64)
-        share = np.array(weights, dtype=float) / sum(weights)
+        share = np.array(weights, dtype=float) / (sum(weights) or 1.0)
         self.quanta = np.maximum(1, np.rint(share * length * (1 << _FRACTION))).astype(np.int64)
         total = int(self.sizes.sum())
         self.full, rest = divmod(total, length)
@@ -120,6 +128,11 @@ class Schedule:
     def pieces(self, queue: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Pieces of documents that begin at ``begin`` in ``queue``: document's index, first
         token within it, length, sequence and offset there."""
+        return self._cut(*self.stream(queue, begin, size))
+
+    def stream(self, queue: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Stretches of the same documents that are served at once: document's index, first token
+        within it, length and position among all tokens served."""
         quanta = self.quanta[queue]
         # The round that serves a token: the last one before which no more was served.
         first = _round_of(begin, quanta)
@@ -143,7 +156,7 @@ class Schedule:
         low = np.maximum(begin[doc], start_of_turn)
         high = np.minimum((begin + size)[doc], end_of_turn)
         position = before + within + low - start_of_turn
-        return self._cut(doc, low - begin[doc], high - low, position)
+        return doc, low - begin[doc], high - low, position
 
     def slices(self, queue: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
         """First document and number of documents that are placed together."""
@@ -179,6 +192,50 @@ def _round_of(token: np.ndarray, quanta: np.ndarray) -> np.ndarray:
     return ((token + 1 << _FRACTION) + quanta - 1) // quanta - 1
 
 
+def _tree(sources: DataFrame, n_sources: int) -> DataFrame:
+    """``name, path`` of each of ``sources`` (``name, n, w``): the groups it is in, root first, each
+    with the sizes and weights of its members and the number of its own member there."""
+    groups = -(-n_sources // FAN)
+    nodes = sources.select(F.pmod(F.xxhash64("name"), F.lit(groups)).alias("g"), F.col("name").alias("m"), "n", "w")
+    found, below = nodes.select(F.col("m").alias("name"), "g", "m"), []
+    while True:
+        lists = nodes.groupBy("g").agg(
+            F.array_sort(F.collect_list(F.struct("m", "n", "w"))).alias("of"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+        step = F.struct(
+            F.col("of.n").alias("sizes"), F.col("of.w").cast("array<double>").alias("weights"),
+            (F.array_position("of.m", F.col("m")) - 1).cast("int").alias("own"))
+        found = found.join(lists.select("g", "of"), "g").withColumn("path", F.concat(F.array(step), *below))
+        if groups == 1:
+            return found.select("name", "path")
+        groups = -(-groups // FAN)
+        up = F.floor(F.col("g") / FAN)
+        nodes = lists.select(up.alias("g"), F.col("g").alias("m"), "n", "w")
+        found, below = found.select("name", up.alias("g"), F.col("g").alias("m"), "path"), [F.col("path")]
+
+
+def _nested(top: Schedule, path: list[dict]) -> list[tuple[Schedule, int]]:
+    """The schedules on a path, ``top`` first, and the number of its own queue in each.
+
+    A round of a group is as long as what its parent serves of it in one round, so that
+    sequences have the group's proportions, but for a token per member at least.
+    """
+    out = [(top, len(top.sizes) - 1)]
+    for step in path:
+        above, own = out[-1]
+        length = max(len(step["sizes"]), int(above.quanta[own]) >> _FRACTION)
+        out.append((Schedule(step["sizes"], step["weights"], length), step["own"]))
+    return out
+
+
+def _nested_pieces(levels: list[tuple[Schedule, int]], begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces as ``Schedule.pieces`` gives them, for documents of one source in the tree."""
+    doc, start, length, position = np.arange(len(begin)), np.zeros(len(begin), np.int64), size, begin
+    for schedule, own in reversed(levels):
+        of, first, length, position = schedule.stream(np.full(len(doc), own), position, length)
+        doc, start = doc[of], start[of] + first
+    return levels[0][0]._cut(doc, start, length, position)
+
+
 def pack(
     docs: DataFrame,
     vocabulary: str,
@@ -221,34 +278,91 @@ def pack(
     largest = totals.orderBy(F.col("n").desc(), F.col("source").asc_nulls_last()).limit(MAX_QUEUES)
     ranked = largest.withColumn("queue", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     rows = ranked.collect()  # at most MAX_QUEUES
-    rest = (totals.agg(F.sum("n")).first()[0] or 0) - sum(r["n"] for r in rows)
-    sizes = [r["n"] for r in rows] + ([rest] if rest else [])
-    if not sizes:
-        sizes = [1]
-    by_source = None if weights is None else [float(weights.get(r["source"], 0.0)) for r in rows] + ([1.0] if rest else [])
-    schedule = Schedule(sizes, by_source or [float(s) for s in sizes], length)
+    sizes = [r["n"] for r in rows] or [1]
+    by_source = [float(n) for n in sizes] if weights is None or not rows else [float(weights.get(r["source"], 0.0)) for r in rows]
 
     queues = spark.createDataFrame([(r["source"], r["queue"]) for r in rows], "queued STRING, queue INT")
-    queued = tokens.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("queued")), "left").select(
-        "doc_id", "source", "th", "ids", "draw", "n", F.coalesce("queue", F.lit(len(rows))).alias("queue")
-    )
-    placed = running_total(queued, ["queue"], ["draw", "doc_id", "th"], "n", "begin")
+    numbered = F.broadcast(queues), F.col("source").eqNullSafe(F.col("queued"))
+    queued = tokens.join(*numbered, "left").drop("queued")
+    # One name for each source, NULL too.
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    others = totals.join(*numbered, "left_anti").select(name.alias("name"), "n", _weight(spark, name, weights).alias("w"))
+    whole = others.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    kept = ["doc_id", "source", "th", "ids", "draw", "n", "queue"]
+    if whole["k"]:
+        sizes.append(whole["n"])
+        by_source.append(float(whole["w"]))
+        # Written once: sums of weights may come out differently in another run of a task.
+        tree = stored(_tree(others, whole["k"]), "tree")
+        kind = tree.schema["path"].dataType.simpleString()
+        rest = queued.where("queue IS NULL").withColumn("name", name).join(tree, "name").withColumn("queue", F.lit(len(rows)))
+        large = queued.where("queue IS NOT NULL").withColumns({"name": F.lit(""), "path": F.lit(None).cast(kind)})
+        queued = large.select(*kept, "name", "path").unionByName(rest.select(*kept, "name", "path"))
+        placed = running_total(queued, ["queue", "name"], ["draw", "doc_id", "th"], "n", "begin")
+    else:
+        placed = running_total(queued.select(*kept), ["queue"], ["draw", "doc_id", "th"], "n", "begin")
+    schedule = Schedule(sizes, by_source, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels: list[tuple[Schedule, int]] = []
+        last = None
         for batch in batches:
-            for at, n in schedule.slices(*(batch[c].to_numpy() for c in ("queue", "begin", "n"))):
-                yield _pieces_of(batch.slice(at, n), schedule, width)
-
-    return placed.select("doc_id", "source", "queue", "begin", "n", "ids").mapInArrow(
+            for at, some in _by_source(batch):
+                if at is None:
+                    for first, n in schedule.slices(*(some[c].to_numpy() for c in ("queue", "begin", "n"))):
+                        own = some.slice(first, n)
+                        yield _pieces_of(own, schedule.pieces(*(own[c].to_numpy() for c in ("queue", "begin", "n"))), width)
+                    continue
+                if at != last:
+                    levels, last = _nested(schedule, some["path"][0].as_py()), at
+                # Every token may be a piece.
+                ends = np.cumsum(some["n"].to_numpy())
+                first = 0
+                while first < len(ends):
+                    before = ends[first - 1] if first else 0
+                    end = max(first + 1, int(np.searchsorted(ends, before + _PIECES, side="right")))
+                    own = some.slice(first, end - first)
+                    yield _pieces_of(own, _nested_pieces(levels, own["begin"].to_numpy(), own["n"].to_numpy()), width)
+                    first = end
+
+    columns = ["doc_id", "source", "queue", "begin", "n", "ids", *(["name", "path"] if whole["k"] else [])]
+    return placed.select(*columns).mapInArrow(
         cut,
         f"doc_id {placed.schema['doc_id'].dataType.simpleString()}, source string, start long, length long, "
         "doc_tokens long, sequence_id long, offset long, ids binary",
     )
 
 
-def _pieces_of(batch: pa.RecordBatch, schedule: Schedule, width: int) -> pa.RecordBatch:
-    queue, begin, n = (batch[c].to_numpy() for c in ("queue", "begin", "n"))
-    doc, start, length, sequence, offset = schedule.pieces(queue, begin, n)
+def _weight(spark, name: Column, weights: Mapping[str | None, float] | None) -> Column:
+    """A source's weight: its tokens where no weights are given."""
+    if weights is None:
+        return F.col("n")
+    given = {"" if k is None else f"={k}": float(v) for k, v in weights.items()}
+    if not given:
+        return F.lit(0.0)
+    # As large as what the caller gave.
+    known = F.map_from_arrays(F.array(*map(F.lit, given)), F.array(*map(F.lit, given.values())))
+    return F.coalesce(F.element_at(known, name), F.lit(0.0))
+
+
+def _by_source(batch: pa.RecordBatch) -> Iterator[tuple[str | None, pa.RecordBatch]]:
+    """Rows of sources with queues of their own under None, all others by the names of their sources.
+
+    Rows come in order of the queue and the name."""
+    if "name" not in batch.schema.names:
+        yield None, batch
+        return
+    names = np.array(batch["name"].to_pylist(), dtype=object)
+    names[np.array(batch["path"].is_null())] = None
+    new = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+    for a, b in zip(new[:-1], new[1:], strict=True):
+        if b > a:
+            yield names[a], batch.slice(a, b - a)
+
+
+def _pieces_of(batch: pa.RecordBatch, pieces: tuple[np.ndarray, ...], width: int) -> pa.RecordBatch:
+    n = batch["n"].to_numpy()
+    doc, start, length, sequence, offset = pieces
     wide = [np.frombuffer(b.as_py(), f"<u{width}").astype("<u4").tobytes() for b in batch["ids"]]
     ids = [wide[d][4 * s : 4 * (s + k)] for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
     taken = batch.select(["doc_id", "source"]).take(pa.array(doc))

@@ -128,6 +128,37 @@ def test_target_weights_and_common_queue(documents, monkeypatch):
     assert abs(share["s1"] - 96) <= 3 and abs(share["s2"] - 32) <= 3
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_proportions_of_more_sources_than_queues(documents, monkeypatch, weighted):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    monkeypatch.setattr(packing, "FAN", 2)
+    # Fourteen sources, one of them NULL, in a tree of several levels below three queues.
+    rows = [(i, "some words " * (20 + 5 * (i % 14)), f"s{i % 14}" if i % 14 else None) for i in range(420)]
+    names = [None, *(f"s{k}" for k in range(1, 14))]
+    given = {name: 1.0 + k % 4 for k, name in enumerate(names)} if weighted else None
+    pieces = packing.pack(documents(*rows), VOCABULARY, RANKS, length=512, weights=given).collect()
+    sizes = check(pieces, rows, 512)
+    total, held = defaultdict(int), defaultdict(int)
+    for p in pieces:
+        total[p.source] += p.length
+        held[p.sequence_id, p.source] += p.length
+    share = given or total
+    # With weights, until the first source is used up.
+    rounds = min(total[s] / (512 * share[s] / sum(share.values())) for s in names)
+    full = range(int(rounds) - 2)
+    assert len(full) > 10 and all(sizes[s] == 512 for s in full)
+    for s in full:
+        for name in names:
+            assert abs(held[s, name] - 512 * share[name] / sum(share.values())) <= 8, (s, name)
+
+
+def test_no_weight_at_all_still_packs_everything(documents, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 2)
+    rows = [(i, "some words " * 9, f"s{i % 5}") for i in range(20)]
+    for given in ({}, {"s1": 0.0}):
+        check(packing.pack(documents(*rows), VOCABULARY, RANKS, length=64, weights=given).collect(), rows, 64)
+
+
 def test_packing_awkward_rows(documents, awkward):
     docs = documents(*awkward)
     check(packing.pack(docs, VOCABULARY, RANKS).collect(), awkward, 2048)
