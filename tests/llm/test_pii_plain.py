@@ -1,0 +1,174 @@
+"""Every kind of pseudonym against plain Python, and back again by the inverse permutation."""
+
+import datetime
+import hashlib
+import random
+
+import pytest
+
+from mapengine.llm import pii
+
+KEY = "a secret"
+LETTERS = {**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", ("a", 26)), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", ("A", 26)),
+           **dict.fromkeys("0123456789", ("0", 10))}
+
+
+def draw(*parts):
+    return int(hashlib.sha256("|".join(map(str, (KEY, *parts))).encode()).hexdigest()[:15], 16)
+
+
+def permute(x, left, right, tweak, back=False):
+    a, b = divmod(x, right)
+    for i in reversed(range(8)) if back else range(8):
+        sign = -1 if back else 1
+        if i % 2 == 0:
+            a = (a + sign * draw(tweak, i, b)) % left
+        else:
+            b = (b + sign * draw(tweak, i, a)) % right
+    return a * right + b
+
+
+def permute_text(text, back=False):
+    cut = len(text) // 2
+    halves = [text[:cut], text[cut:]]
+    for i in reversed(range(8)) if back else range(8):
+        own, other = halves[i % 2], halves[1 - i % 2]
+        out = ""
+        for k, c in enumerate(own):
+            if c in LETTERS:
+                first, n = LETTERS[c]
+                by = draw("text", i, k, other) % n
+                c = chr((ord(c) - ord(first) + (-by if back else by)) % n + ord(first))
+            out += c
+        halves[i % 2] = out
+    return "".join(halves)
+
+
+def digits_of(value):
+    return "".join(c for c in value if c.isdigit())
+
+
+def spelled_like(value, digits):
+    left = iter(digits)
+    return "".join(next(left) if c.isdigit() else c for c in value)
+
+
+def check_digit(body):
+    total = 0
+    for i, c in enumerate(reversed(body)):
+        d = int(c) * (1 if i % 2 else 2)
+        total += d // 10 + d % 10
+    return str(-total % 10)
+
+
+def card(value, back=False):
+    d = digits_of(value)
+    n = len(d) - 2
+    body = d[0] + str(permute(int(d[1:-1]), 10 ** (n // 2), 10 ** (n - n // 2), "card", back)).zfill(n)
+    return spelled_like(value, body + check_digit(body))
+
+
+def phone(value, back=False):
+    d = digits_of(value)
+    area, line = int(d[-10:-7]), int(d[-7:])
+    if area >= 200 and line >= 2_000_000:
+        x = permute((area - 200) * 8_000_000 + line - 2_000_000, 800, 8_000_000, "phone", back)
+        new = f"{x // 8_000_000 + 200}{x % 8_000_000 + 2_000_000}"
+    else:
+        # In the order of the areas: those below 200 with all lines, then the others with low lines.
+        at = area * 10_000_000 + line if area < 200 else 2_000_000_000 + (area - 200) * 2_000_000 + line
+        x = permute(at, 60_000, 60_000, "other", back)
+        if x >= 2_000_000_000:
+            a, line = divmod(x - 2_000_000_000, 2_000_000)
+            x = (a + 200) * 10_000_000 + line
+        new = str(x).zfill(10)
+    return spelled_like(value, d[:-10] + new)
+
+
+def abroad(value, back=False):
+    d = digits_of(value)
+    n = len(d) - 2
+    return spelled_like(value, d[:2] + str(permute(int(d[2:]), 10 ** (n // 2), 10 ** (n - n // 2), "abroad", back)).zfill(n))
+
+
+AREAS = [a for a in range(1, 900) if a != 666]
+
+
+def ssn(value, back=False):
+    area, group, serial = map(int, value.split("-"))
+    x = permute((AREAS.index(area) * 99 + group - 1) * 9_999 + serial - 1, 898, 989_901, "ssn", back)
+    x, serial = divmod(x, 9_999)
+    area, group = divmod(x, 99)
+    return f"{AREAS[area]:03}-{group + 1:02}-{serial + 1:04}"
+
+
+def ip(value, back=False):
+    x = permute(int.from_bytes(bytes(map(int, value.split(".")))), 1 << 16, 1 << 16, "ip", back)
+    return ".".join(map(str, x.to_bytes(4)))
+
+
+def date(value, form, back=False):
+    first = datetime.date(1800, 1, 1)
+    day = datetime.datetime.strptime(value, form).date()
+    new = first + datetime.timedelta(permute((day - first).days, 189, 773, "date", back))
+    return new.strftime(form)
+
+
+def mail(value, back=False):
+    local, host = value.split("@")
+    return f"{permute_text(local, back)}@{host}"
+
+
+def cases(seed):
+    r = random.Random(seed)
+
+    def number(n):
+        return "".join(r.choice("0123456789") for _ in range(n))
+
+    out = []
+    for n, groups in ((16, (4, 4, 4, 4)), (15, (4, 6, 5)), (13, (13,)), (19, (19,))):
+        body = r.choice("3456") + number(n - 2)
+        whole, at, parts = body + check_digit(body), 0, []
+        for g in groups:
+            parts.append(whole[at : at + g])
+            at += g
+        out.append(("card", r.choice(" -").join(parts), card))
+    for area, exchange in ((r.randint(200, 999), r.randint(200, 999)), (r.randint(0, 199), r.randint(0, 999)), (r.randint(200, 999), r.randint(0, 199))):
+        out.append(("phone", f"+1 ({area:03}) {exchange:03}-{number(4)}", phone))
+    out.append(("phone", f"({r.randint(200, 999)}) {r.randint(200, 999)}-{number(4)}", phone))
+    out.append(("abroad", f"+44 {number(2)} {number(4)} {number(4)}", abroad))
+    out.append(("abroad", f"+{r.randint(20, 99)}{number(9)}", abroad))
+    out.append(("ssn", f"{r.choice(AREAS):03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}", ssn))
+    out.append(("ip", ".".join(str(r.randint(0, 255)) for _ in range(4)), ip))
+    day = datetime.date(1800, 1, 1) + datetime.timedelta(r.randrange(189 * 773))
+    for form in ("%Y-%m-%d", "%m/%d/%Y", "%d.%m.%Y"):
+        out.append(("date", day.strftime(form), lambda v, back=False, form=form: date(v, form, back)))
+    local = "".join(r.choice("abcXYZ019._-+") for _ in range(r.randint(1, 12)))
+    out.append(("mail", f"{local}@mail.example.com", mail))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_kind_against_plain_python_and_back(spark, seed):
+    some = [c for k in range(12) for c in cases(100 * seed + k)]
+    rows = spark.createDataFrame([(i, f"see {v} here") for i, (_, v, _) in enumerate(some)], "doc_id long, text string")
+    found = pii.pseudonymised(rows, KEY).orderBy("doc_id").collect()
+    for row, (kind, value, plain) in zip(found, some, strict=True):
+        want = plain(value)
+        assert (row.text, row.n_private) == (f"see {want} here", 1), (kind, value)
+        assert [(p.kind, p.new) for p in row.private] == [(kind, want)]
+        assert plain(want, back=True) == value, (kind, value)
+
+
+def test_edges_of_the_ranges(spark):
+    edges = [
+        ("ssn", "001-01-0001", ssn), ("ssn", "665-99-9999", ssn), ("ssn", "667-01-0001", ssn), ("ssn", "899-99-9999", ssn),
+        ("ip", "0.0.0.0", ip), ("ip", "255.255.255.255", ip), ("phone", "+1 (200) 200-0000", phone),
+        ("phone", "+1 (999) 999-9999", phone), ("phone", "+1 (199) 999-9999", phone), ("phone", "+1 (000) 000-0000", phone),
+        ("date", "1800-01-01", lambda v, back=False: date(v, "%Y-%m-%d", back)),
+        ("date", "2199-12-31", lambda v, back=False: date(v, "%Y-%m-%d", back)),
+    ]
+    rows = spark.createDataFrame([(i, v) for i, (_, v, _) in enumerate(edges)], "doc_id long, text string")
+    found = [r.text for r in pii.pseudonymised(rows, KEY).orderBy("doc_id").collect()]
+    assert found == [plain(v) for _, v, plain in edges]
+    assert [plain(new, back=True) for new, (_, _, plain) in zip(found, edges, strict=True)] == [v for _, v, _ in edges]
