@@ -6,6 +6,7 @@ Parts are points, orders are paths with one ref per line item, customers are rel
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,36 +65,45 @@ def _phone(area: str, number: Column) -> Column:
     return F.concat(F.lit(f"({area}) 555-"), F.lpad((number % 1000).cast("string"), 4, "0"))
 
 
-def _street() -> Column:
-    kind = F.col("p_size") % 3
+def _street(p: Mapping[str, Column]) -> Column:
+    kind = p["p_size"] % 3
     end = F.when(kind == 0, " St.").when(kind == 1, " Street").otherwise("")
-    return F.concat("p_name", end)
+    return F.concat(p["p_name"], end)
 
 
-def node_tag_values() -> dict[str, Column]:
+class _Named(dict):
+    """Columns by name; those not given are the columns of the table."""
+
+    def __missing__(self, name: str) -> Column:
+        return F.col(name)
+
+
+def node_tag_values(given: Mapping[str, Column] | None = None) -> dict[str, Column]:
+    p = _Named(given or {})
     return {
-        "amenity": F.concat("p_type", F.lit(" "), _text("p_size")),
-        "kind": F.col("p_type"),
-        "building": F.when(F.col("p_size") % 3 == 0, "place_of_worship").when(F.col("p_size") % 3 == 1, "restaurant").otherwise("other"),
-        "religion": F.col("p_brand"),
-        "cuisine": F.col("p_type"),
-        "addr:zipcode": _postcode(F.col("p_size")),
-        "addr:city": F.col("p_brand"),
-        "name": F.col("p_name"),
-        "size.code": _text("p_size"),
-        "contact:phone": _phone("404", F.col("p_partkey")),
-        "addr:postcode": _postcode(F.col("p_size")),
-        "addr:street": _street(),
-        "note": F.concat(F.col("p_name"), F.lit(" & \""), F.col("p_brand"), F.lit("\" <'x'> ")),
+        "amenity": F.concat(p["p_type"], F.lit(" "), p["p_size"].cast("string")),
+        "kind": p["p_type"],
+        "building": F.when(p["p_size"] % 3 == 0, "place_of_worship").when(p["p_size"] % 3 == 1, "restaurant").otherwise("other"),
+        "religion": p["p_brand"],
+        "cuisine": p["p_type"],
+        "addr:zipcode": _postcode(p["p_size"]),
+        "addr:city": p["p_brand"],
+        "name": p["p_name"],
+        "size.code": p["p_size"].cast("string"),
+        "contact:phone": _phone("404", p["p_partkey"]),
+        "addr:postcode": _postcode(p["p_size"]),
+        "addr:street": _street(p),
+        "note": F.concat(p["p_name"], F.lit(" & \""), p["p_brand"], F.lit("\" <'x'> ")),
     }
 
 
-def way_tag_values() -> dict[str, Column]:
+def way_tag_values(given: Mapping[str, Column] | None = None) -> dict[str, Column]:
+    o = _Named(given or {})
     return {
-        "addr:postcode": _postcode(F.col("o_custkey") % 50),
-        "order:priority:level": F.col("o_orderpriority"),
-        "Status": F.col("o_orderstatus"),
-        "phone": _phone("678", F.col("o_custkey")),
+        "addr:postcode": _postcode(o["o_custkey"] % 50),
+        "order:priority:level": o["o_orderpriority"],
+        "Status": o["o_orderstatus"],
+        "phone": _phone("678", o["o_custkey"]),
     }
 
 
@@ -219,118 +229,145 @@ def _tag(name: str, attributes: dict[str, Column], end: str) -> Column:
     return F.concat(*parts, F.lit(end))
 
 
-def _lines(rows: DataFrame, section: int, key: str, rank: int, line: Column, *sort: str) -> DataFrame:
-    """Markup lines with the columns that put them in document order."""
-    padded = [F.col(c).cast("double") for c in sort] + [F.lit(0.0)] * (4 - len(sort))
+_SORT = ("sort0", "sort1", "sort2", "sort3")
+_ORDER = ("section", "key", "rank", *_SORT)
+
+
+def _placed(rows: DataFrame, section: int, key: str, rank: int, of: str, *columns: str, sort: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the columns that put their lines in document order; ``columns`` are held as the struct ``of``."""
+    padded = [F.col(c).cast("double") for c in sort] + [F.lit(0.0)] * (len(_SORT) - len(sort))
     return rows.select(
         F.lit(section).alias("section"), F.col(key).alias("key"), F.lit(rank).alias("rank"),
-        *[c.alias(f"sort{i}") for i, c in enumerate(padded)], line.alias("line"),
+        *[c.alias(name) for name, c in zip(_SORT, padded, strict=True)], F.struct(*columns).alias(of),
     )
 
 
-def markup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edge(spark: SparkSession, section: int, key: int, rank: int, line: str) -> DataFrame:
+    return _placed(spark.range(1).select(F.lit(key).cast("long").alias("key"), F.lit(line).alias("line")), section, "key", rank, "edge", "line")
+
+
+def markup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the extract in no order yet: values alone, so that they and not their markup are sorted and shuffled."""
     part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
     items, customers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "customer")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        _edge(spark, 0, 0, 0, '<?xml version="1.0" encoding="UTF-8"?>'),
+        _edge(spark, 0, 0, 1, '<map version="0.6">'),
+        _edge(spark, 0, 0, 2, '<bounds minlat="0" maxlat="1"/>'),
+        _placed(part, 1, "p_partkey", 0, "node", "p_brand", "p_size", "p_retailprice", "p_type", "p_name"),
+        _placed(orders, 2, "o_orderkey", 0, "way", "o_custkey"),
+        _placed(items, 2, "l_orderkey", 1, "nd", "l_partkey", sort=("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")),
+        _placed(orders, 2, "o_orderkey", 2, "way_end", "o_custkey", "o_orderpriority", "o_orderstatus"),
+        _placed(customers, 3, "c_custkey", 0, "relation", "c_name", "c_nationkey", "c_mktsegment"),
+        _edge(spark, 9, 0, 0, "</map>"),
+    ])
+
+
+def _joined(*lines: Column) -> Column:
+    return F.concat_ws("\n", *[F.coalesce(line, F.lit("")) for line in lines])
+
+
+def _tags(values: Callable[..., dict[str, Column]], known: dict[str, Column]) -> list[Column]:
+    return [_tag("tag", {"k": F.lit(k), "v": v}, "/>") for k, v in values(known).items()]
+
+
+def _interpreted(make: Callable[[Column, Column], Column]) -> Column:
+    given = F.struct(F.col("key"), F.col(make.__name__).alias("row"))
+    return F.transform(F.array(given), lambda x: make(x["key"], x["row"]))[0]
+
+
+def _text_of(commented: bool) -> Column:
+    """The markup of a row. Elements stand in interpreted lambdas, so the loop over refs stays small enough to compile."""
     common = {"visible": F.lit("true"), "version": F.lit("1"), "timestamp": F.lit(STAMP)}
-    node = {
-        "id": F.col("p_partkey"), **common, "changeset": F.col("p_partkey") % 100,
-        "user": F.col("p_brand"), "uid": F.col("p_size"),
-        "lat": F.col("p_retailprice"), "lon": F.col("p_size"),
-    }
-    way = {
-        "id": F.col("o_orderkey"), **common, "changeset": F.col("o_orderkey") % 100,
-        "user": F.col("o_custkey"), "uid": F.col("o_custkey"),
-    }
-    relation = {"id": F.col("c_custkey"), **common, "user": F.col("c_name"), "uid": F.col("c_custkey")}
+
+    def node(key: Column, r: Column) -> Column:
+        head = {"id": key, **common, "changeset": key % 100, "user": r["p_brand"], "uid": r["p_size"], "lat": r["p_retailprice"], "lon": r["p_size"]}
+        whole = _joined(_tag("node", head, ">"), *_tags(node_tag_values, {"p_partkey": key, **{c: r[c] for c in ("p_brand", "p_size", "p_type", "p_name")}}), F.lit("</node>"))
+        if not commented:
+            return whole
+        comment = _joined(
+            F.concat(F.lit("<!-- <node id='"), key, F.lit("'> a & b")), F.lit('<tag k="a" v="b"/><tag k=c v=d> </way>'), F.lit("</node> -->"))
+        return F.when(key % 11 == 0, _joined(comment, whole)).otherwise(whole)
+
+    def way(key: Column, r: Column) -> Column:
+        return _tag("way", {"id": key, **common, "changeset": key % 100, "user": r["o_custkey"], "uid": r["o_custkey"]}, ">")
+
+    def way_end(key: Column, r: Column) -> Column:
+        tags, end = _tags(way_tag_values, {c: r[c] for c in ("o_custkey", "o_orderpriority", "o_orderstatus")}), F.lit("</way>")
+        if not commented:
+            return _joined(*tags, end)
+        data = F.lit('<![CDATA[ <nd ref="1"/> --> </way> ]]><!-- <tag k="x" v="y"/> -->')
+        return F.when(key % 13 == 0, _joined(*tags, data, end)).otherwise(_joined(*tags, end))
 
     def member(kind: str, ref: Column) -> Column:
         return _tag("member", {"type": F.lit(kind), "ref": ref, "role": F.lit("")}, "/>")
 
-    edge = spark.range(1)
-    out = [
-        _lines(edge, 0, "id", 0, F.lit('<?xml version="1.0" encoding="UTF-8"?>')),
-        _lines(edge, 0, "id", 1, F.lit('<map version="0.6">')),
-        _lines(edge, 0, "id", 2, F.lit('<bounds minlat="0" maxlat="1"/>')),
-        _lines(part, 1, "p_partkey", 0, _tag("node", node, ">")),
-        *[
-            _lines(part, 1, "p_partkey", 1 + i, _tag("tag", {"k": F.lit(k), "v": v}, "/>"))
-            for i, (k, v) in enumerate(node_tag_values().items())
-        ],
-        _lines(part, 1, "p_partkey", 99, F.lit("</node>")),
-        _lines(orders, 2, "o_orderkey", 0, _tag("way", way, ">")),
-        _lines(items, 2, "l_orderkey", 1, _tag("nd", {"ref": F.col("l_partkey")}, "/>"),
-               "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"),
-        *[
-            _lines(orders, 2, "o_orderkey", 2 + i, _tag("tag", {"k": F.lit(k), "v": v}, "/>"))
-            for i, (k, v) in enumerate(way_tag_values().items())
-        ],
-        _lines(orders, 2, "o_orderkey", 99, F.lit("</way>")),
-        _lines(customers, 3, "c_custkey", 0, _tag("relation", relation, ">")),
-        _lines(customers, 3, "c_custkey", 1, member("node", F.col("c_nationkey"))),
-        _lines(customers, 3, "c_custkey", 2, member("way", F.col("c_custkey"))),
-        _lines(customers, 3, "c_custkey", 3,
-               _tag("tag", {"k": F.lit("type"), "v": F.col("c_mktsegment")}, "/>")),
-        _lines(customers, 3, "c_custkey", 99, F.lit("</relation>")),
-        _lines(edge, 9, "id", 0, F.lit("</map>")),
-    ]
-    return reduce(DataFrame.unionByName, out)
-
-
-_ORDER = ("section", "key", "rank", "sort0", "sort1", "sort2", "sort3")
-
-
-def _write_lines(lines: DataFrame, target: str) -> None:
-    """Lines as consecutive text files: ranges of lines, so no element is one task's load."""
-    lines.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select("line").write.mode("overwrite").text(target)
+    def relation(key: Column, r: Column) -> Column:
+        return _joined(
+            _tag("relation", {"id": key, **common, "user": r["c_name"], "uid": key}, ">"), member("node", r["c_nationkey"]), member("way", key),
+            _tag("tag", {"k": F.lit("type"), "v": r["c_mktsegment"]}, "/>"), F.lit("</relation>"))
+
+    text = F.when(F.col("nd").isNotNull(), F.concat(F.lit('<nd ref="'), F.col("nd.l_partkey").cast("string"), F.lit('"/>')))
+    for make in (node, way, way_end, relation):
+        text = text.when(F.col(make.__name__).isNotNull(), _interpreted(make))
+    return text.otherwise(F.col("edge.line"))
+
+
+def _write_rows(rows: DataFrame, target: str, commented: bool = False) -> None:
+    """Rows as consecutive text files: ranges of rows, so no element is one task's load."""
+    rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select(_text_of(commented).alias("line")).write.mode("overwrite").text(target)
 
 
 def write_markup(spark: SparkSession, sf_dir: str, target: str) -> None:
     """The extract as consecutive text files."""
-    _write_lines(markup_lines(spark, sf_dir), target)
+    _write_rows(markup_rows(spark, sf_dir), target)
 
 
 def write_commented(spark: SparkSession, sf_dir: str, target: str) -> list[str]:
     """The extract in two folders, with points and paths in comments and CDATA; a comment begins in the first
     folder and ends in the second."""
-    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
-    some, edge = part.where("p_partkey % 11 = 0"), spark.range(1)
-    lines = reduce(DataFrame.unionByName, [
-        markup_lines(spark, sf_dir),
-        _lines(some, 1, "p_partkey", -3, F.concat(F.lit("<!-- <node id='"), F.col("p_partkey"), F.lit("'> a & b"))),
-        _lines(some, 1, "p_partkey", -2, F.lit('<tag k="a" v="b"/><tag k=c v=d> </way>')),
-        _lines(some, 1, "p_partkey", -1, F.lit("</node> -->")),
-        _lines(orders.where("o_orderkey % 13 = 0"), 2, "o_orderkey", 50, F.lit('<![CDATA[ <nd ref="1"/> --> </way> ]]><!-- <tag k="x" v="y"/> -->')),
-        _lines(edge, 1, "id", 10_000, F.lit("")).withColumn("key", F.lit(1 << 60)).withColumn("line", F.lit('<!-- <way id="1"> <nd ref="2"/>')),
-        _lines(edge, 2, "id", -1, F.lit('<nd ref="3"/> </way> -->')).withColumn("key", F.lit(-1).cast("long")),
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        markup_rows(spark, sf_dir),
+        _edge(spark, 1, 1 << 60, 10_000, '<!-- <way id="1"> <nd ref="2"/>'),
+        _edge(spark, 2, -1, -1, '<nd ref="3"/> </way> -->'),
     ])
     paths = [f"{target}/first", f"{target}/second"]
-    _write_lines(lines.where("section < 2"), paths[0])
-    _write_lines(lines.where("section >= 2"), paths[1])
+    _write_rows(rows.where("section < 2"), paths[0], True)
+    _write_rows(rows.where("section >= 2"), paths[1], True)
     return paths
 
 
-_staged: dict[tuple[str, str], tuple[str, DataFrame, DataFrame]] = {}
+_made: dict[tuple[str, str, str], str | DataFrame] = {}
 
 
-def _staged_extract(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
-    """Path of the markup, staged rows and stored children; made once per application."""
-    key = (spark.conf.get("spark.app.id"), sf_dir)
-    if key not in _staged:
-        base = workspace.new_dir(spark, "extract")
-        write_markup(spark, sf_dir, f"{base}/markup")
-        rows = markup.stage_events(spark, f"{base}/markup", f"{base}/staged", keep_markup=True)
-        kids = order.store_children(rows, f"{base}/children")
-        _staged[key] = (f"{base}/markup", rows, kids)
-    return _staged[key]
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], str | DataFrame]):
+    """What ``make`` returns, made when first asked for and once per application."""
+    key = (spark.conf.get("spark.app.id"), sf_dir, name)
+    if key not in _made:
+        _made[key] = make(workspace.new_dir(spark, name))
+    return _made[key]
 
 
 def markup_path(spark: SparkSession, sf_dir: str) -> str:
-    return _staged_extract(spark, sf_dir)[0]
+    """The extract as text files."""
+    def written(target: str) -> str:
+        write_markup(spark, sf_dir, target)
+        return target
+
+    return _once(spark, sf_dir, "markup", written)
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged_extract(spark, sf_dir)[1]
+    """Its staged rows."""
+    return _once(spark, sf_dir, "staged", lambda target: markup.stage_events(spark, markup_path(spark, sf_dir), target))
+
+
+def staged_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the text of every tag."""
+    return _once(spark, sf_dir, "staged_markup", lambda target: markup.stage_events(
+        spark, markup_path(spark, sf_dir), target, keep_markup=True))
 
 
 def children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged_extract(spark, sf_dir)[2]
+    """Its stored children."""
+    return _once(spark, sf_dir, "children", lambda target: order.store_children(staged(spark, sf_dir), target))

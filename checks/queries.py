@@ -113,7 +113,7 @@ def load_tables(spark: SparkSession, sf: str) -> DataFrame:
 def sampled_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Writes a sample, scans it back and shows its elements with their children."""
     target = workspace.new_dir(spark, "sample")
-    extract.write_sample(d.staged(spark, sf), target)
+    extract.write_sample(d.staged_markup(spark, sf), target)
     kids = order.children(markup.events(spark, target))
     return kids.select(
         F.col("parent.name").alias("parent_name"), F.col("parent.id").cast("long").alias("parent_id"),

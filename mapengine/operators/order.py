@@ -176,7 +176,7 @@ def children(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
 
 def store_children(rows: DataFrame, target: str, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """``children``, computed once and stored so that each kind of child can be read alone."""
-    return store(children(rows, segment_bits), target, "name", "parent.name", "seq")
+    return store(children(rows, segment_bits), target)
 
 
 def element_index(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:

@@ -268,7 +268,7 @@ def stage_events(
     """
     paths = [path] if isinstance(path, str) else list(path)
     files = files_in_order(spark, paths)
-    staged = store(_scanned(spark, paths, files, attributes, keep_markup), target, "kind", "seq")
+    staged = store(_scanned(spark, paths, files, attributes, keep_markup), target)
     marked = F.col("mark").isNotNull()
     wrong = F.min(F.when(F.col("problem").isNotNull(), F.struct(*POSITION, "problem")))
     special = F.col("kind") == lexical.MARK
