@@ -110,18 +110,26 @@ def way_tag_values(given: Mapping[str, Column] | None = None) -> dict[str, Colum
 _OWNERS = (("part", "node", "p_partkey", node_tag_values), ("orders", "way", "o_orderkey", way_tag_values))
 
 
+def _all_tags(rows: DataFrame, elem: str, key: str, values: Callable[[], dict[str, Column]]) -> DataFrame:
+    return rows.select(
+        F.lit(elem).alias("elem"), F.col(key).alias("id"),
+        F.inline(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values().items()])),
+    )
+
+
 @cache
 def raw_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``elem, id, k, v``; each table is read once."""
     return reduce(DataFrame.unionByName, [
-        table(spark, sf_dir, name).select(
-            F.lit(elem).alias("elem"), F.col(key).alias("id"),
-            F.inline(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values().items()])),
-        )
-        for name, elem, key, values in _OWNERS
+        _all_tags(table(spark, sf_dir, name), elem, key, values) for name, elem, key, values in _OWNERS
     ])
 
 
+def spread_node_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``node_tags`` in more tasks than the file of parts has splits: a row of it becomes 13 tags."""
+    return shape.shape_node_tags(_all_tags(table(spark, sf_dir, "part").repartition("p_partkey"), *_OWNERS[0][1:]))
+
+
 @cache
 def tags_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a branch per key, of which a filter on the key drops all but one."""
@@ -171,25 +179,29 @@ def dirty_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refs of paths with their positions; only the columns they are placed by are shuffled."""
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    position = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1
+    placed = table(spark, sf_dir, "lineitem").select("l_orderkey", *order).withColumn("position", position)
+    return placed.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("node_id"), "position")
+
+
 def dirty_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All five tables as text with their ``element``; integers, floats and required fields fail."""
-    items = table(spark, sf_dir, "lineitem")
     node, way = F.col("id") * 2, F.col("id") * 2 + 1
     text = lambda df: df.select(*[c if c == "element" else F.col(c).cast("string").alias(c) for c in df.columns])
 
     def bad(df: DataFrame, column: str, when: Column, value: str | None) -> DataFrame:
         return df.withColumn(column, F.when(when, F.lit(value)).otherwise(F.col(column)))
 
-    i = (F.col("element") - F.col("element") % 2) / 2
+    i = F.shiftright("element", 1)
     every = lambda n: i % n == 0
-    order_of = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    refs = items.select(
-        F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("node_id"), (F.row_number().over(order_of) - 1).alias("position"))
     out = {
         "nodes": text(nodes(spark, sf_dir).withColumn("element", node)),
-        "nodes_tags": text(node_tags(spark, sf_dir).withColumn("element", node)),
+        "nodes_tags": text(spread_node_tags(spark, sf_dir).withColumn("element", node)),
         "ways": text(ways(spark, sf_dir).withColumn("element", way)),
-        "ways_nodes": text(refs.withColumn("element", way)),
+        "ways_nodes": text(refs(spark, sf_dir).withColumn("element", way)),
         "ways_tags": text(way_tags(spark, sf_dir).withColumn("element", way)),
     }
     out["nodes"] = bad(bad(bad(out["nodes"], "id", every(97), "x"), "user", every(89), None), "lat", every(83), "north")

@@ -212,13 +212,20 @@ def unvalidated_elements(spark: SparkSession, sf: str) -> DataFrame:
 def _counted_elements(spark: SparkSession, sf: str, mode: str) -> DataFrame:
     found = validate.check_elements(d.dirty_tables(spark, sf), workspace.new_dir(spark, "checked"), mode)
     out = []
-    for name, rows in found.kept.items():
-        owners = found.kept["nodes" if name.startswith("nodes") else "ways"].select("element")
-        counts = [
-            rows.agg(F.count("*").alias("kept")), found.rejected[name].agg(F.count("*").alias("rejected")),
-            rows.join(owners, "element", "left_anti").agg(F.count("*").cast("int").alias("orphans")),
-        ]
-        out.append(counts[0].join(counts[1]).join(counts[2]).select(F.lit(name).alias("table_name"), "*"))
+    for owner in ("nodes", "ways"):
+        names = [name for name in found.kept if name.startswith(owner)]
+        # One row per element: how many kept rows each table has of it, and so whether its own row is among them.
+        own = reduce(DataFrame.unionByName, [
+            found.kept[name].select("element", *[F.lit(int(n == name)).alias(n) for n in names]) for name in names
+        ]).groupBy("element").agg(*[F.sum(n).alias(n) for n in names])
+        orphan = F.col(owner) == 0
+        counted = own.agg(F.array(*[
+            F.struct(F.lit(n).alias("table_name"), F.coalesce(F.sum(n), F.lit(0)).alias("kept"),
+                     F.coalesce(F.sum(F.when(orphan, F.col(n))), F.lit(0)).cast("int").alias("orphans")) for n in names
+        ]).alias("tables")).select(F.inline("tables"))
+        rejected = reduce(DataFrame.unionByName, [
+            found.rejected[name].agg(F.lit(name).alias("table_name"), F.count("*").alias("rejected")) for name in names])
+        out.append(counted.join(rejected, "table_name").select("table_name", "kept", "rejected", "orphans"))
     return reduce(DataFrame.unionByName, out)
 
 

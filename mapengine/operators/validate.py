@@ -6,10 +6,12 @@ parse. What happens to a bad row is the caller's choice: set aside, stop, or not
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +44,15 @@ def row_errors(table: str) -> Column:
         error = F.when(F.col(field).isNull(), F.lit(f"required:{field}"))
         if kind != "string":
             error = error.when(_typed(field, kind).isNull(), F.lit(f"type:{field}"))
-        errors.append(error)
-    return F.array_compact(F.array(*errors))
+        errors.append(F.coalesce(error, F.lit("")))
+    # Not ``array_compact``: its lambda would keep all expressions beside it from being compiled.
+    return F.array_remove(F.array(*errors), "")
+
+
+def is_wrong(table: str) -> Column:
+    """Whether a row has any error, without listing them."""
+    bad = [F.col(f).isNull() if kind == "string" else _typed(f, kind).isNull() for f, kind in TABLE_KINDS[table].items()]
+    return reduce(lambda a, b: a | b, bad)
 
 
 def with_errors(rows: DataFrame, table: str) -> DataFrame:
@@ -165,15 +174,16 @@ class Checked:
     report: DataFrame
 
 
+def _as_text(rows: DataFrame, table: str) -> DataFrame:
+    """``table_name``, ``element``, the fields of the table as text, and where rows stood."""
+    return rows.select(
+        F.lit(table).alias("table_name"), "element", *[F.col(f).cast("string").alias(f) for f in TABLE_KINDS[table]],
+        *[c for c in _PLACE if c in rows.columns])
+
+
 def routed(raw: dict[str, DataFrame]) -> DataFrame:
     """Tables with ``element`` as one DataFrame: ``table_name``, ``element``, all fields, and where rows stood."""
-    text = [
-        rows.select(
-            F.lit(t).alias("table_name"), "element", *[F.col(f).cast("string").alias(f) for f in TABLE_KINDS[t]],
-            *[c for c in _PLACE if c in rows.columns])
-        for t, rows in raw.items()
-    ]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), text)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_as_text(rows, t) for t, rows in raw.items()])
     for name, kind in (*((f, "string") for f in FIELDS), ("file", "int"), ("block", "long"), ("seq", "long")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
@@ -193,6 +203,12 @@ def _checks(rows: DataFrame) -> DataFrame:
     return parsed.withColumn("errors", F.array_compact(F.array(*errors)))
 
 
+def _mark(wrong: Column, errors: Column, fields: Collection[str]) -> Column:
+    """What the report needs of a wrong row, in a column of its own: NULL in all others, so the report reads little else."""
+    held = [(F.col(f) if f in fields else F.lit(None).cast("string")).alias(f) for f in ("id", "key", "position")]
+    return F.when(wrong, F.struct(*held, errors.alias("errors")))
+
+
 def _reported(wrong: DataFrame) -> DataFrame:
     """A row per wrong field: where it is in its element, and what is wrong. Paths name a tag by its key, a ref by
     its position."""
@@ -215,18 +231,54 @@ def _stop_at_first(report: DataFrame) -> None:
     raise ValueError(f"bad row in {first['table_name']}: element {ids[0] if ids else None} has {found}")
 
 
+def _check_apart(raw: dict[str, DataFrame], target: str, mode: str) -> Checked:
+    """``check_elements`` of tables given apart: every table is parsed and written once, as text, as it comes."""
+    written = f"{target}/rows"
+
+    def write(table: str) -> None:
+        wrong = F.lit(False) if mode == "off" else is_wrong(table)
+        text = _as_text(raw[table], table).drop("table_name")
+        store(text.withColumn("wrong", _mark(wrong, row_errors(table), TABLE_KINDS[table])), f"{written}/table_name={table}")
+
+    rows = routed(raw)
+    # A table may have fewer tasks than there are cores: the jobs of all fill them together.
+    with ThreadPoolExecutor(len(raw)) as jobs:
+        list(jobs.map(inheritable_thread_target(rows.sparkSession)(write), raw))
+    mark = "struct<id: string, key: string, position: string, errors: array<string>>"
+    schema = rows.select("element", *FIELDS, *_PLACE, F.lit(None).cast(mark).alias("wrong"), "table_name").schema
+    stored = rows.sparkSession.read.schema(schema).parquet(written)
+    marked = stored.where(F.col("wrong").isNotNull()).select("element", "table_name", *_PLACE, "wrong.*")
+    report = store(_reported(marked), f"{target}/report")
+    if mode == "failfast":
+        _stop_at_first(report)
+    bad = store(report.select("element").distinct(), f"{target}/bad", "element")
+    kept, typed_, rejected = {}, {}, {}
+    for t, kinds in TABLE_KINDS.items():
+        mine = stored.where(F.col("table_name") == t).select("element", *kinds)
+        kept[t] = mine.join(bad, "element", "left_anti")
+        typed_[t] = typed(kept[t], t)
+        errors = row_errors(t)
+        own = F.when(F.size(errors) > 0, errors).otherwise(F.array(F.lit(ELEMENT_REJECTED)))
+        rejected[t] = mine.join(bad, "element", "left_semi").select("element", *kinds, own.alias("errors"))
+    return Checked(kept, typed_, rejected, report)
+
+
 def check_elements(raw: dict[str, DataFrame] | DataFrame, target: str, mode: str = "quarantine") -> Checked:
     """Checks elements as a whole: one bad row of an element or of its children rejects them all.
 
-    ``raw`` are tables with ``element``, or all their rows as one DataFrame (``routed``). One pass finds the wrong
-    rows, which are stored as the report; a second writes all rows once, parsed and marked, in a
-    folder per table and verdict below ``target``. The bad elements are joined to them by a side that Spark broadcasts
+    ``raw`` are tables with ``element``, or all their rows as one DataFrame (``routed``). Of tables given apart, one pass
+    parses every field and writes each row once, as text with its own fields, with a mark on the wrong ones; report and bad
+    elements come from the marks, and kept rows are told from rejected ones as they are read. Of one DataFrame, one pass finds
+    the wrong rows, which are stored as the report; a second writes all rows once, parsed and marked, in a
+    folder per table and verdict below ``target``. The bad elements are joined to rows by a side that Spark broadcasts
     while it is small. ``failfast`` stops with all that is wrong with the first bad element in document
     order; ``off`` rejects nothing.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
-    rows = _checks(routed(raw) if isinstance(raw, dict) else raw)
+    if isinstance(raw, dict):
+        return _check_apart(raw, target, mode)
+    rows = _checks(raw)
     if mode == "off":
         marked = rows.withColumn("rejected", F.lit(False))
         report = _reported(rows.where(F.lit(False)))
