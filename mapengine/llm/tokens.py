@@ -8,11 +8,14 @@ before its last token plus one, and nothing is ever encoded anew to answer how m
 prefix has or how long a prefix a budget allows.
 
 A text is cut before every run of blanks: pre-tokenization never looks across such a cut, so
-counts of the pieces add up. Pieces repeat, so their tables are kept in the worker.
+counts of the pieces add up. Pieces repeat, so what is known of them and of their prefixes is kept in
+the worker. Where only the count of a whole piece is asked for, the table is filled from its end: of the
+prefixes, only those that a token of the vocabulary follows are looked at.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from bisect import bisect_right
@@ -36,13 +39,16 @@ _CONTRACTED = ("'re", "'ve", "'ll")
 _REMEMBERED = 400_000
 # Bytes of a piece whose prefixes are remembered.
 _SHORT = 32
+# The rank of a merge that does not exist.
+_NEVER = 1 << 60
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The letter that stands for each byte: itself if printable, else the next from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(letters[b] for b in range(256))
 
 
 class PrefixCounter:
@@ -66,19 +72,48 @@ class PrefixCounter:
         self._pairs: dict[tuple[str, str], bool] = {}
         self._recent: dict[str, int] = {}
         self._older: dict[str, int] = {}
-        self._prefixes: dict[str, tuple[int, bytes]] = {}
-
-    def _merged(self, piece: str) -> list[str]:
-        """Plain BPE of a short piece, in byte letters."""
-        parts = list(piece)
+        self._prefixes: dict[str, tuple[int, int]] = {}
+        self._histories: dict[str, list[tuple[int, str, str]] | None] = {}
+
+    def _merges(self, token: str) -> list[tuple[int, str, str]] | None:
+        """Plain BPE of a token's letters: the rank of each merge, with the first and the last part before it,
+        and an entry for the end. None if they give other tokens."""
+        if token in self._histories:
+            return self._histories[token]
+        steps, parts = [], list(token)
         while len(parts) > 1:
-            ranks = [self._rank.get(p, 1 << 60) for p in zip(parts, parts[1:], strict=False)]
+            ranks = [self._rank.get(p, _NEVER) for p in zip(parts, parts[1:], strict=False)]
             best = min(ranks)
-            if best == 1 << 60:
+            if best == _NEVER:
                 break
+            steps.append((best, parts[0], parts[-1]))
             at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        found = None if len(parts) > 1 else [*steps, (_NEVER, token, token)]
+        self._histories[token] = found
+        return found
+
+    def _stay_apart(self, left: str, right: str) -> bool:
+        """Whether the letters of two tokens give these two: each side goes its own way until a merge over the border
+        is the next one, of equal ranks the one further left."""
+        lefts, rights = self._merges(left), self._merges(right)
+        if lefts is None or rights is None:
+            return False
+        rank, i, j = self._rank.get, 0, 0
+        own_left, _, last = lefts[0]
+        own_right, first, _ = rights[0]
+        while True:
+            over = rank((last, first), _NEVER)
+            if over < own_left and over <= own_right:
+                return False
+            if own_left <= own_right:
+                if own_left == _NEVER:
+                    return True
+                i += 1
+                own_left, _, last = lefts[i]
+            else:
+                j += 1
+                own_right, first, _ = rights[j]
 
     def _compatible(self, left: str, right: str) -> bool:
         key = (left, right)
@@ -86,15 +121,14 @@ class PrefixCounter:
         if known is None:
             if len(self._pairs) >= _REMEMBERED:
                 self._pairs.clear()
-            known = self._pairs[key] = self._merged(left + right) == ([left, right] if left else [right])
+            known = self._pairs[key] = self._stay_apart(left, right) if left else self._merges(right) is not None
         return known
 
     def _by_byte(self, piece: str) -> Sequence[int]:
         """Tokens of every prefix of a piece, byte by byte; the piece is encoded as one word."""
-        letters = self._letters
-        s = "".join([letters[b] for b in piece.encode()])
+        s = self._lettered(piece)
         if len(s) <= _SHORT:
-            return self._of_short(s)
+            return [self._of_prefix(s[:end])[1] for end in range(1, len(s) + 1)]
         count, start = [0] * (len(s) + 1), [0] * (len(s) + 1)
         for end in range(1, len(s) + 1):
             for begin in range(max(0, end - self._longest), end):
@@ -104,36 +138,38 @@ class PrefixCounter:
                     break
         return count[1:]
 
-    def _of_short(self, s: str) -> bytes:
-        """The same for a short piece in byte letters, from its longest prefix that is known.
+    def _lettered(self, piece: str) -> str:
+        """A letter for every byte of a piece."""
+        return codecs.charmap_decode(piece.encode(), "strict", self._letters)[0]
+
+    def _of_prefix(self, s: str) -> tuple[int, int]:
+        """Where the last token of a short prefix in byte letters begins, and the prefix's tokens.
 
-        What is known of a prefix (where its last token begins, and all counts up to it) holds
-        for every piece that begins with it. With a prefix all shorter ones are known.
+        Only those shorter prefixes are looked at that a token may follow. What is known of a
+        prefix holds for every piece that begins with it.
         """
-        prefixes, vocabulary = self._prefixes, self._vocabulary
-        known = prefixes.get(s)
+        known = self._prefixes.get(s)
         if known is not None:
-            return known[1]
-        if len(prefixes) >= _REMEMBERED:
-            prefixes.clear()
-        low, high = 0, len(s) - 1
-        while low < high:
-            middle = (low + high + 1) // 2
-            if s[:middle] in prefixes:
-                low = middle
-            else:
-                high = middle - 1
-        counts = prefixes[s[:low]][1] if low and s[:low] in prefixes else b""
-        for end in range(len(counts) + 1, len(s) + 1):
-            for begin in range(end):
-                token = s[begin:end]
+            return known
+        vocabulary = self._vocabulary
+        begin, n = 0, 0
+        if s not in vocabulary or not self._compatible("", s):
+            for begin in range(1, len(s)):
+                token = s[begin:]
                 if token in vocabulary:
-                    left = s[prefixes[s[:begin]][0] : begin] if begin else ""
-                    if self._compatible(left, token):
+                    before, n = self._of_prefix(s[:begin])
+                    if self._compatible(s[before:begin], token):
                         break
-            counts += bytes((counts[begin - 1] + 1 if begin else 1,))
-            prefixes[s[:end]] = begin, counts
-        return counts
+        found = begin, n + 1
+        if len(self._prefixes) >= _REMEMBERED:
+            self._prefixes.clear()
+        self._prefixes[s] = found
+        return found
+
+    def _total(self, piece: str) -> int:
+        """Tokens of a whole piece."""
+        s = "Ġ" + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else self._lettered(piece)
+        return self._of_prefix(s)[1] if len(s) <= _SHORT else self._by_byte(piece)[-1]
 
     def _by_char(self, piece: str) -> Sequence[int]:
         count = self._by_byte(piece)
@@ -163,19 +199,32 @@ class PrefixCounter:
                 joined, base = False, base + own[-1]
         return bytes(counts) if max(counts) < 256 else tuple(counts)
 
+    def _whole(self, unit: str) -> int:
+        """Tokens of a whole unit: the last entry of its table, without the others."""
+        if unit[0] == " " and unit[1:].isalpha():
+            return self._total(unit)
+        lead = self._lead.match(unit).end()
+        if lead == len(unit):
+            return self._total(unit)
+        joined = lead and unit[lead - 1] == " "
+        before = (unit[: max(lead - 1, 0)], "" if joined else unit[lead - 1 : lead])
+        word = unit[lead - 1 if joined else lead :]
+        pieces = [word] if unit[lead:].isalpha() else self._piece.findall(word)
+        return sum([self._total(piece) for piece in (*before, *pieces) if piece])
+
     def tables(self, text: str) -> list[bytes | tuple[int, ...]]:
         """Tables of the units of a text without special tokens; their counts add up."""
         return [self._table(unit) for unit in self._unit.findall(text)]
 
     def _last_counts(self, units: list[str]) -> list[int]:
-        """Tokens of each whole unit: the last entry of its table. Units repeat, so these are
-        remembered, in two generations of which the older one is forgotten."""
+        """Tokens of each whole unit. Units repeat, so these are remembered, in two generations
+        of which the older one is forgotten."""
         found = list(map(self._recent.get, units))
         if None in found:
             for i, n in enumerate(found):
                 if n is None:
                     unit = units[i]
-                    n = self._older.get(unit) or self._table(unit)[-1]
+                    n = self._older.get(unit) or self._whole(unit)
                     found[i] = n
                     if len(unit) <= 64:
                         if len(self._recent) >= _REMEMBERED:

@@ -46,6 +46,44 @@ def test_long_words_and_full_tables(monkeypatch):
     assert len(small._recent) <= 5
 
 
+def _merged(rank, letters):
+    """Plain byte-pair encoding."""
+    parts = list(letters)
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 60))
+        if (parts[best], parts[best + 1]) not in rank:
+            break
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return parts
+
+
+def test_two_tokens_stay_apart_as_plain_merging_says():
+    rank, r = COUNTER._rank, random.Random(5)
+    known = sorted(COUNTER._vocabulary)
+    pairs = [tuple(r.choices(known, k=2)) for _ in range(2000)]
+    pairs += [(a[: len(a) // 2], a[len(a) // 2 :] + b) for a, b in pairs]
+    pairs += [(w[:at], w[at:]) for w in r.sample(known, 1500) for at in range(1, len(w))]
+    pairs = [p for p in pairs if p[0] in COUNTER._vocabulary and p[1] in COUNTER._vocabulary]
+    apart = [_merged(rank, a + b) == [a, b] for a, b in pairs]
+    assert any(apart) and not all(apart)
+    assert [COUNTER._compatible(a, b) for a, b in pairs] == apart
+    alone = r.sample(known, 500)
+    assert [COUNTER._compatible("", t) for t in alone] == [_merged(rank, t) == [t] for t in alone]
+
+
+def test_whole_counts_make_no_tables(monkeypatch):
+    """Only the unit that a limit cuts needs the counts of all its prefixes."""
+    text = " Thheantion, to.01@mail8.example.com\n\n it'll ötesch!!  \xa0é 日本 " * 3
+    made, table = [], tokens.PrefixCounter._table
+    monkeypatch.setattr(tokens.PrefixCounter, "_table", lambda self, unit: made.append(unit) or table(self, unit))
+    new = tokens.PrefixCounter(VOCABULARY)
+    assert new.count(text)[0] == len(ids(text)) and not made
+    assert new.count(text, 5)[0] == len(ids(text)) and len(made) == 1
+    known = len(new._prefixes)
+    new.prefixes(text)
+    assert known < len(new._prefixes)
+
+
 def test_counts_over_a_table(spark, documents, awkward):
     docs = documents(*awkward)
     counted = docs.select("text", tokens.token_counts(F.col("text"), VOCABULARY, 3).alias("t"),
