@@ -18,6 +18,8 @@ from __future__ import annotations
 import codecs
 import json
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -27,6 +29,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from mapengine.llm.common import text_of
 
@@ -51,6 +54,18 @@ def _byte_letters() -> str:
     return "".join(letters[b] for b in range(256))
 
 
+@lru_cache(maxsize=1)
+def _too_new() -> frozenset[str]:
+    """Letters and numbers of the Unicode tables of ``regex`` that those of the tokenizers library do not have.
+    Code points that Python knows as well are the same in all three."""
+    split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+    return frozenset(
+        c for kind, one in ((r"\p{L}", "a"), (r"\p{N}", "1")) for c in regex.findall(kind, every)
+        if unicodedata.category(c) == "Cn" and len(split(one + c)) > 1
+    )
+
+
 class PrefixCounter:
     """Counts tokens of all prefixes as a byte-level BPE file of the tokenizers library does."""
 
@@ -69,6 +84,7 @@ class PrefixCounter:
         self._unit = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
         self._lead = re.compile(f"[{_SPACE}]*")
         self._piece = regex.compile(PIECE)
+        self._too_new = _too_new()
         self._pairs: dict[tuple[str, str], bool] = {}
         self._recent: dict[str, int] = {}
         self._older: dict[str, int] = {}
@@ -181,6 +197,13 @@ class PrefixCounter:
             ends.append(count[at - 1])
         return ends
 
+    def _pieces(self, word: str) -> list[str]:
+        """The pieces of a word, letters and numbers being those that the library knows."""
+        if word.isascii() or self._too_new.isdisjoint(word):
+            return self._piece.findall(word)
+        known = "".join(["." if c in self._too_new else c for c in word])
+        return [word[m.start() : m.end()] for m in self._piece.finditer(known)]
+
     def _table(self, unit: str) -> bytes | tuple[int, ...]:
         """Tokens of every prefix of a run of blanks with the word that follows it."""
         one_space = unit[0] == " " and unit[1:2].isalpha()
@@ -193,7 +216,7 @@ class PrefixCounter:
             if lead and not joined:
                 base += self._by_char(unit[lead - 1])[-1]
             word = unit[lead - 1 if joined else lead :]
-            for piece in [word] if unit[lead:].isalpha() else self._piece.findall(word):
+            for piece in [word] if unit[lead:].isalpha() else self._pieces(word):
                 own = [1, 2, 1] if piece in _CONTRACTED else self._by_char(piece)
                 counts += [base + c for c in (own[1:] if joined else own)]
                 joined, base = False, base + own[-1]
@@ -209,7 +232,7 @@ class PrefixCounter:
         joined = lead and unit[lead - 1] == " "
         before = (unit[: max(lead - 1, 0)], "" if joined else unit[lead - 1 : lead])
         word = unit[lead - 1 if joined else lead :]
-        pieces = [word] if unit[lead:].isalpha() else self._piece.findall(word)
+        pieces = [word] if unit[lead:].isalpha() else self._pieces(word)
         return sum([self._total(piece) for piece in (*before, *pieces) if piece])
 
     def tables(self, text: str) -> list[bytes | tuple[int, ...]]:

@@ -35,6 +35,13 @@ def test_every_prefix_is_exact(text, limit):
     assert COUNTER.count(text, limit) == (want[-1] if want else 0, within)
 
 
+def test_letters_and_numbers_are_those_of_the_library():
+    """Code points that only a newer Unicode version has, among all others."""
+    some = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x40000, 7))]
+    wrong = [c for c in some if COUNTER.count(f"a{c}1{c}'ll")[0] != len(ids(f"a{c}1{c}'ll"))]
+    assert not wrong
+
+
 def test_long_words_and_full_tables(monkeypatch):
     monkeypatch.setattr(tokens, "_REMEMBERED", 5)
     small = tokens.PrefixCounter(VOCABULARY)
