@@ -159,7 +159,6 @@ ELEMENT_REJECTED = "element:rejected"
 
 # Fields of all tables; one name has one kind wherever it occurs.
 FIELDS = {f: k for kinds in TABLE_KINDS.values() for f, k in kinds.items()}
-_PARSED = {f: f"typed_{f}" for f, k in FIELDS.items() if k != "string"}
 _PLACE = ("file", "block", "seq")
 
 
@@ -190,17 +189,26 @@ def routed(raw: dict[str, DataFrame]) -> DataFrame:
     return rows
 
 
-def _checks(rows: DataFrame) -> DataFrame:
-    """Adds the typed fields, each parsed once, and ``errors`` by the rules of the row's own table."""
-    parsed = rows.withColumns({name: _typed(f, FIELDS[f]) for f, name in _PARSED.items()})
+def _held(field: str) -> Column:
+    """Whether the row's own table has the field."""
+    return F.col("table_name").isin(*[t for t, kinds in TABLE_KINDS.items() if field in kinds])
+
+
+def _is_wrong_anywhere() -> Column:
+    """``is_wrong`` of rows of all tables, by the rules of the row's own table."""
+    bad = [_held(f) & (F.col(f).isNull() if kind == "string" else _typed(f, kind).isNull()) for f, kind in FIELDS.items()]
+    return reduce(lambda a, b: a | b, bad)
+
+
+def _errors_anywhere() -> Column:
+    """``row_errors`` of rows of all tables; a field's rule stands once, so the loop stays small enough to compile."""
     errors = []
-    for field in FIELDS:
-        held = F.col("table_name").isin(*[t for t, kinds in TABLE_KINDS.items() if field in kinds])
-        error = F.when(held & F.col(field).isNull(), F.lit(f"required:{field}"))
-        if field in _PARSED:
-            error = error.when(held & F.col(_PARSED[field]).isNull(), F.lit(f"type:{field}"))
-        errors.append(error)
-    return parsed.withColumn("errors", F.array_compact(F.array(*errors)))
+    for field, kind in FIELDS.items():
+        error = F.when(_held(field) & F.col(field).isNull(), F.lit(f"required:{field}"))
+        if kind != "string":
+            error = error.when(_held(field) & _typed(field, kind).isNull(), F.lit(f"type:{field}"))
+        errors.append(F.coalesce(error, F.lit("")))
+    return F.array_remove(F.array(*errors), "")
 
 
 def _mark(wrong: Column, errors: Column, fields: Collection[str]) -> Column:
@@ -269,41 +277,38 @@ def check_elements(raw: dict[str, DataFrame] | DataFrame, target: str, mode: str
     ``raw`` are tables with ``element``, or all their rows as one DataFrame (``routed``). Of tables given apart, one pass
     parses every field and writes each row once, as text with its own fields, with a mark on the wrong ones; report and bad
     elements come from the marks, and kept rows are told from rejected ones as they are read. Of one DataFrame, one pass finds
-    the wrong rows, which are stored as the report; a second writes all rows once, parsed and marked, in a
-    folder per table and verdict below ``target``. The bad elements are joined to rows by a side that Spark broadcasts
-    while it is small. ``failfast`` stops with all that is wrong with the first bad element in document
-    order; ``off`` rejects nothing.
+    the wrong rows, which are stored and make the report; a second writes all rows once below ``target``, as text and as they
+    come, with their verdict: a folder per table and verdict would have the wide rows sorted. The bad elements are joined
+    to rows by a side that Spark broadcasts while it is small. ``failfast`` stops with all that is wrong with the first bad
+    element in document order; ``off`` rejects nothing.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     if isinstance(raw, dict):
         return _check_apart(raw, target, mode)
-    rows = _checks(raw)
+    rows, where = raw.select("table_name", "element", *FIELDS), ("table_name", "element", *_PLACE)
     if mode == "off":
+        report = _reported(raw.where(F.lit(False)).withColumn("errors", _errors_anywhere()))
         marked = rows.withColumn("rejected", F.lit(False))
-        report = _reported(rows.where(F.lit(False)))
     else:
-        report = store(_reported(rows.where(F.size("errors") > 0)), f"{target}/report")
+        # Wrong rows, their errors, a row per error, stored one by one: a loop with more code in it is too large for the JVM to
+        # compile. A filter would work out the fields of every row a second time, inside its own condition.
+        found = raw.select(F.inline(F.array(F.when(_is_wrong_anywhere(), F.struct(*where, *FIELDS)))))
+        wrong = store(found.where(F.col("table_name").isNotNull()), f"{target}/wrong")
+        listed = store(wrong.select(*where, "id", "key", "position", _errors_anywhere().alias("errors")), f"{target}/errors")
+        report = store(_reported(listed), f"{target}/report")
         if mode == "failfast":
             _stop_at_first(report)
         bad = store(report.select("element").distinct(), f"{target}/bad")
         marked = rows.join(bad.withColumn("rejected", F.lit(True)), "element", "left").withColumn(
             "rejected", F.coalesce("rejected", F.lit(False)))
-    columns = ["element", *FIELDS, *_PARSED.values(), "errors"]
-    written = f"{target}/rows"
-    (
-        marked.select(*columns, "table_name", "rejected")
-        .sortWithinPartitions("table_name", "rejected", "key", "value", "id")
-        .write.mode("overwrite").partitionBy("table_name", "rejected").parquet(written)
-    )
-    schema = marked.select(*columns, "table_name", "rejected").schema
-    stored = rows.sparkSession.read.schema(schema).parquet(written)
-    own = F.when(F.size("errors") > 0, F.col("errors")).otherwise(F.array(F.lit(ELEMENT_REJECTED)))
+    stored = store(marked, f"{target}/rows")
     kept, typed_, rejected = {}, {}, {}
     for t, kinds in TABLE_KINDS.items():
         mine = stored.where(F.col("table_name") == t)
-        good = mine.where(~F.col("rejected"))
-        kept[t] = good.select("element", *kinds)
-        typed_[t] = good.select(*[F.col(_PARSED.get(f, f)).alias(f) for f in kinds])
-        rejected[t] = mine.where(F.col("rejected")).select("element", *kinds, own.alias("errors"))
+        kept[t] = mine.where(~F.col("rejected")).select("element", *kinds)
+        typed_[t] = typed(kept[t], t)
+        errors = row_errors(t)
+        own = F.when(F.size(errors) > 0, errors).otherwise(F.array(F.lit(ELEMENT_REJECTED)))
+        rejected[t] = mine.where("rejected").select("element", *kinds, own.alias("errors"))
     return Checked(kept, typed_, rejected, report)

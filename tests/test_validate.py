@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from mapengine.model import RECORDS, TABLES, raw_schema, typed_schema
@@ -143,3 +145,22 @@ def test_tables_apart_are_written_once_as_they_come(spark, tmp_path, monkeypatch
         assert not layout and "lambda" not in plan(rows)
     # The report is read from the marks, not worked out of the tables again.
     assert "ReadSchema: struct<element:bigint,file:int,block:bigint,seq:bigint,wrong:struct<" in plan(stored["report"][0])
+
+
+def test_rows_together_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """As text, as they come, with their verdict; nothing keeps the loops over the rows from being compiled."""
+    stored, store = {}, validate.store
+    monkeypatch.setattr(validate, "store", lambda rows, target, *layout: stored.update({target.rsplit("/", 1)[-1]: (rows, layout)}) or store(rows, target, *layout))
+    validate.routed(dirty(spark)).write.parquet(str(tmp_path / "given"))
+    found = validate.check_elements(spark.read.parquet(str(tmp_path / "given")), str(tmp_path / "run"))
+    rows, layout = stored["rows"]
+    assert set(rows.columns) == {"table_name", "element", *validate.FIELDS, "rejected"}
+    assert not layout and "Sort " not in plan(rows)
+    assert not any("lambda" in plan(df) for df, _ in stored.values())
+    # The JVM does not compile a loop of more than 8,000 bytes.
+    for name in ("wrong", "errors", "report"):
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", stored[name][0]._jdf.queryExecution().explainString(mode))
+        assert sizes and max(map(int, sizes)) < 8000
+    # Kept rows are read as they are, without a join.
+    assert not any("Join" in plan(df) for df in (*found.kept.values(), *found.typed.values()))
