@@ -3,7 +3,9 @@ import re
 import pytest
 
 from mapengine.model import RECORDS, TABLES, raw_schema, typed_schema
-from mapengine.operators import validate
+from mapengine.operators import order, shape, validate
+from mapengine.sources import markup
+from tests import fixtures as fx
 from tests.plans import plan
 
 GOOD = ("1", "1.5", "2", "ann", "11", "2", "7", "2020")
@@ -147,6 +149,12 @@ def test_tables_apart_are_written_once_as_they_come(spark, tmp_path, monkeypatch
     assert "ReadSchema: struct<element:bigint,file:int,block:bigint,seq:bigint,wrong:struct<" in plan(stored["report"][0])
 
 
+def loop_bytes(df):
+    """Bytes of the longest generated method; the JVM compiles none of more than 8,000."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))), default=0)
+
+
 def test_rows_together_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     """As text, as they come, with their verdict; nothing keeps the loops over the rows from being compiled."""
     stored, store = {}, validate.store
@@ -157,10 +165,19 @@ def test_rows_together_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     assert set(rows.columns) == {"table_name", "element", *validate.FIELDS, "rejected"}
     assert not layout and "Sort " not in plan(rows)
     assert not any("lambda" in plan(df) for df, _ in stored.values())
-    # The JVM does not compile a loop of more than 8,000 bytes.
-    for name in ("wrong", "errors", "report"):
-        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
-        sizes = re.findall(r"maxMethodCodeSize:(\d+)", stored[name][0]._jdf.queryExecution().explainString(mode))
-        assert sizes and max(map(int, sizes)) < 8000
+    assert all(0 < loop_bytes(stored[name][0]) < 8000 for name in ("wrong", "errors", "report"))
     # Kept rows are read as they are, without a join.
     assert not any("Join" in plan(df) for df in (*found.kept.values(), *found.typed.values()))
+
+
+def test_wrong_rows_of_an_extract_are_found_in_a_compiled_loop(spark, tmp_path, monkeypatch):
+    """The fields of the extract's rows, which take patterns, are not worked out again inside a condition."""
+    source = tmp_path / "map.xml"
+    source.write_text(fx.document(fx.node(1), fx.node("x2"), fx.way(9, children=[fx.nd("z")])))
+    staged = markup.stage_events(spark, str(source), str(tmp_path / "staged"))
+    rows = shape.routed(markup.elements(staged), order.store_children(staged, str(tmp_path / "children")))
+    stored, store = {}, validate.store
+    monkeypatch.setattr(validate, "store", lambda rows, target, *layout: stored.update({target.rsplit("/", 1)[-1]: rows}) or store(rows, target, *layout))
+    found = validate.check_elements(rows, str(tmp_path / "run"))
+    assert sorted((r.id, r.path) for r in found.report.collect()) == [("9", "ways_nodes[0].node_id"), ("x2", "nodes.id")]
+    assert 0 < loop_bytes(stored["wrong"]) < 8000
