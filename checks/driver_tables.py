@@ -325,9 +325,14 @@ def _text_of(commented: bool) -> Column:
     return text.otherwise(F.col("edge.line"))
 
 
+# The extract is five times as large as text than compressed. A compressed file is read by one task, so files are kept small.
+CODEC, ROWS_PER_FILE = "snappy", 100_000
+
+
 def _write_rows(rows: DataFrame, target: str, commented: bool = False) -> None:
     """Rows as consecutive text files: ranges of rows, so no element is one task's load."""
-    rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select(_text_of(commented).alias("line")).write.mode("overwrite").text(target)
+    lines = rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select(_text_of(commented).alias("line"))
+    lines.write.mode("overwrite").option("compression", CODEC).option("maxRecordsPerFile", ROWS_PER_FILE).text(target)
 
 
 def write_markup(spark: SparkSession, sf_dir: str, target: str) -> None:

@@ -70,10 +70,11 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """All five tables through CSV; texts with line feeds and quotes, some of them missing."""
     source = _five(spark, sf)
     hard = F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit('a\n"b", \r\n'), "value"))
+    source["nodes_tags"] = d.spread_node_tags(spark, sf)
     for name in ("nodes_tags", "ways_tags"):
         source[name] = source[name].withColumn("value", hard)
     target = workspace.new_dir(spark, "csv")
-    tables.write_csv(source, target)
+    tables.write_csv(source, target, compression="gzip")
     back = tables.read_all_csv(spark, target, typed=True)
     shown = {
         "nodes": ("user", F.col("user"), F.col("timestamp")), "ways": ("user", F.col("user"), F.col("timestamp")),

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from mapengine.model import CHILDREN, SAMPLE_STEP, TOP_LEVEL
 from mapengine.sources.lexical import POSITION
-from mapengine.workspace import new_dir, store
+from mapengine.workspace import new_dir
+from mapengine.workspace import packed as store
 
 # 65,536 rows: a window holds some megabytes, and an extract of a terabyte has a few hundred thousand segments.
 SEGMENT_BITS = 16

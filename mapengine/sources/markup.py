@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from mapengine.model import ATTRIBUTES, CHILDREN, TOP_LEVEL
 from mapengine.sources import lexical, nesting
 from mapengine.sources.lexical import POSITION
-from mapengine.workspace import new_dir, store
+from mapengine.workspace import new_dir
+from mapengine.workspace import packed as store
 
 _ATTRIBUTE = r"""\s++[^\s=/>"']++\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
 # An opening or closing tag up to its `>`; quantifiers are possessive, so one pass is enough.

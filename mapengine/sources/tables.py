@@ -38,13 +38,19 @@ _LAYOUT = {
 }
 
 
-def write_csv(tables: Mapping[str, DataFrame], target: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Writes each table to its own directory below ``target``, header in every file."""
+def write_csv(
+    tables: Mapping[str, DataFrame], target: str, rows_per_file: int = ROWS_PER_FILE, compression: str | None = None
+) -> None:
+    """Writes each table to its own directory below ``target``, header in every file.
+
+    ``compression`` is a codec of Spark's text files, such as ``gzip``; ``read_csv`` knows it by the names of the files. As
+    no file is read by more than one task anyway, it costs no parallelism.
+    """
     for name, rows in tables.items():
         (
             rows.select(*TABLE_KINDS[name])
             .write.mode("overwrite").options(**_CSV)
-            .option("maxRecordsPerFile", rows_per_file)
+            .option("maxRecordsPerFile", rows_per_file).option("compression", compression or "none")
             .csv(f"{target}/{name}")
         )
 

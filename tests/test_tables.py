@@ -25,6 +25,16 @@ def test_csv_round_trip_keeps_text(spark, tmp_path):
     assert len(list((tmp_path / "nodes_tags").glob("*.csv"))) > 3
 
 
+def test_compressed_csv_round_trip_keeps_text(spark, tmp_path):
+    rows = [(str(i), v, v, "regular") for i, v in enumerate(AWKWARD * 20)]
+    df = spark.createDataFrame(rows, raw_schema("nodes_tags"))
+    tables.write_csv({"nodes_tags": df}, str(tmp_path / "packed"), rows_per_file=30, compression="gzip")
+    tables.write_csv({"nodes_tags": df}, str(tmp_path / "plain"), rows_per_file=30)
+    assert rows_of(tables.read_csv(spark, str(tmp_path / "packed"), "nodes_tags")) == sorted(rows, key=repr)
+    sizes = {n: [f.stat().st_size for f in (tmp_path / n / "nodes_tags").glob("part-*")] for n in ("packed", "plain")}
+    assert len(sizes["packed"]) == len(sizes["plain"]) and sum(sizes["packed"]) < sum(sizes["plain"]) / 2
+
+
 def test_csv_files_have_a_checked_header_in_field_order(spark, tmp_path):
     df = spark.createDataFrame([("addr", "30043", "postcode", "1")], "type STRING, value STRING, key STRING, id STRING")
     tables.write_csv({"ways_tags": df.coalesce(1)}, str(tmp_path))
