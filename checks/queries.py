@@ -38,7 +38,7 @@ def scan_elements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _top_level_with_counts(rows: DataFrame) -> DataFrame:
-    kids = order.children(rows).groupBy("parent.seq").agg(
+    kids = order.children(rows, fields=()).groupBy("parent.seq").agg(
         *[F.count_if(F.col("name") == c).alias(f"n_{c}") for c in ("tag", "nd", "member")])
     index = order.element_index(rows).select("seq", "element")
     return markup.top_level(rows).select("seq", "name", "id").join(index, "seq").join(kids, "seq", "left").select(

@@ -20,6 +20,8 @@ inside another. They must hold every opening and closing tag of top-level elemen
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from mapengine.workspace import packed as store
 # 65,536 rows: a window holds some megabytes, and an extract of a terabyte has a few hundred thousand segments.
 SEGMENT_BITS = 16
 
+CHILD_FIELDS = ("k", "v", "ref", "type", "role")
+
 _SPLIT = ("file", "block")
 _SEGMENT = ("segment", "block", "file")
 _MOVED = "splits moved between two scans of one query; stage the extract first"
@@ -160,18 +164,18 @@ def in_document_order(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> Data
     )
 
 
-def children(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
-    """``tag``, ``nd`` and ``member`` rows with their parent.
+def children(rows: DataFrame, segment_bits: int = SEGMENT_BITS, fields: Sequence[str] = CHILD_FIELDS) -> DataFrame:
+    """``tag``, ``nd`` and ``member`` rows with their parent and, of their own attributes, ``fields``.
 
     Elements without children never enter the shuffle, nor do columns other than id. Parents are told apart by ``parent.seq``, not by id: a history extract repeats ids.
     """
     slim = rows.where(
         _starts(*CHILDREN) | _is("open", *TOP_LEVEL) | _is("close", *TOP_LEVEL)
-    ).select(*POSITION, "event", "name", "id", "k", "v", "ref", "type", "role")
+    ).select(*POSITION, "event", "name", "id", *fields)
     return (
         in_document_order(slim, segment_bits)
         .where(F.col("name").isin(*CHILDREN) & F.col("parent.name").isNotNull())
-        .select(*POSITION, "name", "k", "v", "ref", "type", "role", "parent", "position")
+        .select(*POSITION, "name", *fields, "parent", "position")
     )
 
 

@@ -5,8 +5,9 @@ was left in: normal (N), inside a comment (C), CDATA (D) or an instruction (P).
 written as the four states it leads to, in the order ``NCDP``; most rows change nothing and have no
 such mark. Marks are functions, and functions compose: over the marks of a segment, the segments of a
 split and the splits of the extract. From the state each split begins in the same walk goes
-down again, to the state before every row. Lists that are walked hold the marks of one segment, the segments of
-one split, or one short text for each split.
+down again, to the state after every mark. Lists that are walked hold the marks of one segment, the segments of
+one split, or one short text for each split. What begins inside a comment is then known as spans between marks; they
+are stored as bits, by which the rows are filtered.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapengine.workspace import store
+from mapengine.workspace import packed as store
 
 # Position of a row in the extract; sorts in document order.
 POSITION = ("file", "block", "seq")
@@ -29,6 +30,12 @@ _IDENTITY = STATES
 # Rows per segment, as a power of two.
 SEGMENT_BITS = 12
 
+# Bits of a word, as a power of two; a segment has one for each of its rows.
+WORD_BITS = 6
+# Up to this many segments with hidden rows, their bits are sent to all tasks (some 150 megabytes at most).
+MAX_SENT = 1 << 18
+_WORDS = 1 << SEGMENT_BITS - WORD_BITS
+
 # Fixed spellings: begin, end and state of what can hold markup that is none.
 _SPANS = (("!--", "-->", "C"), ("![CDATA[", "]]>", "D"), ("?", "?>", "P"))
 
@@ -57,6 +64,10 @@ def opens(marks: Column) -> Column:
     return F.left(marks, F.lit(1)) != "N"
 
 
+def _word(seq: str) -> Column:
+    return F.shiftright(seq, WORD_BITS)
+
+
 def _composed(items: str, field: str) -> str:
     return f"aggregate({items}, '{_IDENTITY}', (f, x) -> translate(f, '{STATES}', x.{field}))"
 
@@ -89,13 +100,44 @@ def states(rows: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     return before, after, end[0] if end is not None else "N"
 
 
-def outside(rows: DataFrame, target: str) -> DataFrame:
-    """The rows that begin in normal text, stored at ``target``."""
+def hidden(rows: DataFrame, target: str) -> DataFrame:
+    """The rows that do not begin in normal text, stored at ``target`` as bits: one row for each segment of a split
+    that holds any, with a bit for each of its sequence numbers. Only marks and bits are shuffled."""
     before, after, end = states(rows)
     if end != "N":
         begin = next(b for b, _, s in _SPANS if s == end)
         raise ValueError(f"not plain markup: <{begin} is open at the end")
-    in_split = Window.partitionBy(*SPLIT).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    state = F.coalesce(F.last("after", ignorenulls=True).over(in_split), F.col("before"))
-    kept = rows.join(after, list(POSITION), "left").join(before, list(SPLIT), "left").withColumn("state", state)
-    return store(kept.where(F.col("state") == "N").select(*rows.columns), target, "kind", "seq")
+    bounds = rows.groupBy(*SPLIT).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    # A state holds for the rows after its own, up to and with the next one of the split; its last row ends it.
+    changes = (
+        before.join(bounds, list(SPLIT)).select(*SPLIT, (F.col("first") - 1).alias("seq"), F.col("before").alias("state"))
+        .unionByName(after.select(*SPLIT, "seq", F.col("after").alias("state")))
+        .unionByName(bounds.select(*SPLIT, F.col("last").alias("seq"), F.lit("N").alias("state")))
+    )
+    spans = changes.select(
+        *SPLIT, "state", (F.col("seq") + 1).alias("start"), F.lead("seq").over(Window.partitionBy(*SPLIT).orderBy("seq")).alias("stop"),
+    ).where((F.col("state") != "N") & (F.col("start") <= F.col("stop")))
+    words = spans.select(*SPLIT, "start", "stop", F.explode(F.sequence(_word("start"), _word("stop"))).alias("word"))
+    size, ones = 1 << WORD_BITS, "cast(-1 AS bigint)"
+    begin = F.greatest(F.col("start") - F.col("word") * size, F.lit(0)).cast("int")
+    past = F.greatest((F.col("word") + 1) * size - 1 - F.col("stop"), F.lit(0)).cast("int")
+    words = words.select(*SPLIT, "word", begin.alias("begin"), past.alias("past")).groupBy(*SPLIT, "word").agg(
+        F.bit_or(F.expr(f"shiftleft({ones}, begin) & shiftrightunsigned({ones}, past)")).alias("bits"))
+    in_segment = F.pmod("word", F.lit(_WORDS)).cast("int")
+    known = words.groupBy(*SPLIT, F.shiftright("word", SEGMENT_BITS - WORD_BITS).alias("segment")).agg(
+        F.map_from_entries(F.collect_list(F.struct(in_segment, "bits"))).alias("known"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda i: F.coalesce(F.col("known")[i], F.lit(0).cast("long")))
+    return store(known.select(*SPLIT, "segment", every.alias("bits")), target)
+
+
+def outside(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows that begin in normal text, from the ``hidden`` ones.
+
+    The bits go to all tasks, up to ``MAX_SENT`` segments of them; otherwise the rows are shuffled once and looked up in a
+    hash table of their partition's bits. No row is sorted.
+    """
+    sent = F.broadcast(bits) if bits.count() <= MAX_SENT else bits.hint("shuffle_hash")
+    kept = rows.withColumn("segment", F.shiftright("seq", SEGMENT_BITS)).join(sent, [*SPLIT, "segment"], "left")
+    word = F.col("bits")[F.pmod(_word("seq"), F.lit(_WORDS)).cast("int")]
+    bit = F.getbit(word, F.pmod("seq", F.lit(1 << WORD_BITS)).cast("int"))
+    return kept.where(F.col("bits").isNull() | (bit == 0)).select(*rows.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from mapengine.model import ATTRIBUTES, CHILDREN, TOP_LEVEL
 from mapengine.sources import lexical, nesting
 from mapengine.sources.lexical import POSITION
-from mapengine.workspace import new_dir
+from mapengine.workspace import new_dir, remove
 from mapengine.workspace import packed as store
 
 _ATTRIBUTE = r"""\s++[^\s=/>"']++\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
@@ -265,7 +265,7 @@ def stage_events(
 
     Stops with a ValueError on text that is no markup, on malformed tags, on bytes that are not of
     the file's encoding, and on tags that do not match. Files to be decoded anew, and extracts with markup
-    inside comments, are stored once more beside ``target``.
+    inside comments, are stored once more beside ``target``; of the latter nothing is left at ``target`` itself.
     """
     paths = [path] if isinstance(path, str) else list(path)
     files = files_in_order(spark, paths)
@@ -280,12 +280,18 @@ def stage_events(
     if found["odd"]:
         staged = _decoded(spark, staged, files, target, attributes, keep_markup)
         found = staged.agg(F.count_if(marked & lexical.opens(F.col("mark"))).alias("opens"), wrong.alias("wrong")).first()
-    if found["opens"]:
-        staged = lexical.outside(staged, f"{target}-outside")
-        found = staged.agg(wrong.alias("wrong")).first()
+    commented = found["opens"] > 0
+    if commented:
+        bits = lexical.hidden(staged, f"{target}-hidden")
+        problems = staged.where(F.col("problem").isNotNull()).select(*POSITION, "problem")
+        found = lexical.outside(problems, bits).agg(wrong.alias("wrong")).first()
     if found["wrong"] is not None:
         raise ValueError(f"{found['wrong']['problem']} (in {files[found['wrong']['file']]})")
     rows = staged.where(F.col("kind") != lexical.MARK).drop("mark", "declared", "problem", "head")
+    if commented:
+        rows = store(lexical.outside(rows, bits), f"{target}-outside")
+        # Nothing reads the rows with what is hidden any more.
+        remove(spark, target, f"{target}-decoded", f"{target}-hidden")
     nesting.check(rows)
     return rows
 

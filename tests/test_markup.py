@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mapengine.model import TOP_LEVEL
 from mapengine.operators import order, profile, shape
 from mapengine.plans.wrangle import wrangle
-from mapengine.sources import markup, nesting
+from mapengine.sources import lexical, markup, nesting
 from tests import fixtures as fx
 
 
@@ -374,6 +374,45 @@ def test_comments_cut_by_files(spark, tmp_path, every):
     assert seen(markup.events(spark, cut)) == seen(markup.events(spark, str(tmp_path / "plain")))
 
 
+@pytest.mark.parametrize("sent", [1 << 18, 0])
+@pytest.mark.parametrize("split", ["16k", "128m"])
+def test_hidden_rows_are_filtered_without_a_sort(spark, write, tmp_path, monkeypatch, split, sent):
+    """Comments over many words, segments and splits, and many short ones; bits are sent to all tasks, or rows are shuffled."""
+    rng = random.Random(3)
+    parts, plain = [], []
+    for i in range(400):
+        element = fx.way(i, children=[fx.nd(i), fx.tag("a", "b")]) if i % 2 else fx.node(i)
+        parts.append(element)
+        plain.append(element)
+        count = 9000 if i in (100, 250) else rng.choice([0, 0, 1, 2, 63, 64, 65])
+        inside = "".join(rng.choice(['<nd ref="1"/>', "</way>", "<node id=x>"]) for _ in range(count))
+        parts.append(rng.choice(["<!--{}-->", "<![CDATA[{}]]>", "<?p {}?>"]).format(inside))
+    monkeypatch.setattr(lexical, "MAX_SENT", sent)
+    stored = []
+    real = markup.store
+    monkeypatch.setattr(markup, "store", lambda rows, target, *layout: stored.append((target, rows, layout)) or real(rows, target, *layout))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", split)
+    try:
+        rows = markup.stage_events(spark, write(fx.document(*parts)), str(tmp_path / "staged"))
+        target, kept, layout = stored[-1]
+        text = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert target.endswith("-outside") and not layout
+    assert "Window" not in text and "Sort" not in text and text.count("Exchange hashpartitioning") == (0 if sent else 2)
+    assert not (tmp_path / "staged").exists() and not (tmp_path / "staged-hidden").exists()
+    assert seen(rows) == seen(markup.events(spark, write(fx.document(*plain), "plain.xml")))
+
+
+def test_children_without_their_attributes(spark, write):
+    rows = markup.events(spark, write(fx.document(fx.way(1, children=[fx.nd(5), fx.tag("a", "b"), fx.nd(6)]))))
+    kids = order.children(rows, fields=("ref",))
+    assert kids.columns == [*markup.POSITION, "name", "ref", "parent", "position"]
+    assert collected(kids.orderBy("seq").select("name", "ref", "parent.id", "position")) == [("nd", "5", "1", 0), ("tag", None, "1", None), ("nd", "6", "1", 1)]
+
+
 @pytest.mark.parametrize("text", ["<map/><!-- <node/>", "<map><![CDATA[ <a> </map>", "<map/><?p <a/>"])
 def test_what_is_open_at_the_end_stops_the_scan(spark, write, text):
     with pytest.raises(ValueError, match="open at the end"):
