@@ -4,30 +4,48 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapengine.model import SAMPLE_STEP, TOP_LEVEL
 from mapengine.operators.order import SEGMENT_BITS, in_document_order
-from mapengine.workspace import new_dir, store
+from mapengine.sources import lexical
+from mapengine.sources.lexical import POSITION, SPLIT
+from mapengine.workspace import new_dir
+from mapengine.workspace import packed as store
 
 _HEADER, _BODY, _FOOTER = 0, 1, 2
 
 TAGS_PER_FILE = 1_000_000
 
 
+def _sampled_bits(rows: DataFrame, k: int, segment_bits: int) -> DataFrame:
+    """Rows of every k-th top-level element, from its first tag to its last, as bits (``lexical.span_bits``).
+
+    Only the tags of top-level elements are put in order. An element may run over from one split to the next ones.
+    """
+    tops = in_document_order(rows.where(F.col("name").isin(*TOP_LEVEL)).select(*POSITION, "event", "name", "id"), segment_bits)
+    own, opened = F.col("element") % k == 0, F.col("event") == "open"
+    ends = lexical.bounds(rows)
+    last = tops.groupBy(*SPLIT).agg(F.max_by(opened & own, "seq").alias("open"))
+    so_far = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    splits = ends.join(last, list(SPLIT), "left").withColumn("inside", F.last("open", ignorenulls=True).over(so_far))
+    changes = (
+        splits.where("inside").select(*SPLIT, (F.col("first") - 1).alias("seq"), F.lit(True).alias("held"))
+        .unionByName(tops.where(own & (F.col("event") != "close")).select(*SPLIT, (F.col("seq") - 1).alias("seq"), F.lit(True).alias("held")))
+        .unionByName(tops.where(own & ~opened).select(*POSITION, F.lit(False).alias("held")))
+    )
+    return lexical.span_bits(changes, ends, new_dir(rows.sparkSession, "sampled_bits"))
+
+
 def sampled_markup(rows: DataFrame, k: int = SAMPLE_STEP, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """Tags of the sampled elements: ``element``, their position and ``markup``.
 
-    ``rows`` are ``events``, or staged rows with ``keep_markup``.
+    ``rows`` are ``events``, or staged rows with ``keep_markup``. Texts of tags outside the sample are neither shuffled nor stored.
     """
-    inside = F.col("parent.name").isNotNull()
-    own = F.col("name").isin(*TOP_LEVEL)
-    return (
-        in_document_order(rows.select("file", "block", "seq", "event", "name", "id", "markup"), segment_bits)
-        .where((F.col("element") % k == 0) & (own | inside))
-        .select("element", "file", "block", "seq", "markup")
-    )
+    kept = lexical.in_spans(rows.select(*POSITION, "event", "name", "id", "markup"), _sampled_bits(rows, k, segment_bits))
+    # The n-th sampled element is element k * n of the extract.
+    return in_document_order(kept, segment_bits).select((F.col("element") * k).alias("element"), *POSITION, "markup")
 
 
 def write_sample(

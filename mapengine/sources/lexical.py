@@ -32,7 +32,7 @@ SEGMENT_BITS = 12
 
 # Bits of a word, as a power of two; a segment has one for each of its rows.
 WORD_BITS = 6
-# Up to this many segments with hidden rows, their bits are sent to all tasks (some 150 megabytes at most).
+# Up to this many segments with rows inside spans, their bits are sent to all tasks (some 150 megabytes at most).
 MAX_SENT = 1 << 18
 _WORDS = 1 << SEGMENT_BITS - WORD_BITS
 
@@ -100,23 +100,24 @@ def states(rows: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     return before, after, end[0] if end is not None else "N"
 
 
-def hidden(rows: DataFrame, target: str) -> DataFrame:
-    """The rows that do not begin in normal text, stored at ``target`` as bits: one row for each segment of a split
-    that holds any, with a bit for each of its sequence numbers. Only marks and bits are shuffled."""
-    before, after, end = states(rows)
-    if end != "N":
-        begin = next(b for b, _, s in _SPANS if s == end)
-        raise ValueError(f"not plain markup: <{begin} is open at the end")
-    bounds = rows.groupBy(*SPLIT).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
-    # A state holds for the rows after its own, up to and with the next one of the split; its last row ends it.
-    changes = (
-        before.join(bounds, list(SPLIT)).select(*SPLIT, (F.col("first") - 1).alias("seq"), F.col("before").alias("state"))
-        .unionByName(after.select(*SPLIT, "seq", F.col("after").alias("state")))
-        .unionByName(bounds.select(*SPLIT, F.col("last").alias("seq"), F.lit("N").alias("state")))
-    )
+def bounds(rows: DataFrame) -> DataFrame:
+    """First and last sequence number of every split."""
+    return rows.groupBy(*SPLIT).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+def span_bits(changes: DataFrame, ends: DataFrame, target: str) -> DataFrame:
+    """Rows inside spans, stored at ``target`` as bits: one row for each segment of a split that holds any, with a bit
+    for each of its sequence numbers.
+
+    ``changes`` are positions with ``held``: whether the rows after this one, up to and with that of the next change in
+    the split, are inside. Of two changes at one row the one that holds comes last. ``ends`` are the ``bounds``. Only
+    changes and bits are shuffled, never a row.
+    """
+    changes = changes.select(*POSITION, "held").unionByName(ends.select(*SPLIT, F.col("last").alias("seq"), F.lit(False).alias("held")))
+    in_split = Window.partitionBy(*SPLIT).orderBy("seq", "held")
     spans = changes.select(
-        *SPLIT, "state", (F.col("seq") + 1).alias("start"), F.lead("seq").over(Window.partitionBy(*SPLIT).orderBy("seq")).alias("stop"),
-    ).where((F.col("state") != "N") & (F.col("start") <= F.col("stop")))
+        *SPLIT, "held", (F.col("seq") + 1).alias("start"), F.lead("seq").over(in_split).alias("stop"),
+    ).where(F.col("held") & (F.col("start") <= F.col("stop")))
     words = spans.select(*SPLIT, "start", "stop", F.explode(F.sequence(_word("start"), _word("stop"))).alias("word"))
     size, ones = 1 << WORD_BITS, "cast(-1 AS bigint)"
     begin = F.greatest(F.col("start") - F.col("word") * size, F.lit(0)).cast("int")
@@ -130,14 +131,31 @@ def hidden(rows: DataFrame, target: str) -> DataFrame:
     return store(known.select(*SPLIT, "segment", every.alias("bits")), target)
 
 
-def outside(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """The rows that begin in normal text, from the ``hidden`` ones.
+def in_spans(rows: DataFrame, bits: DataFrame, held: bool = True) -> DataFrame:
+    """The rows inside the spans of ``span_bits``, or, if not ``held``, the rows outside of all.
 
     The bits go to all tasks, up to ``MAX_SENT`` segments of them; otherwise the rows are shuffled once and looked up in a
     hash table of their partition's bits. No row is sorted.
     """
     sent = F.broadcast(bits) if bits.count() <= MAX_SENT else bits.hint("shuffle_hash")
-    kept = rows.withColumn("segment", F.shiftright("seq", SEGMENT_BITS)).join(sent, [*SPLIT, "segment"], "left")
+    met = rows.withColumn("segment", F.shiftright("seq", SEGMENT_BITS)).join(sent, [*SPLIT, "segment"], "inner" if held else "left")
     word = F.col("bits")[F.pmod(_word("seq"), F.lit(_WORDS)).cast("int")]
     bit = F.getbit(word, F.pmod("seq", F.lit(1 << WORD_BITS)).cast("int"))
-    return kept.where(F.col("bits").isNull() | (bit == 0)).select(*rows.columns)
+    return met.where((bit == 1) if held else F.col("bits").isNull() | (bit == 0)).select(*rows.columns)
+
+
+def hidden(rows: DataFrame, target: str) -> DataFrame:
+    """The rows that do not begin in normal text, as ``span_bits`` stored at ``target``."""
+    before, after, end = states(rows)
+    if end != "N":
+        begin = next(b for b, _, s in _SPANS if s == end)
+        raise ValueError(f"not plain markup: <{begin} is open at the end")
+    ends = bounds(rows)
+    return span_bits(
+        before.join(ends, list(SPLIT)).select(*SPLIT, (F.col("first") - 1).alias("seq"), (F.col("before") != "N").alias("held"))
+        .unionByName(after.select(*POSITION, (F.col("after") != "N").alias("held"))), ends, target)
+
+
+def outside(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows that begin in normal text, from the ``hidden`` ones."""
+    return in_spans(rows, bits, held=False)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from mapengine.model import TABLE_KINDS, raw_schema, typed_schema
 from mapengine.operators import analytics, order, profile, shape
 from mapengine.plans.wrangle import wrangle
-from mapengine.sources import extract, markup, tables
+from mapengine.sources import extract, lexical, markup, tables
 from tests import fixtures as fx
 from tests.plans import final_plan
 
@@ -147,6 +147,38 @@ def test_sampled_extract(spark, tmp_path, files):
     assert [(r.element, r.id) for r in index.collect()] == [(n, str(i)) for n, i in enumerate(range(0, 95, 10))]
 
 
+@pytest.mark.parametrize("sent", [1 << 18, 0])
+@pytest.mark.parametrize("split", ["2k", "128m"])
+@pytest.mark.parametrize("k", [1, 3])
+def test_texts_outside_the_sample_are_not_folded(spark, tmp_path, monkeypatch, split, sent, k):
+    """Elements may run over many splits and segments; what is stored on the way holds texts of the sample alone."""
+    counts = [300 if i in (3, 7, 9, 24) else i % 4 for i in range(40)]
+    elements = [[fx.node, fx.way, fx.relation][i % 3](i, children=[fx.nd(j) for j in range(n)]) for i, n in enumerate(counts)]
+    (tmp_path / "map.xml").write_text(fx.document(*elements, fx.tag("stray", "x"), fx.node(99)))
+    monkeypatch.setattr(lexical, "MAX_SENT", sent)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", split)
+    try:
+        rows = markup.stage_events(spark, str(tmp_path / "map.xml"), str(tmp_path / "staged"), keep_markup=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert (rows.select("block").distinct().count() > 10) == (split == "2k")
+    stored = []
+    real = order.store
+    monkeypatch.setattr(order, "store", lambda df, target, *layout: stored.append(real(df, target, *layout)) or stored[-1])
+    found = extract.sampled_markup(rows, k, 3).orderBy("element", *markup.POSITION).collect()
+    text = "".join(r.markup for r in found)
+    # Tags of an element: its own one or two, and its children's.
+    want = [i for i in [*range(40), 40] if i % k == 0]
+    assert sorted({r.element for r in found}) == want
+    sizes = {e: sum(r.element == e for r in found) for e in want}
+    assert sizes == {e: 1 if e == 40 or not counts[e] else counts[e] + 2 for e in want}
+    assert text.count("<nd ") == sum(counts[e] for e in want if e < 40) and "stray" not in text
+    folded = [df.count() for df in stored if "markup" in df.columns]
+    assert folded == [len(found)]
+
+
 def test_sample_of_nothing(spark, tmp_path):
     (tmp_path / "map.xml").write_text(fx.document())
     extract.write_sample(markup.events(spark, str(tmp_path / "map.xml")), str(tmp_path / "out"), files=2)
